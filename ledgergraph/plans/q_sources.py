@@ -1 +1,206 @@
-"""(filled in below)"""
+"""Sources, sinks and raw filing line handling (SRC*, SNK*, PF1-PF3, JN2, SC1, AG2-AG3)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import keys as KY
+from ..sources import ontology as O
+from ..sources import reference_values as RV
+from ..sources import io as IO
+from ..sources.fixtures import sql_with, term_label
+from .registry import query
+
+FILING = ["corp", "bsns_year", "reprt_code"]
+
+
+@query("bs_lines", sql_with(["fin_raw"],
+       "SELECT rcept_no, corp, bsns_year, reprt_code, account_nm, thstrm_amount FROM fin_raw WHERE sj_div = 'BS'"))
+def bs_lines(t):
+    """PF1: balance-sheet lines (filter + projection, pruned at the scan)."""
+    return t.fin_raw.filter(F.col("sj_div") == "BS").select("rcept_no", "corp", "bsns_year", "reprt_code",
+                                                           "account_nm", "thstrm_amount")
+
+
+@query("is_or_cis_fallback", sql_with(["fin_raw"], """
+SELECT rcept_no, corp, bsns_year, reprt_code, sj_div, account_nm, thstrm_amount FROM (
+  SELECT r.*, MAX(CASE WHEN sj_div = 'IS' THEN 1 ELSE 0 END) OVER (PARTITION BY corp, bsns_year, reprt_code) AS has_is
+  FROM fin_raw r WHERE sj_div IN ('IS', 'CIS')) x
+WHERE sj_div = CASE WHEN has_is = 1 THEN 'IS' ELSE 'CIS' END"""))
+def is_or_cis_fallback(t):
+    """PF2: income statement routing — IS lines when the filing has any, else CIS lines."""
+    r = t.fin_raw.filter(F.col("sj_div").isin("IS", "CIS"))
+    w = Window.partitionBy(*FILING)
+    r = r.withColumn("has_is", F.max(F.when(F.col("sj_div") == "IS", 1).otherwise(0)).over(w))
+    return r.filter(F.col("sj_div") == F.when(F.col("has_is") == 1, "IS").otherwise("CIS")).select(
+        "rcept_no", "corp", "bsns_year", "reprt_code", "sj_div", "account_nm", "thstrm_amount")
+
+
+@query("filing_has_is", sql_with(["fin_raw"],
+       "SELECT corp, bsns_year, reprt_code, bool_or(sj_div = 'IS') AS has_is FROM fin_raw GROUP BY 1, 2, 3"))
+def filing_has_is(t):
+    """AG2: any/exists aggregate per filing."""
+    return t.fin_raw.groupBy(*FILING).agg(F.bool_or(F.col("sj_div") == "IS").alias("has_is"))
+
+
+@query("filing_header", sql_with(["fin_raw"],
+       "SELECT corp, bsns_year, reprt_code, MIN(rcept_no) AS rcept_no, COUNT(*) AS n_lines FROM fin_raw GROUP BY 1, 2, 3"))
+def filing_header(t):
+    """AG3: one header per filing — deterministic first receipt number."""
+    return t.fin_raw.groupBy(*FILING).agg(F.min("rcept_no").alias("rcept_no"), F.count(F.lit(1)).alias("n_lines"))
+
+
+def _labels_sql() -> str:
+    rows = []
+    for code, word, q in RV.REPORT_CODES:
+        rows.append(f"SELECT y.bsns_year, '{code}' AS reprt_code, y.base || '{word}' AS label, '{q}' AS quarter FROM y")
+        if code != "11011":
+            rows.append(f"SELECT y.bsns_year, '{code}', y.base || '{word}{RV.PERIOD_LABEL_END}', '{q}' FROM y")
+    return " UNION ALL ".join(rows)
+
+
+@query("period_label_to_quarter", sql_with(["fin_raw"], f"""
+SELECT r.rcept_no, r.sj_div, r.account_nm, r.thstrm_nm, lb.quarter
+FROM fin_raw r LEFT JOIN (
+  WITH y AS (SELECT DISTINCT bsns_year, '{RV.PERIOD_LABEL_PREFIX}' || CAST({RV.TERM_BASE_NUMBER} + (bsns_year - {RV.TERM_BASE_YEAR}) AS VARCHAR) || '{RV.PERIOD_LABEL_SUFFIX}' AS base FROM fin_raw)
+  {_labels_sql()}) lb
+ON lb.bsns_year = r.bsns_year AND lb.reprt_code = r.reprt_code AND lb.label = r.thstrm_nm"""))
+def period_label_to_quarter(t):
+    """SC1: period label -> quarter per report code (label table broadcast-joined; NULL on no match)."""
+    r = t.fin_raw
+    years = r.select("bsns_year").distinct().withColumn("base", term_label(F.col("bsns_year")))
+    rows = []
+    for code, word, q in RV.REPORT_CODES:
+        rows.append((code, word, q))
+        if code != "11011":
+            rows.append((code, word + RV.PERIOD_LABEL_END, q))
+    codes = F.array(*[F.struct(F.lit(c).alias("reprt_code"), F.lit(w).alias("word"), F.lit(q).alias("quarter"))
+                      for c, w, q in rows])
+    labels = years.select("bsns_year", "base", F.explode(codes).alias("c")).select(  # #years × 7 rows
+        "bsns_year", "c.reprt_code", F.concat("base", "c.word").alias("label"), "c.quarter")
+    j = r.join(F.broadcast(labels), (r.bsns_year == labels.bsns_year) & (r.reprt_code == labels.reprt_code)
+               & (r.thstrm_nm == labels.label), "left")
+    return j.select("rcept_no", "sj_div", "account_nm", "thstrm_nm", "quarter")
+
+
+def _name_map(t):
+    m = O.master_raw(t.spark).select(F.col("name_local").alias("account_nm"), F.col("acc"),
+                                     F.monotonically_increasing_id().alias("pos"))
+    # duplicate names: the last one wins (dictionary assignment order)
+    w = Window.partitionBy("account_nm").orderBy(F.desc("pos"))
+    return m.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("account_nm", "acc")
+
+
+@query("map_accounts_left", sql_with(["fin_raw", "onto_master"],
+       "SELECT r.rcept_no, r.sj_div, r.account_nm, m.acc FROM fin_raw r LEFT JOIN onto_master m ON m.name_local = r.account_nm"))
+def map_accounts_left(t):
+    """JN2: local account name -> account id, NULL on miss (broadcast dictionary join)."""
+    r = t.fin_raw.select("rcept_no", "sj_div", "account_nm")
+    return r.join(F.broadcast(_name_map(t)), "account_nm", "left").select("rcept_no", "sj_div", "account_nm", "acc")
+
+
+@query("map_accounts_inner", sql_with(["fin_raw", "onto_master"],
+       "SELECT r.rcept_no, r.sj_div, m.acc AS account, CAST(r.thstrm_amount AS BIGINT) AS value "
+       "FROM fin_raw r JOIN onto_master m ON m.name_local = r.account_nm"))
+def map_accounts_inner(t):
+    """PF3: drop lines whose account did not map (inner join), typed amounts."""
+    r = t.fin_raw
+    j = r.join(F.broadcast(_name_map(t)), "account_nm")
+    return j.select("rcept_no", "sj_div", F.col("acc").alias("account"),
+                    F.col("thstrm_amount").cast("bigint").alias("value"))
+
+
+@query("union_statements", sql_with(["fin_raw"],
+       "SELECT rcept_no, sj_div, account_nm, thstrm_amount FROM fin_raw WHERE sj_div = 'BS' "
+       "UNION ALL SELECT rcept_no, sj_div, account_nm, thstrm_amount FROM fin_raw WHERE sj_div IN ('IS', 'CIS')"))
+def union_statements(t):
+    """SO1: concatenate statement frames by name (unionByName)."""
+    r = t.fin_raw.select("rcept_no", "sj_div", "account_nm", "thstrm_amount")
+    return r.filter(F.col("sj_div") == "BS").unionByName(r.filter(F.col("sj_div").isin("IS", "CIS")))
+
+
+@query("filing_grid_coverage", sql_with(["fin_filing"], """
+SELECT CAST(c.c_custkey AS VARCHAR) AS code, g.bsns_year, g.quarter, (f.code IS NOT NULL) AS landed
+FROM customer c
+JOIN (SELECT DISTINCT bsns_year, quarter FROM fin_filing) g ON TRUE
+LEFT JOIN fin_filing f ON f.code = CAST(c.c_custkey AS VARCHAR) AND f.bsns_year = g.bsns_year AND f.quarter = g.quarter"""))
+def filing_grid_coverage(t):
+    """SRC7: request grid (company × period) against the filings that landed; missing ones flagged.
+
+    The period list is bounded (years × 4), so it is collected into an array
+    literal-free ``explode`` per company rather than a cross join.
+    """
+    periods = t.fin_filing.select("bsns_year", "quarter").distinct()
+    parr = periods.agg(F.array_sort(F.collect_list(F.struct("bsns_year", "quarter"))).alias("p"))
+    comp = t.customer.select(F.col("c_custkey").cast("string").alias("code"))
+    grid = comp.join(F.broadcast(parr), how="inner").select("code", F.explode("p").alias("p")).select(
+        "code", "p.bsns_year", "p.quarter")
+    f = t.fin_filing.select("code", "bsns_year", "quarter", F.lit(True).alias("landed"))
+    return grid.join(f, ["code", "bsns_year", "quarter"], "left").select(
+        "code", "bsns_year", "quarter", F.coalesce("landed", F.lit(False)).alias("landed"))
+
+
+@query("listing_clean", """
+SELECT CAST(c_custkey AS VARCHAR) AS code, COALESCE(c_name, '') AS name, c_mktsegment AS sector
+FROM customer WHERE c_mktsegment IS NOT NULL""")
+def listing_clean(t):
+    """SRC8: keep listings with a sector, fill the remaining nulls with ''."""
+    c = t.customer.filter(F.col("c_mktsegment").isNotNull())
+    return c.select(F.col("c_custkey").cast("string").alias("code"), F.col("c_name").alias("name"),
+                    F.col("c_mktsegment").alias("sector")).fillna("", subset=["name"])
+
+
+@query("scan_account_master", sql_with(["fin_fact", "onto_master"], """
+SELECT f.code, f.bsns_year, f.quarter, f.account, m.name_eng, split_part(m.grp, '-', 1) AS statement,
+       split_part(m.grp, '-', 2) AS kind, CAST(split_part(m.grp, '-', 3) AS INTEGER) AS level, f.value
+FROM fin_fact f JOIN onto_master m ON m.acc = f.account"""))
+def scan_account_master(t):
+    """SRC1: decode the master's group code (statement-kind-level) and attach it to the facts."""
+    m = O.decode_master(O.master_raw(t.spark))
+    f = t.fin_fact
+    return f.join(F.broadcast(m), f.account == m.acc).select(
+        "code", "bsns_year", "quarter", "account", "name_eng", m.statement, "kind", "level", "value")
+
+
+@query("scan_series", sql_with(["fin_nation_fact"],
+       "SELECT code, CAST(bsns_year AS VARCHAR) || '-' || quarter AS date, value AS actual "
+       "FROM fin_nation_fact WHERE account = 'Revenue'"))
+def scan_series(t):
+    """SRC4: quarterly series indexed by 'YYYY-nQ' with the value renamed to ``actual``."""
+    f = t.fin_nation_fact.filter(F.col("account") == "Revenue")
+    return f.select("code", F.concat_ws("-", F.col("bsns_year").cast("string"), "quarter").alias("date"),
+                    F.col("value").alias("actual"))
+
+
+@query("company_insert_ids", """
+SELECT ROW_NUMBER() OVER (ORDER BY CAST(c_custkey AS VARCHAR)) AS c_id, CAST(c_custkey AS VARCHAR) AS code,
+       c_name AS name, c_mktsegment AS sector FROM customer""")
+def company_insert_ids(t):
+    """SNK2/WN2: dense surrogate ids 1..N in natural-key order, without a single-partition window."""
+    return KY.dense_surrogate_key(t.fin_company, ["code"], "c_id").select("c_id", "code", "name", "sector")
+
+
+@query("facts_surrogate_key", sql_with(["fin_fact"], """
+SELECT ROW_NUMBER() OVER (ORDER BY code, bsns_year, quarter, account) AS fact_id, code, rpid, bsns_year, quarter,
+       account, value FROM fin_fact"""))
+def facts_surrogate_key(t):
+    """SNK3/WN2: dense surrogate key over the facts (range-partitioned sort + per-partition offsets)."""
+    f = t.fin_fact.select("code", "rpid", "bsns_year", "quarter", "account", "value")
+    return KY.dense_surrogate_key(f, ["code", "bsns_year", "quarter", "account"], "fact_id")
+
+
+@query("sink_roundtrip_facts")
+def sink_roundtrip_facts(t):
+    """SNK1/SNK3: write the facts partitioned by year into the shared folder and read them back."""
+    return IO.roundtrip_partitioned(t.fin_fact, "bsns_year")
+
+
+@query("exists_flag", sql_with(["fin_fact"], """
+SELECT 'fin_fact' AS name, COUNT(*) > 0 AS present FROM fin_fact
+UNION ALL SELECT 'lineitem', COUNT(*) > 0 FROM lineitem"""))
+def exists_flag(t):
+    """AG5: existence of a named object as a query (count(*) > 0)."""
+    a = t.fin_fact.agg((F.count(F.lit(1)) > 0).alias("present")).select(F.lit("fin_fact").alias("name"), "present")
+    b = t.lineitem.agg((F.count(F.lit(1)) > 0).alias("present")).select(F.lit("lineitem").alias("name"), "present")
+    return a.unionByName(b)

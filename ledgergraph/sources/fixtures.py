@@ -72,6 +72,10 @@ class Tables:
     def fin_nation_fact(self) -> DataFrame:
         return fin_nation_fact(self)
 
+    @cached_property
+    def fin_raw(self) -> DataFrame:
+        return fin_raw(self)
+
 
 def cents(c: Column) -> Column:
     return F.round(c * 100).cast("bigint")
@@ -304,3 +308,91 @@ def sql_with(names: list[str], body: str, extra: dict[str, tuple[str, list[str]]
     if not ctes:
         return body
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({b})" for n, b in ctes) + "\n" + body
+
+
+# ---------------------------------------------------------------------------
+# fin_raw: facts back-projected to raw filing lines (report code, period
+# label, statement code, local account name, amount as text).  Companies in
+# the BUILDING segment file a comprehensive statement (CIS) only, AUTOMOBILE
+# files both IS and CIS, others IS only; every filing also carries one line
+# whose account name maps to nothing.
+# ---------------------------------------------------------------------------
+UNMAPPED_ACCOUNT_NAME = "기타영업외수익"
+
+
+def _report_code(quarter: Column) -> Column:
+    from . import reference_values as RV
+    expr = None
+    for code, _, q in RV.REPORT_CODES:
+        expr = F.when(quarter == q, F.lit(code)) if expr is None else expr.when(quarter == q, F.lit(code))
+    return expr
+
+
+def _label_word(reprt: Column) -> Column:
+    from . import reference_values as RV
+    expr = None
+    for code, word, _ in RV.REPORT_CODES:
+        expr = F.when(reprt == code, F.lit(word)) if expr is None else expr.when(reprt == code, F.lit(word))
+    return expr
+
+
+def term_label(year: Column) -> Column:
+    from . import reference_values as RV
+    term = F.lit(RV.TERM_BASE_NUMBER) + (year - F.lit(RV.TERM_BASE_YEAR))
+    return F.concat(F.lit(RV.PERIOD_LABEL_PREFIX), term.cast("string"), F.lit(RV.PERIOD_LABEL_SUFFIX))
+
+
+def fin_raw(t: Tables) -> DataFrame:
+    from . import ontology as O
+    from . import reference_values as RV
+    names = O.master_raw(t.spark).select(F.col("acc").alias("account"), F.col("name_local").alias("account_nm"))
+    seg = t.customer.select(F.col("c_custkey").cast("string").alias("code"), F.col("c_mktsegment").alias("seg"))
+    f = t.fin_fact.select("code", "bsns_year", "quarter", "statement", "account", "value")
+    other = t.fin_fact_wide.filter(F.col("Revenue").isNotNull()).select(
+        "code", "bsns_year", "quarter", F.lit("IS").alias("statement"), F.lit(None).cast("string").alias("account"),
+        F.floor(F.col("Revenue") / 100).cast("bigint").alias("value"))
+    lines = f.join(F.broadcast(names), "account", "left").unionByName(
+        other.withColumn("account_nm", F.lit(UNMAPPED_ACCOUNT_NAME)))
+    j = lines.join(seg, "code").withColumn("sj_div", F.explode(F.array(F.lit("BS"), F.lit("IS"), F.lit("CIS"))))
+    keep = (((F.col("statement") == "BS") & (F.col("sj_div") == "BS"))
+            | ((F.col("statement") == "IS") & (((F.col("sj_div") == "IS") & (F.col("seg") != "BUILDING"))
+                                               | ((F.col("sj_div") == "CIS") & F.col("seg").isin("BUILDING", "AUTOMOBILE")))))
+    j = j.filter(keep)
+    reprt = _report_code(F.col("quarter"))
+    base = F.concat(term_label(F.col("bsns_year")), _label_word(reprt))
+    label = F.when((F.col("sj_div") == "BS") & (reprt != "11011"), F.concat(base, F.lit(RV.PERIOD_LABEL_END))).otherwise(base)
+    rcept = F.concat(F.col("bsns_year").cast("string"), F.lit("0"), F.substring("quarter", 1, 1), F.lpad("code", 12, "0"))
+    return j.select(rcept.alias("rcept_no"), F.col("code").alias("corp"), "bsns_year", reprt.alias("reprt_code"),
+                    "sj_div", label.alias("thstrm_nm"), "account_nm", F.col("value").cast("string").alias("thstrm_amount"))
+
+
+def _raw_sql() -> str:
+    from . import reference_values as RV
+    rep = " ".join(f"WHEN '{q}' THEN '{c}'" for c, _, q in RV.REPORT_CODES)
+    word = " ".join(f"WHEN '{c}' THEN '{w}'" for c, w, _ in RV.REPORT_CODES)
+    return f"""
+SELECT CAST(x.bsns_year AS VARCHAR) || '0' || substr(x.quarter, 1, 1) || lpad(x.code, 12, '0') AS rcept_no,
+       x.code AS corp, x.bsns_year, x.reprt_code, x.sj_div,
+       CASE WHEN x.sj_div = 'BS' AND x.reprt_code <> '11011'
+            THEN x.base || '{RV.PERIOD_LABEL_END}' ELSE x.base END AS thstrm_nm,
+       x.account_nm, CAST(x.value AS VARCHAR) AS thstrm_amount
+FROM (
+  SELECT l.*, s.sj_div, CASE l.quarter {rep} END AS reprt_code,
+         '{RV.PERIOD_LABEL_PREFIX}' || CAST({RV.TERM_BASE_NUMBER} + (l.bsns_year - {RV.TERM_BASE_YEAR}) AS VARCHAR)
+           || '{RV.PERIOD_LABEL_SUFFIX}' || CASE CASE l.quarter {rep} END {word} END AS base
+  FROM (
+    SELECT f.code, f.bsns_year, f.quarter, f.statement, f.value, m.name_local AS account_nm
+    FROM fin_fact f LEFT JOIN onto_master m ON m.acc = f.account
+    UNION ALL
+    SELECT code, bsns_year, quarter, 'IS', CAST(floor(Revenue / 100) AS BIGINT), '{UNMAPPED_ACCOUNT_NAME}'
+    FROM fin_fact_wide WHERE Revenue IS NOT NULL
+  ) l
+  JOIN customer c ON CAST(c.c_custkey AS VARCHAR) = l.code
+  JOIN (VALUES ('BS'), ('IS'), ('CIS')) AS s(sj_div)
+    ON (l.statement = 'BS' AND s.sj_div = 'BS')
+    OR (l.statement = 'IS' AND ((s.sj_div = 'IS' AND c.c_mktsegment <> 'BUILDING')
+                             OR (s.sj_div = 'CIS' AND c.c_mktsegment IN ('BUILDING', 'AUTOMOBILE'))))
+) x"""
+
+
+SQL_VIEWS["fin_raw"] = (_raw_sql(), ["fin_fact", "fin_fact_wide", "onto_master"])

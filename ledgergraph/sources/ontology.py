@@ -71,6 +71,13 @@ def master_raw(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RV.ACCOUNT_MASTER, MASTER_SCHEMA)
 
 
+def decode_master(raw: DataFrame) -> DataFrame:
+    """Split the packed group code ``Statement-Kind-Level`` into three typed columns."""
+    parts = F.split(F.col("grp"), "-")
+    return raw.select("acc", "name_local", "name_eng", parts.getItem(0).alias("statement"),
+                      parts.getItem(1).alias("kind"), parts.getItem(2).cast("int").alias("level"))
+
+
 def edges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RV.ACCOUNT_EDGES, EDGE_SCHEMA)
 
