@@ -1 +1,173 @@
-"""(filled in below)"""
+"""Forecasting (FC1-FC5) on per-nation quarterly series and evaluation metrics (EV1-EV7) on labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import metrics as M
+from ..operators import series as S
+from ..sources.fixtures import sql_with
+from .registry import query
+
+_PAIRS = {
+    "fc_lagged": ("SELECT code, account, bsns_year, quarter, value, "
+                  "LAG(value) OVER (PARTITION BY code, account ORDER BY bsns_year, quarter) AS prev_value, "
+                  "LAG(bsns_year * 4 + CAST(substr(quarter, 1, 1) AS INTEGER) - 1) OVER "
+                  "(PARTITION BY code, account ORDER BY bsns_year, quarter) AS prev_idx FROM fin_nation_fact",
+                  ["fin_nation_fact"]),
+    "fc_pairs": ("SELECT code, account, bsns_year, quarter, value / 1e13 AS y, prev_value / 1e13 AS x FROM fc_lagged "
+                 "WHERE prev_value IS NOT NULL AND prev_idx = bsns_year * 4 + CAST(substr(quarter, 1, 1) AS INTEGER) - 2",
+                 ["fc_lagged"]),
+    "fc_fit": ("SELECT code, account, ROUND(regr_slope(y, x), 9) AS slope, ROUND(regr_intercept(y, x), 9) AS intercept, "
+               "regr_r2(y, x) AS r2, regr_count(y, x) AS n, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, "
+               "regr_sxy(y, x) AS sxy, regr_avgx(y, x) AS avgx FROM fc_pairs GROUP BY code, account", ["fc_pairs"]),
+}
+
+
+def _fit(t):
+    p = S.pairs(t.fin_nation_fact)
+    return p, S.fit(p)
+
+
+@query("forecast_pairs", sql_with(["fc_pairs"], "SELECT code, account, bsns_year, quarter, y, x FROM fc_pairs",
+                                  extra=_PAIRS))
+def forecast_pairs(t):
+    """FC1/WN1/SC13: (current, previous) training pairs of consecutive quarters, scaled by 1e13."""
+    return S.pairs(t.fin_nation_fact).select("code", "account", "bsns_year", "quarter", "y", "x")
+
+
+@query("forecast_fit", sql_with(["fc_fit"], "SELECT code, account, slope, intercept, ROUND(r2, 6) AS r2, n FROM fc_fit",
+                                extra=_PAIRS))
+def forecast_fit(t):
+    """FC2/AG8: OLS current ~ 1 + previous per (series, account) via regression aggregates."""
+    _, c = _fit(t)
+    return c.select("code", "account", "slope", "intercept", F.round("r2", 6).alias("r2"), "n")
+
+
+@query("forecast_next", sql_with(["fc_fit", "fin_nation_fact"], """
+SELECT l.code, l.account,
+       CAST(CASE WHEN substr(l.quarter, 1, 1) = '4' THEN l.bsns_year + 1 ELSE l.bsns_year END AS INTEGER) AS next_year,
+       CAST((CAST(substr(l.quarter, 1, 1) AS INTEGER) % 4) + 1 AS VARCHAR) || 'Q' AS next_quarter,
+       CAST(trunc((f.intercept + f.slope * (l.value / 1e13)) * 1e13) AS BIGINT) AS predicted
+FROM (SELECT code, account, arg_max(bsns_year, bsns_year * 10 + CAST(substr(quarter, 1, 1) AS INTEGER)) AS bsns_year,
+             arg_max(quarter, bsns_year * 10 + CAST(substr(quarter, 1, 1) AS INTEGER)) AS quarter,
+             arg_max(value, bsns_year * 10 + CAST(substr(quarter, 1, 1) AS INTEGER)) AS value
+      FROM fin_nation_fact GROUP BY code, account) l
+JOIN fc_fit f ON f.code = l.code AND f.account = l.account
+WHERE f.slope IS NOT NULL""", extra=_PAIRS))
+def forecast_next(t):
+    """FC3/ST7/UD2: next-quarter forecast from the latest actual of each series."""
+    _, c = _fit(t)
+    f = t.fin_nation_fact
+    pk = F.col("bsns_year") * 10 + F.substring("quarter", 1, 1).cast("int")
+    last = f.groupBy("code", "account").agg(F.max_by("bsns_year", pk).alias("bsns_year"),
+                                            F.max_by("quarter", pk).alias("quarter"),
+                                            F.max_by("value", pk).alias("value"))
+    j = last.join(c.filter(F.col("slope").isNotNull()), ["code", "account"])
+    ny, nq = S.next_period(F.col("bsns_year"), F.col("quarter"))
+    model = S.MODELS["linear"]
+    return j.select("code", "account", ny.cast("int").alias("next_year"), nq.alias("next_quarter"),
+                    S.apply_scaled(F.col("value"), lambda x: model(x, F.col("intercept"), F.col("slope")))
+                    .alias("predicted"))
+
+
+@query("forecast_backtest", sql_with(["fc_fit", "fc_pairs"], """
+SELECT p.code, p.account, CAST(p.bsns_year AS VARCHAR) || '-' || p.quarter AS date,
+       CAST(trunc(p.y * 1e13) AS BIGINT) AS current,
+       CAST(trunc((f.intercept + f.slope * p.x) * 1e13) AS BIGINT) AS predicted
+FROM fc_pairs p JOIN fc_fit f ON f.code = p.code AND f.account = p.account WHERE f.slope IS NOT NULL""", extra=_PAIRS))
+def forecast_backtest(t):
+    """FC4: in-sample fitted series, actual next to predicted."""
+    p, c = _fit(t)
+    j = p.join(c.filter(F.col("slope").isNotNull()), ["code", "account"])
+    return j.select("code", "account", F.concat_ws("-", F.col("bsns_year").cast("string"), "quarter").alias("date"),
+                    S.inv_scale(F.col("y")).alias("current"),
+                    S.predict(F.col("x"), F.col("intercept"), F.col("slope")).alias("predicted"))
+
+
+@query("forecast_summary", sql_with(["fc_fit"], """
+SELECT code, account, n, ROUND(r2, 6) AS r2,
+       ROUND(sqrt(CASE WHEN n - 2 = 0 THEN NULL ELSE (syy - sxy * sxy / sxx) / (n - 2) END), 9) AS sigma,
+       ROUND(sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 6) AS se_slope,
+       ROUND(sqrt((syy - sxy * sxy / sxx) / (n - 2) * (1.0 / n + avgx * avgx / sxx)), 9) AS se_intercept,
+       ROUND(slope / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 4) AS t_slope
+FROM fc_fit WHERE n > 2""", extra=_PAIRS))
+def forecast_summary(t):
+    """FC5: model summary (n, R², residual σ, standard errors, t of the slope) in closed form."""
+    _, c = _fit(t)
+    return S.summary(c.filter(F.col("n") > 2))
+
+
+# ----------------------------------------------------------------------------------------- metrics
+_SCORED = {
+    "scored": ("SELECT l.doc_id, d.lang, d.source, l.quality AS label, l.toxic AS pred, "
+               "(((l.doc_id * 37 + 11) % 100) + 0.5) / 100.0 AS p1, "
+               "(((l.doc_id * 53 + 7) % 100) + 0.5) / 100.0 AS q1, l.toxic AS label2 "
+               "FROM labels l JOIN documents d ON d.doc_id = l.doc_id", []),
+}
+
+
+@query("metric_accuracy", sql_with([], """
+SELECT lang AS scope, ROUND(AVG(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, COUNT(*) AS n
+FROM scored GROUP BY lang
+UNION ALL SELECT 'ALL', ROUND(AVG(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6), COUNT(*) FROM scored""",
+       extra=_SCORED))
+def metric_accuracy(t):
+    """EV1/EV6: accuracy per language and over all rows (one aggregate over the epoch, no per-batch mean)."""
+    return M.accuracy(M.scored(t), "lang")
+
+
+@query("metric_confusion", sql_with([], "SELECT label, pred, COUNT(*) AS n FROM scored GROUP BY 1, 2", extra=_SCORED))
+def metric_confusion(t):
+    """EV3: confusion counts."""
+    return M.confusion(M.scored(t))
+
+
+@query("metric_f1", sql_with([], """
+SELECT scope, ROUND(prec, 6) AS precision, ROUND(rec, 6) AS recall, ROUND(f1, 6) AS f1 FROM (
+  SELECT CAST(cls AS VARCHAR) AS scope, tp / NULLIF(tp + fp, 0) AS prec, tp / NULLIF(tp + fn, 0) AS rec,
+         2.0 * tp / NULLIF(2.0 * tp + fp + fn, 0) AS f1 FROM cls_counts
+  UNION ALL
+  SELECT 'micro', SUM(tp) / NULLIF(SUM(tp) + SUM(fp), 0), SUM(tp) / NULLIF(SUM(tp) + SUM(fn), 0),
+         2.0 * SUM(tp) / NULLIF(2.0 * SUM(tp) + SUM(fp) + SUM(fn), 0) FROM cls_counts
+  UNION ALL
+  SELECT 'macro', AVG(COALESCE(tp / NULLIF(tp + fp, 0), 0.0)), AVG(COALESCE(tp / NULLIF(tp + fn, 0), 0.0)),
+         AVG(COALESCE(2.0 * tp / NULLIF(2.0 * tp + fp + fn, 0), 0.0)) FROM cls_counts) x""",
+       extra={**_SCORED, "cls_counts": (
+           "SELECT c.cls, CAST(SUM(CASE WHEN s.pred = c.cls AND s.label = c.cls THEN 1 ELSE 0 END) AS DOUBLE) AS tp, "
+           "CAST(SUM(CASE WHEN s.pred = c.cls AND s.label <> c.cls THEN 1 ELSE 0 END) AS DOUBLE) AS fp, "
+           "CAST(SUM(CASE WHEN s.pred <> c.cls AND s.label = c.cls THEN 1 ELSE 0 END) AS DOUBLE) AS fn "
+           "FROM scored s JOIN (SELECT label AS cls FROM scored UNION SELECT pred FROM scored) c ON TRUE "
+           "GROUP BY c.cls", ["scored"])}))
+def metric_f1(t):
+    """EV2: per-class, micro and macro precision/recall/F1 from tp/fp/fn counts."""
+    return M.f1_scores(M.scored(t))
+
+
+@query("metric_focal_loss", sql_with([], """
+SELECT lang AS scope, ROUND(AVG(0.75 * pow(1 - pt, 3) * -ln(pt)), 6) AS focal_loss FROM
+  (SELECT lang, CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END AS pt FROM scored) x GROUP BY lang
+UNION ALL SELECT 'ALL', ROUND(AVG(0.75 * pow(1 - pt, 3) * -ln(pt)), 6) FROM
+  (SELECT CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END AS pt FROM scored) y""", extra=_SCORED))
+def metric_focal_loss(t):
+    """EV4: focal loss α(1−p_t)^γ·(−ln p_t), α = 0.75, γ = 3, mean per language and overall."""
+    return M.focal_loss(M.scored(t), "lang")
+
+
+@query("metric_cross_entropy", sql_with([], """
+SELECT lang AS scope, ROUND(AVG(-ln(CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END)), 6) AS ce_quality,
+       ROUND(AVG(-ln(CASE WHEN label2 = 1 THEN q1 ELSE 1 - q1 END)), 6) AS ce_toxic,
+       ROUND(AVG(-ln(CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END)) + AVG(-ln(CASE WHEN label2 = 1 THEN q1 ELSE 1 - q1 END)), 6) AS joint
+FROM scored GROUP BY lang""", extra=_SCORED))
+def metric_cross_entropy(t):
+    """EV5: cross-entropy of each head and the joint loss (sum of the two)."""
+    return M.cross_entropy(M.scored(t), "lang")
+
+
+@query("best_k_runs", sql_with([], """
+SELECT run_id, val_loss FROM (
+  SELECT lang || '/' || source AS run_id, ROUND(AVG(-ln(CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END)), 6) AS val_loss
+  FROM scored GROUP BY lang, source) r ORDER BY val_loss, run_id LIMIT 3""", extra=_SCORED))
+def best_k_runs(t):
+    """EV7: keep the best k runs by validation loss (top-k is the feature: distributed take-ordered)."""
+    return M.best_k(M.scored(t), 3)
