@@ -17,7 +17,7 @@ ONTO_DEPTH = 8  # the account ontology is 6 levels high (see tests)
 
 def _onto(t):
     e, n = O.edges(t.spark), O.nodes(t.spark)
-    return e, n, O.cached(t.spark, "coef", lambda: EV.coefficients(e, n, max_depth=ONTO_DEPTH))
+    return e, n, O.coef_df(t.spark)
 
 
 @query("eval_leaf", sql_with(["fin_fact", "onto_leafs"],
@@ -182,7 +182,7 @@ def whatif_leaf(t):
 def whatif_internal(t):
     """EVA10: subject is itself a rollup — every leaf under it is scaled."""
     e, n, coef = _onto(t)
-    clos = G.closure(EV.partof_edges(e, n), weight=F.col("child_sign"), max_depth=ONTO_DEPTH)
+    clos = O.partof_closure_df(t.spark)
     internal = EV.partof_edges(e, n).select(F.col("parent").alias("descendant")).distinct()
     targets = coef.select("ancestor").distinct()
     s = clos.join(internal, "descendant", "left_semi").join(targets, "ancestor", "left_semi").select(

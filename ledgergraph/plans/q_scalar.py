@@ -106,11 +106,9 @@ def time_phrase_resolve(t):
     ph = time_phrase_table(t.spark)
     o = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("as_of"),
                         (F.col("o_orderkey") % _NPH).cast("int").alias("idx"))
-    j = o.join(F.broadcast(ph), "idx")
-    r = DL.resolve_time(F.col("phrase"), F.col("as_of"), F.col("year_desc"), F.col("quarter_desc"))
-    return j.select("o_orderkey", F.col("as_of").cast("string").alias("as_of"), "phrase", r["year"].alias("year"),
-                    r["quarter"].alias("quarter"),
-                    r["error"].alias("error"), r["warning"].alias("warning"))
+    j = DL.resolve_time(o.join(F.broadcast(ph), "idx"), "phrase", "as_of", "year_desc", "quarter_desc")
+    return j.select("o_orderkey", F.col("as_of").cast("string").alias("as_of"), "phrase", F.col("t_year").alias("year"),
+                    F.col("t_quarter").alias("quarter"), F.col("t_error").alias("error"), F.col("t_warning").alias("warning"))
 
 
 @query("report_availability", """

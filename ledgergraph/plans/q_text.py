@@ -18,13 +18,14 @@ ONTO_DEPTH = 8
 
 def _pairs(t):
     def build():
-        e = O.edges(t.spark)
-        return C.pairs_df(C.ontology_pairs(e, lambda x: G.closure(x, max_depth=ONTO_DEPTH)))
+        c = O.all_roles_closure_df(t.spark)
+        return C.pairs_df(c.select(F.col("ancestor").alias("target"), F.col("descendant").alias("subject")))
     return O.cached(t.spark, "qa_pairs", build)
 
 
 def corpus(t, complex_tags: bool = False):
-    return C.build(t.fin_filing, t.spark, _pairs(t), complex_tags)
+    return t.derived(f"corpus{complex_tags}", lambda: C.build(t.fin_filing, t.spark, _pairs(t), complex_tags),
+                     checkpoint=True)
 
 
 # ------------------------------------------------------------------------------------------ SQL twin
@@ -269,7 +270,7 @@ def ssql(names, body):
 
 
 def split(t):
-    return TX.stratified_split(corpus(t), "intent", "question_id", test=0.05, valid=0.1)
+    return t.derived("split", lambda: TX.stratified_split(corpus(t), "intent", "question_id", test=0.05, valid=0.1))
 
 
 @query("split_stratified", ssql(["c_split"], "SELECT question_id, intent, split FROM c_split"))

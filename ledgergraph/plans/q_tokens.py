@@ -66,8 +66,15 @@ def tsql(names, body):
 
 
 def _qtok(t):
-    c = corpus(t).select("question_id", F.regexp_replace("text", "[?,]", " ").alias("norm"))
-    return TX.tokenize_offsets(c, "question_id", "norm")
+    def build():
+        c = corpus(t).select("question_id", F.regexp_replace("text", "[?,]", " ").alias("norm"))
+        return TX.tokenize_offsets(c, "question_id", "norm")
+    return t.derived("qtok", build)
+
+
+def _matches(t):
+    return t.derived("matches", lambda: NLU.longest_matches(NLU.gazetteer_matches(_qtok(t), t.spark)),
+                     checkpoint=True)
 
 
 def _spans(t):
@@ -247,7 +254,7 @@ SELECT doc AS question_id,
 FROM q_longest GROUP BY doc"""))
 def entities_to_slots(t):
     """TX11/WN4: accounts in text order; other tags last-wins."""
-    m = NLU.longest_matches(NLU.gazetteer_matches(_qtok(t), t.spark))
+    m = _matches(t)
     return NLU.slots(m).withColumnRenamed("doc", "question_id")
 
 
@@ -257,7 +264,7 @@ SELECT doc AS question_id, tag, phrase AS value FROM (
   WHERE tag NOT IN ('IS', 'BS')) x WHERE rn = 1"""))
 def tags_last_wins(t):
     """WN4: per question and tag keep the last occurrence (dictionary-assignment semantics)."""
-    m = NLU.longest_matches(NLU.gazetteer_matches(_qtok(t), t.spark)).filter(~F.col("tag").isin("IS", "BS"))
+    m = _matches(t).filter(~F.col("tag").isin("IS", "BS"))
     w = Window.partitionBy("doc", "tag").orderBy(F.desc("start"))
     return m.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(
         F.col("doc").alias("question_id"), "tag", F.col("phrase").alias("value"))
@@ -268,7 +275,7 @@ SELECT m.doc AS question_id, m.phrase, a.acc FROM q_longest m
 LEFT JOIN onto_master a ON lower(a.name_eng) = m.phrase WHERE m.tag IN ('IS', 'BS')"""))
 def account_name_resolve(t):
     """JN6: mentioned account name -> account id on the normalised (lower-case) name."""
-    m = NLU.longest_matches(NLU.gazetteer_matches(_qtok(t), t.spark)).filter(F.col("tag").isin("IS", "BS"))
+    m = _matches(t).filter(F.col("tag").isin("IS", "BS"))
     names = O.master_raw(t.spark).select("acc", F.lower("name_eng").alias("phrase"))
     return m.join(F.broadcast(names), "phrase", "left").select(F.col("doc").alias("question_id"), "phrase", "acc")
 
@@ -298,7 +305,7 @@ FROM c_corpus c LEFT JOIN (
   FROM q_longest GROUP BY doc) s ON s.doc = c.question_id"""))
 def intent_rules(t):
     """TX12 (rules): intent from the slots and the template verb — a baseline next to the learned model."""
-    m = NLU.longest_matches(NLU.gazetteer_matches(_qtok(t), t.spark))
+    m = _matches(t)
     c = corpus(t).select("question_id", "intent", "text")
     return NLU.rule_intent(c, m)
 

@@ -172,3 +172,63 @@ def master_sql() -> str:
 def lexicon_sql() -> str:
     return values_sql(lexicon_rows(), ["kind", "word", "tag", "word_desc", "pos"],
                       ["VARCHAR", "VARCHAR", "VARCHAR", "VARCHAR", "INTEGER"])
+
+
+# ---------------------------------------------------------------------------
+# Compile step for the fixed ontology.  The account graph is configuration
+# (tens of nodes), not data: its closure is enumerated once on the driver and
+# shipped as a small broadcast table.  Data-sized graphs use the distributed
+# closure in ``ledgergraph.operators.graph`` (tests check both agree).
+# ---------------------------------------------------------------------------
+
+def closure_rows(edge_rows: list[tuple[str, str]], weight: dict[str, int] | None = None) -> list[tuple]:
+    """(ancestor, descendant, n_paths, weight, min_depth, max_depth) by path enumeration (acyclic input)."""
+    parents: dict[str, list[str]] = {}
+    for child, parent in edge_rows:
+        parents.setdefault(child, []).append(parent)
+    acc: dict[tuple[str, str], list] = {}
+
+    def walk(start: str, node: str, w: int, depth: int, seen: tuple) -> None:
+        for p in parents.get(node, []):
+            if p in seen:
+                raise ValueError("cycle in ontology edges")
+            ww = w * (weight.get(node, 1) if weight else 1)
+            r = acc.setdefault((p, start), [0, 0, depth, depth])
+            r[0] += 1
+            r[1] += ww
+            r[2] = min(r[2], depth)
+            r[3] = max(r[3], depth)
+            walk(start, p, ww, depth + 1, seen + (p,))
+
+    nodes = {c for c, _ in edge_rows} | {p for _, p in edge_rows}
+    for n in sorted(nodes):
+        walk(n, n, 1, 1, (n,))
+    return sorted((a, d, v[0], v[1], v[2], v[3]) for (a, d), v in acc.items())
+
+
+CLOSURE_SCHEMA = "ancestor string, descendant string, n_paths long, weight long, min_depth int, max_depth int"
+
+
+def coef_rows() -> list[tuple]:
+    """(ancestor, leaf, coef, n_paths) over partOf edges with child signs (unsigned = +1)."""
+    po = [(c, p) for c, p, r in RV.ACCOUNT_EDGES if r == "partOf"]
+    signs = {a: (s if s is not None else 1) for a, _, _, _, s, _ in node_rows()}
+    parents = {p for _, p in po}
+    return [(a, d, w, n) for a, d, n, w, _, _ in closure_rows(po, signs) if d not in parents]
+
+
+def coef_df(spark: SparkSession) -> DataFrame:
+    return cached(spark, "coef", lambda: spark.createDataFrame(
+        coef_rows(), "ancestor string, leaf string, coef long, n_paths long"))
+
+
+def partof_closure_df(spark: SparkSession) -> DataFrame:
+    po = [(c, p) for c, p, r in RV.ACCOUNT_EDGES if r == "partOf"]
+    signs = {a: (s if s is not None else 1) for a, _, _, _, s, _ in node_rows()}
+    return cached(spark, "partof_closure", lambda: spark.createDataFrame(closure_rows(po, signs), CLOSURE_SCHEMA))
+
+
+def all_roles_closure_df(spark: SparkSession) -> DataFrame:
+    """Closure over every role (partOf, numerator, denominator) without the one-year duration node."""
+    e = [(c, p) for c, p, _ in RV.ACCOUNT_EDGES if "CalendarOneYear" not in (c, p)]
+    return cached(spark, "all_roles_closure", lambda: spark.createDataFrame(closure_rows(e), CLOSURE_SCHEMA))
