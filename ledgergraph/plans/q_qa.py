@@ -183,3 +183,17 @@ def qa_forecast(t):
 def qa_end_to_end(t):
     """QA5 (flagship): text -> tags -> slots -> validation -> evaluated answer or error, for every question."""
     return _answers(t)
+
+
+def answer_questions(t, questions):
+    """Answer an arbitrary questions frame (question_id, code, bsns_year, text) — used per micro-batch."""
+    from ..operators import text as TX
+    norm = questions.select("question_id", F.regexp_replace("text", "[?,]", " ").alias("norm"))
+    m = NLU.longest_matches(NLU.gazetteer_matches(TX.tokenize_offsets(norm, "question_id", "norm"), t.spark))
+    m = m.checkpoint(eager=True)  # cut lineage per micro-batch
+    intents = NLU.rule_intent(questions.select("question_id", F.lit(None).cast("string").alias("intent"), "text"), m) \
+        .select("question_id", F.col("predicted_intent").alias("intent"))
+    q = questions.select("question_id", "code", "bsns_year").join(intents, "question_id")
+    valid = QA.validate(q, QA.question_slots(m), _pairs(t), t.spark).checkpoint(eager=True)
+    e, n, coef = _onto(t)
+    return QA.answer_all(valid, t.fin_fact, coef, EV.ratio_definitions(e), n)

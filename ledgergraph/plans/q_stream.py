@@ -1 +1,45 @@
-"""(filled in below)"""
+"""Streaming queries (SM1-SM3), each driven to completion with an availableNow trigger."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources.io import scratch_path
+from ..streaming import streams as ST
+from .q_qa import answer_questions, qsql
+from .q_text import corpus
+from .registry import query
+
+_DIALOG_SQL = """
+SELECT conv_id, turn, role,
+       CAST(ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS turn_no,
+       LAST_VALUE(CASE WHEN role = 'user' THEN CASE WHEN strpos(text, '?') > 0 THEN 'question' ELSE 'statement' END END
+                  IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+         AS carried_intent
+FROM conversations"""
+
+
+@query("stream_filings_dedup")
+def stream_filings_dedup(t):
+    """SM1: records landing as a stream, each (user, event type) counted once within a 1-hour watermark."""
+    return ST.filings_dedup(t.spark, t.sf_dir, "events.parquet",
+                            "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+                            ["user_id", "event_type"], "ts").select("event_id", "user_id", "event_type",
+                                                                    F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("stream_dialog_state", _DIALOG_SQL)
+def stream_dialog_state(t):
+    """SM3: per-conversation turn state in keyed streaming state; equals the batch window result."""
+    out = ST.dialog_state(t.spark, t.sf_dir, "conversations.parquet")
+    return out.select("conv_id", "turn", "role", F.col("turn_no").cast("int").alias("turn_no"), "carried_intent")
+
+
+@query("stream_qa", qsql(["qa_answers"], "SELECT question_id, intent, target_account, subject_account, year, quarter, "
+                                         "answer, baseline, error_code FROM qa_answers"))
+def stream_qa(t):
+    """SM2: questions arriving as a stream, answered per micro-batch against the static facts."""
+    path = scratch_path(t.spark, "questions")
+    corpus(t).select("question_id", "code", "bsns_year", "text").write.mode("overwrite").parquet(path)
+    return ST.answer_stream(t.spark, path, "question_id string, code string, bsns_year int, text string",
+                            lambda batch: answer_questions(t, batch))
