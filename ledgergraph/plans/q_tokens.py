@@ -315,3 +315,110 @@ def intent_classify(t):
     """TX12 (learned): Tokenizer -> HashingTF -> NaiveBayes trained on the train split, scored on test."""
     s = split(t).select("question_id", "text", "intent", "split")
     return NLU.train_and_score_intent(s)
+
+
+# ------------------------------------------------------------------------------ sequence scoring
+from ..operators import sequence as SQ  # noqa: E402
+
+SEQ_VIEWS = {
+    "s_seq": ("SELECT doc, pos, lower(token) AS word, iob AS tag FROM q_iob", ["q_iob"]),
+    "s_trans": ("""
+SELECT from_tag, to_tag, COUNT(*) AS n FROM (
+  SELECT COALESCE(LAG(tag) OVER w, '<S>') AS from_tag, tag AS to_tag FROM s_seq WINDOW w AS (PARTITION BY doc ORDER BY pos)
+  UNION ALL
+  SELECT tag, '</S>' FROM (SELECT tag, LEAD(tag) OVER (PARTITION BY doc ORDER BY pos) AS nxt FROM s_seq) x WHERE nxt IS NULL) y
+GROUP BY 1, 2""", ["s_seq"]),
+    "s_tlp": (f"""
+SELECT t.from_tag, t.to_tag, t.n, f.n_from, ln((t.n + 1) / (f.n_from + {len(SQ.tag_set()) + 1})) AS logprob
+FROM s_trans t JOIN (SELECT from_tag, SUM(n) AS n_from FROM s_trans GROUP BY 1) f ON f.from_tag = t.from_tag""", ["s_trans"]),
+    "s_em": ("SELECT tag, word, COUNT(*) AS n FROM s_seq GROUP BY 1, 2", ["s_seq"]),
+    "s_elp": ("""
+SELECT e.tag, e.word, e.n, ln((e.n + 1) / (t.n_tag + v.v)) AS logprob FROM s_em e
+JOIN (SELECT tag, SUM(n) AS n_tag FROM s_em GROUP BY 1) t ON t.tag = e.tag
+JOIN (SELECT COUNT(DISTINCT word) AS v FROM s_em) v ON TRUE""", ["s_em"]),
+}
+
+
+def ssq(names, body):
+    return sql_with(names, body, extra={**TOKEN_VIEWS, **SEQ_VIEWS})
+
+
+def _seq(t):
+    b = _biluo(t).withColumn("iob", TX.biluo_to_iob(F.col("tag")))
+    return t.derived("seq", lambda: b.select("doc", "pos", F.lower("token").alias("word"), F.col("iob").alias("tag")),
+                     checkpoint=True)
+
+
+@query("tag_transition_counts", ssq(["s_trans"], "SELECT from_tag, to_tag, n FROM s_trans"))
+def tag_transition_counts(t):
+    """SQ1: start / transition / end counts between tags (lag/lead windows + group)."""
+    return SQ.transitions(_seq(t))
+
+
+@query("tag_transition_logprob", ssq(["s_tlp"], "SELECT from_tag, to_tag, ROUND(logprob, 6) AS logprob FROM s_tlp"))
+def tag_transition_logprob(t):
+    """SQ1: add-one smoothed transition log-probabilities."""
+    lp = SQ.transition_logprob(SQ.transitions(_seq(t)))
+    return lp.select("from_tag", "to_tag", F.round("logprob", 6).alias("logprob"))
+
+
+@query("tag_emission_counts", ssq(["s_elp"], "SELECT tag, word, n, ROUND(logprob, 6) AS logprob FROM s_elp"))
+def tag_emission_counts(t):
+    """SQ2: word × tag emission counts and smoothed log-probabilities."""
+    e = SQ.emission_logprob(SQ.emissions(_seq(t)))
+    return e.select("tag", "word", "n", F.round("logprob", 6).alias("logprob"))
+
+
+@query("sequence_score", ssq(["s_seq", "s_tlp", "s_elp"], """
+SELECT s.doc, ROUND(SUM(tl.logprob + el.logprob + CASE WHEN s.nxt IS NULL THEN en.logprob ELSE 0 END), 6) AS score,
+       COUNT(*) AS length
+FROM (SELECT *, COALESCE(LAG(tag) OVER w, '<S>') AS from_tag, LEAD(tag) OVER w AS nxt FROM s_seq
+      WINDOW w AS (PARTITION BY doc ORDER BY pos)) s
+JOIN s_tlp tl ON tl.from_tag = s.from_tag AND tl.to_tag = s.tag
+JOIN s_elp el ON el.tag = s.tag AND el.word = s.word
+LEFT JOIN s_tlp en ON en.from_tag = s.tag AND en.to_tag = '</S>'
+GROUP BY s.doc"""))
+def sequence_score(t):
+    """SQ3: score of each given tag path (start + transitions + emissions + end)."""
+    seq = _seq(t)
+    tr = SQ.transition_logprob(SQ.transitions(seq))
+    em = SQ.emission_logprob(SQ.emissions(seq))
+    return SQ.score(seq, tr, em)
+
+
+def _dp(t):
+    def build():
+        seq = _seq(t)
+        tr = SQ.transition_logprob(SQ.transitions(seq))
+        em = SQ.emission_logprob(SQ.emissions(seq))
+        return SQ.dp_scores(seq, tr, em)
+    return t.derived("dp", build, checkpoint=True)
+
+
+@query("sequence_logz")
+def sequence_logz(t):
+    """SQ4: log partition function per sequence (forward recursion in applyInPandas per sequence)."""
+    return _dp(t).select("doc", F.round("logz", 6).alias("logz"))
+
+
+@query("sequence_loglik")
+def sequence_loglik(t):
+    """SQ5: log-likelihood = score − logZ per sequence, plus sum / mean / token-mean reductions."""
+    seq = _seq(t)
+    sc = SQ.score(seq, SQ.transition_logprob(SQ.transitions(seq)), SQ.emission_logprob(SQ.emissions(seq)))
+    ll = sc.join(_dp(t), "doc").select("doc", "length", (F.col("score") - F.col("logz")).alias("llh"))
+    per = ll.select("doc", F.round("llh", 6).alias("value"), F.lit("none").alias("reduction"))
+    agg = ll.agg(F.sum("llh").alias("sum"), F.avg("llh").alias("mean"), (F.sum("llh") / F.sum("length")).alias("token_mean"))
+    red = agg.selectExpr("stack(3, 'sum', sum, 'mean', mean, 'token_mean', token_mean) AS (reduction, value)") \
+        .select(F.lit(None).cast("string").alias("doc"), F.round("value", 6).alias("value"), "reduction")
+    return per.unionByName(red)
+
+
+@query("viterbi_decode")
+def viterbi_decode(t):
+    """SQ6: best tag path per sequence (Viterbi in applyInPandas) next to the gold path."""
+    gold = _seq(t).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))),
+                                                                lambda x: x.tag), " ").alias("gold_path"))
+    d = _dp(t)
+    return d.join(gold, "doc").select("doc", F.round("best_score", 6).alias("best_score"), "best_path", "gold_path",
+                                      (F.col("best_path") == F.col("gold_path")).alias("exact"))
