@@ -55,11 +55,18 @@ def gazetteer_matches(tokens: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def longest_matches(m: DataFrame) -> DataFrame:
-    """Drop a match when a strictly longer match in the same question covers it."""
-    o = m.select(F.col("doc").alias("o_doc"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
-    cond = ((m.doc == o.o_doc) & (o.o_start <= m.start) & (o.o_end >= m.end)
-            & ((o.o_end - o.o_start) > (m.end - m.start)))
-    return m.join(o, cond, "left_anti")
+    """Drop a match when a strictly longer match in the same text covers it.
+
+    The matches of one text (a handful) are gathered once by text id and
+    filtered with ``exists`` — one shuffle of the matches, no self join that
+    would evaluate the matching pipeline twice.
+    """
+    keep = [c for c in m.columns if c not in ("doc", "start", "end", "tag", "phrase")]
+    g = m.groupBy("doc", *keep).agg(F.collect_list(F.struct("start", "end", "tag", "phrase")).alias("ms"))
+    kept = F.expr("filter(ms, x -> NOT exists(ms, o -> o.start <= x.start AND o.`end` >= x.`end` "
+                  "AND (o.`end` - o.start) > (x.`end` - x.start)))")
+    return g.select("doc", *keep, F.explode(kept).alias("x")).select(
+        "doc", *keep, "x.start", "x.end", "x.tag", "x.phrase")
 
 
 def overlap_pairs(m: DataFrame) -> DataFrame:
@@ -153,3 +160,124 @@ def train_and_score_intent(s: DataFrame) -> DataFrame:
     back = IndexToString(inputCol="prediction", outputCol="predicted_intent", labels=model.stages[0].labels)
     pred = back.transform(model.transform(s.filter(F.col("split") == "test")))
     return pred.select("question_id", F.col("intent").alias("true_intent"), "predicted_intent")
+
+
+# ---------------------------------------------------------------------------
+# Per-row tagging of short texts: tokens, n-grams, dictionary lookup and
+# longest-match selection as array expressions inside one projection — no
+# shuffle, no join (the dictionary is a bounded map literal).
+# ---------------------------------------------------------------------------
+
+def _gaz_map_sql() -> str:
+    body = ", ".join(f"'{p}', '{t}'" for p, t in gazetteer_rows())
+    return f"map({body})"
+
+
+def tag_texts(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
+    """(id, [keep…], all_matches, matches): dictionary/percent matches and the longest-match selection.
+
+    Each step is its own projection (words, offsets, tokens, n-grams, matches),
+    so every array is computed once per row; '?' and ',' are blanked first
+    (same length, so offsets still index the original text).
+    """
+    n = max_gazetteer_tokens()
+    keep = keep or []
+    d = df.select(F.col(id_col).alias("doc"), *keep,
+                  F.split(F.regexp_replace(F.col(text_col), "[?,]", " "), " ", -1).alias("_w"))
+    d = d.select("doc", *keep, "_w", F.expr("transform(_w, w -> length(w))").alias("_l"))
+    d = d.select("doc", *keep, "_w", F.expr(
+        "transform(sequence(0, size(_w) - 1), i -> aggregate(slice(_l, 1, i), 0, (a, x) -> a + x + 1))").alias("_s"))
+    d = d.select("doc", *keep, F.expr(
+        "filter(transform(sequence(0, size(_w) - 1), i -> named_struct('token', _w[i], 'start', _s[i], "
+        "'end', _s[i] + length(_w[i]))), t -> t.token != '')").alias("_t"))
+    d = d.select("doc", *keep, F.expr(
+        f"flatten(transform(sequence(0, size(_t) - 1), i -> transform(sequence(1, least({n}, size(_t) - i)), "
+        f"k -> named_struct('start', _t[i].start, 'end', _t[i + k - 1].`end`, "
+        f"'phrase', array_join(transform(slice(_t, i + 1, k), x -> x.token), ' ')))))").alias("_g"))
+    d = d.select("doc", *keep, "_g", F.expr(_gaz_map_sql()).alias("_gaz"))
+    d = d.select("doc", *keep, F.expr(
+        "filter(transform(_g, g -> named_struct('start', g.start, 'end', g.`end`, 'tag', "
+        f"coalesce(try_element_at(_gaz, g.phrase), CASE WHEN g.phrase RLIKE '{PERCENT_PATTERN}' THEN 'PERCENT' END), "
+        "'phrase', g.phrase)), m -> m.tag IS NOT NULL)").alias("all_matches"))
+    return d.withColumn("matches", F.expr(
+        "filter(all_matches, m -> NOT exists(all_matches, o -> o.start <= m.start AND o.`end` >= m.`end` "
+        "AND (o.`end` - o.start) > (m.`end` - m.start)))"))
+
+
+def explode_matches(tagged: DataFrame, col: str = "matches") -> DataFrame:
+    """Back to the row form (doc, start, end, tag, phrase)."""
+    return tagged.select("doc", F.explode(col).alias("m")).select(
+        "doc", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.tag").alias("tag"),
+        F.col("m.phrase").alias("phrase"))
+
+
+def row_slots(tagged: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Slots per text from its match array: accounts in text order, other tags last-wins, counts."""
+    acc = F.expr("array_sort(transform(filter(matches, m -> m.tag IN ('IS', 'BS')), "
+                 "m -> named_struct('start', m.start, 'phrase', m.phrase, 'tag', m.tag)))")
+
+    def last(tag):
+        return F.expr(f"element_at(array_sort(transform(filter(matches, m -> m.tag = '{tag}'), "
+                      f"m -> named_struct('start', m.start, 'phrase', m.phrase))), -1).phrase")
+    return tagged.select("doc", *(keep or []), acc.alias("acc_arr"), last("TIME").alias("time"),
+                         last("PERCENT").alias("percent"),
+                         last("APPLY").alias("apply"),
+                         F.expr("size(filter(matches, m -> m.tag = 'APPLY'))").alias("n_apply"),
+                         F.expr("size(filter(matches, m -> m.tag = 'PERCENT'))").alias("n_pct"))
+
+
+def rule_intent_col(text: str = "text") -> Column:
+    """Rule intent from per-row slots (same rules as :func:`rule_intent`)."""
+    n_acc = F.size("acc_arr")
+    pred = (F.when((n_acc >= 2) & (F.col("n_apply") > 0) & (F.col("n_pct") > 0), "IF.fact")
+            .when((n_acc == 1) & (F.instr(text, " will be the ") > 0), "IF.forecast")
+            .when(n_acc == 1, "PAST.value").otherwise("None"))
+    return pred
+
+
+# ---------------------------------------------------------------------------
+# Row-wise dictionary tagging (codegen-friendly): tokens by posexplode with a
+# running offset, n-grams by lead() over the same per-text window, a
+# broadcast hash join with the dictionary, longest match by a keyed anti
+# join.  One shuffle (by text id) for the windows, one for the anti join.
+# ---------------------------------------------------------------------------
+
+def match_rows(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
+    """All dictionary / percent matches: (doc, *keep, start, end, tag, phrase)."""
+    keep = keep or []
+    n = max_gazetteer_tokens()
+    p = df.select(F.col(id_col).alias("doc"), *keep,
+                  F.posexplode(F.split(F.regexp_replace(F.col(text_col), "[?,]", " "), " ", -1)).alias("piece", "token"))
+    w = Window.partitionBy("doc").orderBy("piece")
+    p = p.withColumn("start", F.coalesce(F.sum(F.length("token") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                         F.lit(0)).cast("int"))
+    p = p.filter(F.length("token") > 0).withColumn("end", (F.col("start") + F.length("token")).cast("int"))
+    leads = [F.lead("token", k).over(w).alias(f"t{k}") for k in range(1, n)]
+    ends = [F.lead("end", k).over(w).alias(f"e{k}") for k in range(1, n)]
+    p = p.select("doc", *keep, "token", "start", "end", *leads, *ends)
+    grams = [F.struct(F.col("token").alias("phrase"), F.col("end").alias("end"))]
+    for k in range(1, n):
+        words = ["token"] + [f"t{j}" for j in range(1, k + 1)]
+        grams.append(F.when(F.col(f"t{k}").isNotNull(), F.struct(F.concat_ws(" ", *words).alias("phrase"),
+                                                                   F.col(f"e{k}").alias("end"))))
+    g = p.select("doc", *keep, "start", F.explode(F.array(*grams)).alias("g")).filter(F.col("g").isNotNull())
+    g = g.select("doc", *keep, "start", F.col("g.end").alias("end"), F.col("g.phrase").alias("phrase"))
+    gaz = df.sparkSession.createDataFrame(gazetteer_rows(), "phrase string, tag string")
+    hits = g.join(F.broadcast(gaz), "phrase")  # dictionary: bounded by ontology + lexicon
+    pct = g.filter(F.col("phrase").rlike(PERCENT_PATTERN)).withColumn("tag", F.lit("PERCENT"))
+    return hits.unionByName(pct).select("doc", *keep, "start", "end", "tag", "phrase")
+
+
+def question_slots_rows(questions: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """One row per question: (question_id, *keep, acc_arr, time, percent, apply, n_apply, n_pct, has_will)."""
+    base = questions.select(F.col(id_col).alias("doc"), *keep,
+                            (F.instr(F.col(text_col), " will be the ") > 0).alias("has_will"))
+    m = longest_matches(match_rows(questions.select(id_col, text_col), id_col, text_col))
+    acc = F.array_sort(F.collect_list(F.when(F.col("tag").isin("IS", "BS"), F.struct("start", "phrase", "tag"))))
+    agg = m.groupBy("doc").agg(acc.alias("acc_arr"), _last("TIME").alias("time"), _last("PERCENT").alias("percent"),
+                               _last("APPLY").alias("apply"),
+                               F.sum(F.when(F.col("tag") == "APPLY", 1).otherwise(0)).alias("n_apply"),
+                               F.sum(F.when(F.col("tag") == "PERCENT", 1).otherwise(0)).alias("n_pct"))
+    j = base.join(agg, "doc", "left")
+    return j.withColumnRenamed("doc", "question_id").withColumn(
+        "acc_arr", F.coalesce("acc_arr", F.array().cast("array<struct<start:int,phrase:string,tag:string>>")))

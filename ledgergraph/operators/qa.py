@@ -45,7 +45,7 @@ def validate(questions: DataFrame, slots: DataFrame, pairs: DataFrame, spark: Sp
     ql = spark.createDataFrame(list(RV.LEXICON_QUARTER) + list(RV.EXTRA_TIME_WORDS), "word string, quarter_desc string")
     ap = spark.createDataFrame(list(RV.LEXICON_WORDS), "apply string, apply_desc string")
 
-    q = questions.join(slots, questions.question_id == slots.doc, "left").drop("doc")
+    q = questions if slots is None else questions.join(slots, questions.question_id == slots.doc, "left").drop("doc")
     q = q.withColumn("acc_arr", F.coalesce("acc_arr", F.array().cast("array<struct<start:int,phrase:string,tag:string>>")))
     q = q.withColumn("word", F.split("time", " ").getItem(0))
     q = q.join(F.broadcast(yl), "word", "left").join(F.broadcast(ql), "word", "left").join(F.broadcast(ap), "apply", "left")

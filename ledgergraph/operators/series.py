@@ -52,11 +52,13 @@ def pairs(facts: DataFrame, keys: list[str] = SERIES) -> DataFrame:
                     scale(F.col("prev_value")).alias("x"))
 
 
-def fit(p: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """OLS per group: slope, intercept (rounded for stable predictions), r2, n and the moments."""
+def fit(p: DataFrame, keys: list[str] = SERIES, digits: int | None = COEF_DIGITS) -> DataFrame:
+    """OLS per group: slope, intercept (rounded to ``digits`` so engines agree bit-for-bit), r2, n, moments."""
+    def r(c):
+        return F.round(c, digits) if digits is not None else c
     return p.groupBy(*keys).agg(
-        F.round(F.regr_slope("y", "x"), COEF_DIGITS).alias("slope"),
-        F.round(F.regr_intercept("y", "x"), COEF_DIGITS).alias("intercept"),
+        r(F.regr_slope("y", "x")).alias("slope"),
+        r(F.regr_intercept("y", "x")).alias("intercept"),
         F.regr_r2("y", "x").alias("r2"),
         F.regr_count("y", "x").alias("n"),
         F.regr_sxx("y", "x").alias("sxx"),

@@ -19,7 +19,6 @@ from . import sqlviews  # noqa: F401
 from .q_eval import _onto
 from .q_scalar import time_resolve_sql
 from .q_text import CORPUS_VIEWS, _pairs, corpus
-from .q_tokens import _matches
 from .registry import query
 
 
@@ -28,12 +27,17 @@ def _valid(t):
 
 
 def _build_valid(t):
-    c = corpus(t)
-    m = _matches(t)
-    intents = NLU.rule_intent(c.select("question_id", "intent", "text"), m).select(
-        "question_id", F.col("predicted_intent").alias("intent"))
-    q = c.select("question_id", "code", "bsns_year").join(intents, "question_id")
-    return QA.validate(q, QA.question_slots(m), _pairs(t), t.spark)
+    return _validate_questions(t, corpus(t))
+
+
+def _validate_questions(t, questions):
+    """Slots per question (dictionary tagging), rule intent, then the slot rules (broadcast lookups only)."""
+    sl = NLU.question_slots_rows(questions, "question_id", "text", keep=["code", "bsns_year"])
+    n_acc = F.size("acc_arr")
+    intent = (F.when((n_acc >= 2) & (F.col("n_apply") > 0) & (F.col("n_pct") > 0), "IF.fact")
+              .when((n_acc == 1) & F.col("has_will"), "IF.forecast")
+              .when(n_acc == 1, "PAST.value").otherwise("None"))
+    return QA.validate(sl.withColumn("intent", intent), None, _pairs(t), t.spark)
 
 
 def _yl():
@@ -187,13 +191,6 @@ def qa_end_to_end(t):
 
 def answer_questions(t, questions):
     """Answer an arbitrary questions frame (question_id, code, bsns_year, text) — used per micro-batch."""
-    from ..operators import text as TX
-    norm = questions.select("question_id", F.regexp_replace("text", "[?,]", " ").alias("norm"))
-    m = NLU.longest_matches(NLU.gazetteer_matches(TX.tokenize_offsets(norm, "question_id", "norm"), t.spark))
-    m = m.checkpoint(eager=True)  # cut lineage per micro-batch
-    intents = NLU.rule_intent(questions.select("question_id", F.lit(None).cast("string").alias("intent"), "text"), m) \
-        .select("question_id", F.col("predicted_intent").alias("intent"))
-    q = questions.select("question_id", "code", "bsns_year").join(intents, "question_id")
-    valid = QA.validate(q, QA.question_slots(m), _pairs(t), t.spark).checkpoint(eager=True)
+    valid = _validate_questions(t, questions).checkpoint(eager=True)  # cut lineage per micro-batch
     e, n, coef = _onto(t)
     return QA.answer_all(valid, t.fin_fact, coef, EV.ratio_definitions(e), n)

@@ -72,9 +72,13 @@ def _qtok(t):
     return t.derived("qtok", build)
 
 
+def _all_matches(t):
+    """Every dictionary/percent match in every question (checkpointed: reused by several jobs)."""
+    return t.derived("all_matches", lambda: NLU.match_rows(corpus(t), "question_id", "text"), checkpoint=True)
+
+
 def _matches(t):
-    return t.derived("matches", lambda: NLU.longest_matches(NLU.gazetteer_matches(_qtok(t), t.spark)),
-                     checkpoint=True)
+    return t.derived("matches", lambda: NLU.longest_matches(_all_matches(t)))
 
 
 def _spans(t):
@@ -229,9 +233,8 @@ def pad_sequences(t):
        'SELECT doc AS question_id, start, "end", tag, phrase AS surface FROM q_longest'))
 def gazetteer_tag(t):
     """TX10: dictionary tagging — n-grams (≤ longest entry) ⋈ account/time/apply phrases, longest match wins."""
-    m = NLU.gazetteer_matches(_qtok(t), t.spark)
-    return NLU.longest_matches(m).select(F.col("doc").alias("question_id"), "start", "end", "tag",
-                                         F.col("phrase").alias("surface"))
+    return _matches(t).select(F.col("doc").alias("question_id"), "start", "end", "tag",
+                              F.col("phrase").alias("surface"))
 
 
 @query("span_overlap_pairs", tsql(["q_match"], """
@@ -241,7 +244,7 @@ FROM q_match a JOIN q_match b ON a.doc = b.doc AND a.start < b."end" AND b.start
  AND (a.start < b.start OR (a.start = b.start AND (a."end" < b."end" OR (a."end" = b."end" AND a.tag < b.tag))))"""))
 def span_overlap_pairs(t):
     """JN10: overlapping dictionary matches (a character claimed twice) by a self range join within a question."""
-    m = NLU.gazetteer_matches(_qtok(t), t.spark)
+    m = _all_matches(t)
     return NLU.overlap_pairs(m).withColumnRenamed("doc", "question_id")
 
 
