@@ -116,34 +116,66 @@ def evaluate_keyed(f: DataFrame, coef: DataFrame, defs: DataFrame, keys: list[st
 
 
 def answer_facts(valid: DataFrame, facts: DataFrame, coef: DataFrame, defs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """QA2/QA3: evaluate the target of every valid PAST.value / IF.fact question (base and scenario)."""
+    """QA2/QA3: evaluate only the target of every valid PAST.value / IF.fact question (base and scenario).
+
+    Each question expands to its target's evaluation plan (a bounded, broadcast
+    table compiled from the ontology: the node itself, or numerator/denominator
+    parts of each ratio), each part to its leaves, and the leaves join the
+    question's facts (one shuffle join on company/period/leaf).  Completeness
+    is checked per part and per ratio unit, as in the batch rollups.
+    """
+    spark = valid.sparkSession
+    plan = O.cached(spark, "target_plan", lambda: spark.createDataFrame(
+        O.target_plan_rows(), "target_account string, mode string, unit string, node string, role string, "
+                              "weight double, scale double"))
+    ext = O.cached(spark, "coef_ext", lambda: spark.createDataFrame(O.coef_ext_rows(), "node string, leaf string, coef long"))
+    need = ext.groupBy("node").agg(F.count(F.lit(1)).alias("need"))
+    units = plan.groupBy("target_account").agg(F.countDistinct("unit").alias("n_units"))
+
     ok = valid.filter(F.col("error_code").isNull() & F.col("intent").isin("PAST.value", "IF.fact"))
     variants = F.when(F.col("intent") == "IF.fact", F.array(F.lit("base"), F.lit("scen"))).otherwise(F.array(F.lit("base")))
-    qk = ok.select("question_id", "code", F.col("year").alias("bsns_year"), "quarter", "subject_account",
-                   F.coalesce("pct", F.lit(0)).alias("pct"), F.explode(variants).alias("variant"))
-    f = facts.select("code", "bsns_year", "quarter", "account", "value")
-    j = qk.join(f, ["code", "bsns_year", "quarter"])
-    sl = coef.select(F.col("ancestor").alias("subject_account"), F.col("leaf").alias("account"), F.lit(True).alias("under"))
-    j = j.join(F.broadcast(sl), ["subject_account", "account"], "left")
-    hit = (F.col("variant") == "scen") & ((F.col("account") == F.col("subject_account")) | F.col("under").isNotNull())
-    m = F.when(hit, F.lit(100) + F.col("pct")).otherwise(F.lit(100)).cast("long")
-    fq = j.select("question_id", "variant", "account", (F.col("value") * m).alias("value"))
-    vals = evaluate_keyed(fq, coef, defs, QK)
-    kinds = nodes.select(F.col("acc").alias("account"), "kind")
-    v = vals.join(F.broadcast(kinds), "account").select(
-        *QK, "account", F.when(F.col("kind") == "Value", F.col("value") / 100.0).otherwise(F.round("value", 6)).alias("v"))
-    t = ok.select("question_id", F.col("target_account").alias("account"))
-    a = v.join(t, ["question_id", "account"])
-    piv = a.groupBy("question_id").agg(F.max(F.when(F.col("variant") == "base", F.col("v"))).alias("baseline"),
-                                       F.max(F.when(F.col("variant") == "scen", F.col("v"))).alias("scenario"))
-    return piv
-
-
-def forecast_answers(facts: DataFrame, coef: DataFrame) -> DataFrame:
-    """QA4: per (company, account) lag-1 OLS on leaf and rollup values; next quarter after the latest."""
+    qk = ok.select("question_id", "code", F.col("year").alias("bsns_year"), "quarter", "target_account",
+                   "subject_account", F.coalesce("pct", F.lit(0)).alias("pct"), F.explode(variants).alias("variant"))
+    qp = qk.join(F.broadcast(plan), "target_account").join(F.broadcast(ext), "node")
+    f = facts.select("code", "bsns_year", "quarter", F.col("account").alias("leaf"), "value")
+    j = qp.join(f, ["code", "bsns_year", "quarter", "leaf"])
+    under = ext.select(F.col("node").alias("subject_account"), "leaf", F.lit(True).alias("under"))
+    j = j.join(F.broadcast(under), ["subject_account", "leaf"], "left")
+    m = F.when((F.col("variant") == "scen") & F.col("under").isNotNull(), F.lit(100) + F.col("pct")).otherwise(F.lit(100))
+    parts = j.groupBy("question_id", "variant", "target_account", "mode", "unit", "node", "role", "weight", "scale").agg(
+        F.sum(F.col("coef") * F.col("value") * m.cast("long")).alias("s"), F.count(F.lit(1)).alias("n"))
+    parts = parts.join(F.broadcast(need), "node").filter(F.col("n") == F.col("need"))
+
+    vals = parts.filter(F.col("mode") == "value").select("question_id", "variant", (F.col("s") / 100.0).alias("v"))
+    r = parts.filter(F.col("mode") == "ratio").groupBy("question_id", "variant", "target_account", "unit", "weight",
+                                                       "scale").agg(
+        F.max(F.when(F.col("role") == "num", F.col("s"))).alias("num"),
+        F.max(F.when(F.col("role") == "den", F.col("s"))).alias("den"))
+    r = r.withColumn("ratio", F.try_divide(F.col("scale") * F.col("num").cast("double"), F.col("den").cast("double")))
+    r = r.filter(F.col("ratio").isNotNull())
+    rs = r.groupBy("question_id", "variant", "target_account").agg(F.sum(F.col("weight") * F.col("ratio")).alias("x"),
+                                                                   F.count(F.lit(1)).alias("k"))
+    rs = rs.join(F.broadcast(units), "target_account").filter(F.col("k") == F.col("n_units")).select(
+        "question_id", "variant", F.round("x", 6).alias("v"))
+    a = vals.unionByName(rs)
+    return a.groupBy("question_id").agg(F.max(F.when(F.col("variant") == "base", F.col("v"))).alias("baseline"),
+                                        F.max(F.when(F.col("variant") == "scen", F.col("v"))).alias("scenario"))
+
+
+def forecast_answers(facts: DataFrame, coef: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """QA4: per (company, account) lag-1 OLS on leaf and rollup values; next quarter after the latest.
+
+    ``wanted`` (code, account) restricts the series to those asked about (a
+    semi join before the windows and the regression aggregates).
+    """
     f = facts.select("code", "bsns_year", "quarter", "account", "value")
+    if wanted is not None:
+        w = wanted.select("code", "account").distinct()
+        f = f.join(w.select("code").distinct(), "code", "left_semi")
     roll = EV.rollup(f, coef, ["code", "bsns_year", "quarter"]).select("code", "bsns_year", "quarter", "account", "value")
     vals = f.unionByName(roll)
+    if wanted is not None:
+        vals = vals.join(w, ["code", "account"], "left_semi")
     p = S.pairs(vals)
     c = S.fit(p).filter(F.col("slope").isNotNull() & (F.col("sxx") > 0))  # a model needs spread in x
     pk = F.col("bsns_year") * 10 + F.substring("quarter", 1, 1).cast("int")
@@ -158,7 +190,9 @@ def forecast_answers(facts: DataFrame, coef: DataFrame) -> DataFrame:
 def answer_all(valid: DataFrame, facts: DataFrame, coef: DataFrame, defs: DataFrame, nodes: DataFrame) -> DataFrame:
     """QA5: one answer row per question (value, baseline for what-if, or an error)."""
     fa = answer_facts(valid, facts, coef, defs, nodes)
-    fc = forecast_answers(facts, coef)
+    asked = valid.filter((F.col("intent") == "IF.forecast") & F.col("error_code").isNull()).select(
+        "code", F.col("target_account").alias("account"))
+    fc = forecast_answers(facts, coef, asked)
     v = valid.join(fa, "question_id", "left")
     fcq = fc.select("code", F.col("account").alias("target_account"), "f_year", "f_quarter", "predicted")
     v = v.join(fcq, ["code", "target_account"], "left")

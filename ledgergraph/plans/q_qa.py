@@ -142,10 +142,15 @@ def qsql(names, body):
     return sql_with(names, body, extra=QA_VIEWS)
 
 
+def _facts_ckpt(t):
+    """The facts, checkpointed once for the several QA jobs that read them."""
+    return t.derived("fin_fact_ckpt", lambda: t.fin_fact, checkpoint=True)
+
+
 def _answers(t):
     e, n, coef = _onto(t)
     defs = EV.ratio_definitions(e)
-    return QA.answer_all(_valid(t), t.fin_fact, coef, defs, n)
+    return QA.answer_all(_valid(t), _facts_ckpt(t), coef, defs, n)
 
 
 @query("qa_validate", qsql(["qa_valid"], "SELECT question_id, intent, target_account, subject_account, pct, year, quarter, "
@@ -193,4 +198,4 @@ def answer_questions(t, questions):
     """Answer an arbitrary questions frame (question_id, code, bsns_year, text) — used per micro-batch."""
     valid = _validate_questions(t, questions).checkpoint(eager=True)  # cut lineage per micro-batch
     e, n, coef = _onto(t)
-    return QA.answer_all(valid, t.fin_fact, coef, EV.ratio_definitions(e), n)
+    return QA.answer_all(valid, _facts_ckpt(t), coef, EV.ratio_definitions(e), n)

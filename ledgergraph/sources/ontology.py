@@ -232,3 +232,48 @@ def all_roles_closure_df(spark: SparkSession) -> DataFrame:
     """Closure over every role (partOf, numerator, denominator) without the one-year duration node."""
     e = [(c, p) for c, p, _ in RV.ACCOUNT_EDGES if "CalendarOneYear" not in (c, p)]
     return cached(spark, "all_roles_closure", lambda: spark.createDataFrame(closure_rows(e), CLOSURE_SCHEMA))
+
+
+def ratio_def_rows() -> dict[str, tuple[str, str, float]]:
+    num = {p: c for c, p, r in RV.ACCOUNT_EDGES if r == "numerator" and c != "CalendarOneYear"}
+    den = {p: c for c, p, r in RV.ACCOUNT_EDGES if r == "denominator"}
+    days = {p for c, p, r in RV.ACCOUNT_EDGES if r == "numerator" and c == "CalendarOneYear"}
+    return {d: (num[d], den[d], float(RV.DAYS_PER_YEAR) if d in days else 1.0) for d in num if d in den}
+
+
+def target_plan_rows() -> list[tuple]:
+    """How to evaluate each account as a question target, as rows
+    (target, mode, unit, node, role, weight, scale):
+
+    * value targets: one part, the node itself (a leaf or a signed rollup);
+    * division targets: numerator and denominator parts of one unit;
+    * sums of ratios: numerator/denominator parts of every ratio leaf, weighted by its coefficient.
+    """
+    defs = ratio_def_rows()
+    leaves: dict[str, list[tuple[str, int]]] = {}
+    for a, leaf, c, _ in coef_rows():
+        leaves.setdefault(a, []).append((leaf, c))
+    rows = []
+    for acc, _, _, _ in RV.ACCOUNT_MASTER:
+        if acc == "CalendarOneYear":
+            continue
+        if acc in defs:
+            n, d, s = defs[acc]
+            rows += [(acc, "ratio", acc, n, "num", 1.0, s), (acc, "ratio", acc, d, "den", 1.0, s)]
+        elif acc in leaves and all(l in defs for l, _ in leaves[acc]):
+            for l, c in leaves[acc]:
+                n, d, s = defs[l]
+                rows += [(acc, "ratio", l, n, "num", float(c), s), (acc, "ratio", l, d, "den", float(c), s)]
+        else:
+            rows.append((acc, "value", acc, acc, "val", 1.0, 1.0))
+    return rows
+
+
+def coef_ext_rows() -> list[tuple]:
+    """coef plus identity rows for leaves, so any node (leaf or rollup) expands to (node, leaf, coef)."""
+    rows = [(a, l, c) for a, l, c, _ in coef_rows()]
+    parents = {a for a, _, _ in rows}
+    for acc, _, _, _ in RV.ACCOUNT_MASTER:
+        if acc not in parents:
+            rows.append((acc, acc, 1))
+    return rows
