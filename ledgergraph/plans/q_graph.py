@@ -193,3 +193,40 @@ def iri_expand(t):
 def iri_local_name(t):
     """GR13: local name after the single '#' of an IRI (NULL when not exactly one '#')."""
     return t.pages.select("page_id", G.iri_local_name(F.col("url")).alias("local_name"))
+
+
+def _size_case(col: str) -> str:
+    from ..sources.reference_values import LEVEL_NODE_SIZE
+    return "CASE " + " ".join(f"WHEN {col} = {lv} THEN {sz}" for lv, sz in LEVEL_NODE_SIZE) + " ELSE 10 END"
+
+
+@query("graph_export_nodes", sql_with(["big_closure", "big_edges"], f"""
+SELECT n.node AS id, n.node AS label, CASE WHEN substr(n.node, 2, 1) = ':' THEN substr(n.node, 1, 1)
+       WHEN n.node IN ('WORLD', 'PARTS') THEN n.node ELSE substr(n.node, 1, 1) END AS grp,
+       {_size_case('COALESCE(d.depth, 0)')} AS size, 'depth ' || CAST(COALESCE(d.depth, 0) AS VARCHAR) AS title
+FROM (SELECT child AS node FROM big_edges UNION SELECT parent FROM big_edges) n
+LEFT JOIN (SELECT descendant, MIN(min_depth) AS depth FROM big_closure WHERE ancestor IN ('WORLD', 'PARTS') GROUP BY 1) d
+  ON d.descendant = n.node""", extra=_PATHS))
+def graph_export_nodes(t):
+    """GR11: node rows for drawing (id, label, group, size by depth from the root, title), deduplicated."""
+    from ..sources.reference_values import LEVEL_NODE_SIZE
+    e = big_edges(t)
+    nodes = G.subtree_nodes(e)
+    d = _closure(t).filter(F.col("ancestor").isin("WORLD", "PARTS")).groupBy(F.col("descendant").alias("node")) \
+        .agg(F.min("min_depth").alias("depth"))
+    j = nodes.join(d, "node", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    size = None
+    for lv, sz in LEVEL_NODE_SIZE:
+        size = F.when(F.col("depth") == lv, F.lit(sz)) if size is None else size.when(F.col("depth") == lv, F.lit(sz))
+    grp = F.when(F.col("node").isin("WORLD", "PARTS"), F.col("node")).otherwise(F.substring("node", 1, 1))
+    return j.select(F.col("node").alias("id"), F.col("node").alias("label"), grp.alias("grp"),
+                    size.otherwise(F.lit(10)).alias("size"),
+                    F.concat(F.lit("depth "), F.col("depth").cast("string")).alias("title"))
+
+
+@query("graph_export_edges", sql_with(["big_edges"],
+       "SELECT child AS \"from\", parent AS \"to\", role AS title, 1 AS weight FROM big_edges"))
+def graph_export_edges(t):
+    """GR11/GR12: edge rows for drawing (from, to, title = role, weight)."""
+    return big_edges(t).select(F.col("child").alias("from"), F.col("parent").alias("to"), F.col("role").alias("title"),
+                               F.lit(1).alias("weight"))
