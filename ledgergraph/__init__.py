@@ -11,3 +11,14 @@ the joins and aggregations.  Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+# Python functions shipped to executors (applyInPandas / applyInPandasWithState
+# bodies) are pickled by value, so workers need no installed copy of this package.
+try:  # pragma: no cover - depends on the bundled cloudpickle
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
