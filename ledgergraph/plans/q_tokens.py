@@ -425,3 +425,16 @@ def viterbi_decode(t):
     d = _dp(t)
     return d.join(gold, "doc").select("doc", F.round("best_score", 6).alias("best_score"), "best_path", "gold_path",
                                       (F.col("best_path") == F.col("gold_path")).alias("exact"))
+
+
+@query("label_map_invert", sql_with(["q_iob"], """
+SELECT doc AS question_id, '[PAD],' || string_agg(iob, ',' ORDER BY pos) || ',[PAD]' AS tags
+FROM q_iob GROUP BY doc""", extra=TOKEN_VIEWS))
+def label_map_invert(t):
+    """SRC6/SC18: invert the tag label map (id -> name, map_from_arrays) and decode every encoded sequence."""
+    b = _biluo(t).withColumn("iob", TX.biluo_to_iob(F.col("tag")))
+    enc = NLU.encode_tags(t.spark, b)
+    rows = NLU.tag_label_rows()
+    inv = F.map_from_arrays(F.array(*[F.lit(i) for _, i in rows]), F.array(*[F.lit(n) for n, _ in rows]))
+    return enc.select(F.col("doc").alias("question_id"),
+                      F.array_join(F.transform("ids", lambda i: F.element_at(inv, i)), ",").alias("tags"))
