@@ -60,13 +60,6 @@ def pairs_df(closure_pairs: DataFrame) -> DataFrame:
     return p.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
 
 
-def ontology_pairs(edges: DataFrame, clos_fn) -> DataFrame:
-    """(target, subject): ancestor/descendant over all roles, without the one-year duration node."""
-    e = edges.filter((F.col("child") != "CalendarOneYear") & (F.col("parent") != "CalendarOneYear"))
-    c = clos_fn(e)
-    return c.select(F.col("ancestor").alias("target"), F.col("descendant").alias("subject")).distinct()
-
-
 def mark(c: Column) -> Column:
     return F.concat(F.lit(S_ENT), c, F.lit(E_ENT))
 

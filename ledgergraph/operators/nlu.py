@@ -3,9 +3,11 @@ longest match, slot collection, rule and learned intent, label encoding and
 batch padding.
 
 The gazetteer (account names, time phrases, apply words) is bounded by the
-ontology and lexicon, so it is broadcast; n-grams are produced per question
-from its own token array (no cross-question work), and every self-join is
-keyed by the question id.
+ontology and lexicon, so it is broadcast.  ``match_rows`` builds n-grams with
+``lead()`` over each text's token window (codegen, one shuffle by text id);
+``gazetteer_matches`` does the same from an existing token table.  Longest
+match keeps, per text, the matches no longer match covers; every join and
+window is keyed by the text id.
 """
 
 from __future__ import annotations
@@ -162,79 +164,6 @@ def train_and_score_intent(s: DataFrame) -> DataFrame:
     return pred.select("question_id", F.col("intent").alias("true_intent"), "predicted_intent")
 
 
-# ---------------------------------------------------------------------------
-# Per-row tagging of short texts: tokens, n-grams, dictionary lookup and
-# longest-match selection as array expressions inside one projection — no
-# shuffle, no join (the dictionary is a bounded map literal).
-# ---------------------------------------------------------------------------
-
-def _gaz_map_sql() -> str:
-    body = ", ".join(f"'{p}', '{t}'" for p, t in gazetteer_rows())
-    return f"map({body})"
-
-
-def tag_texts(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
-    """(id, [keep…], all_matches, matches): dictionary/percent matches and the longest-match selection.
-
-    Each step is its own projection (words, offsets, tokens, n-grams, matches),
-    so every array is computed once per row; '?' and ',' are blanked first
-    (same length, so offsets still index the original text).
-    """
-    n = max_gazetteer_tokens()
-    keep = keep or []
-    d = df.select(F.col(id_col).alias("doc"), *keep,
-                  F.split(F.regexp_replace(F.col(text_col), "[?,]", " "), " ", -1).alias("_w"))
-    d = d.select("doc", *keep, "_w", F.expr("transform(_w, w -> length(w))").alias("_l"))
-    d = d.select("doc", *keep, "_w", F.expr(
-        "transform(sequence(0, size(_w) - 1), i -> aggregate(slice(_l, 1, i), 0, (a, x) -> a + x + 1))").alias("_s"))
-    d = d.select("doc", *keep, F.expr(
-        "filter(transform(sequence(0, size(_w) - 1), i -> named_struct('token', _w[i], 'start', _s[i], "
-        "'end', _s[i] + length(_w[i]))), t -> t.token != '')").alias("_t"))
-    d = d.select("doc", *keep, F.expr(
-        f"flatten(transform(sequence(0, size(_t) - 1), i -> transform(sequence(1, least({n}, size(_t) - i)), "
-        f"k -> named_struct('start', _t[i].start, 'end', _t[i + k - 1].`end`, "
-        f"'phrase', array_join(transform(slice(_t, i + 1, k), x -> x.token), ' ')))))").alias("_g"))
-    d = d.select("doc", *keep, "_g", F.expr(_gaz_map_sql()).alias("_gaz"))
-    d = d.select("doc", *keep, F.expr(
-        "filter(transform(_g, g -> named_struct('start', g.start, 'end', g.`end`, 'tag', "
-        f"coalesce(try_element_at(_gaz, g.phrase), CASE WHEN g.phrase RLIKE '{PERCENT_PATTERN}' THEN 'PERCENT' END), "
-        "'phrase', g.phrase)), m -> m.tag IS NOT NULL)").alias("all_matches"))
-    return d.withColumn("matches", F.expr(
-        "filter(all_matches, m -> NOT exists(all_matches, o -> o.start <= m.start AND o.`end` >= m.`end` "
-        "AND (o.`end` - o.start) > (m.`end` - m.start)))"))
-
-
-def explode_matches(tagged: DataFrame, col: str = "matches") -> DataFrame:
-    """Back to the row form (doc, start, end, tag, phrase)."""
-    return tagged.select("doc", F.explode(col).alias("m")).select(
-        "doc", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.tag").alias("tag"),
-        F.col("m.phrase").alias("phrase"))
-
-
-def row_slots(tagged: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Slots per text from its match array: accounts in text order, other tags last-wins, counts."""
-    acc = F.expr("array_sort(transform(filter(matches, m -> m.tag IN ('IS', 'BS')), "
-                 "m -> named_struct('start', m.start, 'phrase', m.phrase, 'tag', m.tag)))")
-
-    def last(tag):
-        return F.expr(f"element_at(array_sort(transform(filter(matches, m -> m.tag = '{tag}'), "
-                      f"m -> named_struct('start', m.start, 'phrase', m.phrase))), -1).phrase")
-    return tagged.select("doc", *(keep or []), acc.alias("acc_arr"), last("TIME").alias("time"),
-                         last("PERCENT").alias("percent"),
-                         last("APPLY").alias("apply"),
-                         F.expr("size(filter(matches, m -> m.tag = 'APPLY'))").alias("n_apply"),
-                         F.expr("size(filter(matches, m -> m.tag = 'PERCENT'))").alias("n_pct"))
-
-
-def rule_intent_col(text: str = "text") -> Column:
-    """Rule intent from per-row slots (same rules as :func:`rule_intent`)."""
-    n_acc = F.size("acc_arr")
-    pred = (F.when((n_acc >= 2) & (F.col("n_apply") > 0) & (F.col("n_pct") > 0), "IF.fact")
-            .when((n_acc == 1) & (F.instr(text, " will be the ") > 0), "IF.forecast")
-            .when(n_acc == 1, "PAST.value").otherwise("None"))
-    return pred
-
-
 # ---------------------------------------------------------------------------
 # Row-wise dictionary tagging (codegen-friendly): tokens by posexplode with a
 # running offset, n-grams by lead() over the same per-text window, a

@@ -22,15 +22,6 @@ from . import series as S
 QK = ["question_id", "variant"]
 
 
-def question_slots(m: DataFrame) -> DataFrame:
-    """Matches -> (doc, acc_arr [start, phrase, tag] in text order, time, percent, apply), last-wins."""
-    def last(tag: str) -> Column:
-        return F.max_by(F.when(F.col("tag") == tag, F.col("phrase")), F.when(F.col("tag") == tag, F.col("start")))
-    acc = F.array_sort(F.collect_list(F.when(F.col("tag").isin("IS", "BS"), F.struct("start", "phrase", "tag"))))
-    return m.groupBy("doc").agg(acc.alias("acc_arr"), last("TIME").alias("time"), last("PERCENT").alias("percent"),
-                                last("APPLY").alias("apply"))
-
-
 def validate(questions: DataFrame, slots: DataFrame, pairs: DataFrame, spark: SparkSession) -> DataFrame:
     """QA1: intent-specific slot rules -> (question_id, code, intent, target, subject, pct, year, quarter, error_code, message).
 
@@ -103,18 +94,6 @@ def validate(questions: DataFrame, slots: DataFrame, pairs: DataFrame, spark: Sp
                     message.alias("message"))
 
 
-def evaluate_keyed(f: DataFrame, coef: DataFrame, defs: DataFrame, keys: list[str]) -> DataFrame:
-    """All accounts per key from (keys, account, value BIGINT): (keys, account, value double)."""
-    leaves = f.select(*keys, "account", F.col("value").cast("double").alias("value"))
-    roll = EV.rollup(f, coef, keys).select(*keys, "account", F.col("value").cast("double").alias("value"))
-    known = leaves.unionByName(roll)
-    r = EV.ratios(known, defs, keys)
-    higher = coef.join(F.broadcast(defs.select(F.col("account").alias("leaf"))), "leaf", "left_semi").select("ancestor").distinct()
-    rc = coef.join(higher, "ancestor", "left_semi").withColumn("coef", F.col("coef").cast("double"))
-    rs = EV.rollup(r.filter(F.col("value").isNotNull()), rc, keys).select(*keys, "account", "value")
-    return known.unionByName(r).unionByName(rs)
-
-
 def answer_facts(valid: DataFrame, facts: DataFrame, coef: DataFrame, defs: DataFrame, nodes: DataFrame) -> DataFrame:
     """QA2/QA3: evaluate only the target of every valid PAST.value / IF.fact question (base and scenario).
 
