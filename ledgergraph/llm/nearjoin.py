@@ -62,19 +62,20 @@ def runs_for(recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth)))
 
 
-def signatures(texts: list[str | None], size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(sorted distinct run hashes of each text, 16-bit min-hash values (n, TOKENS), 128-bit class keys (n, 2))."""
-    n = len(texts)
-    sets: list[np.ndarray] = []
-    sig, key = np.zeros((n, TOKENS), np.uint16), np.zeros((n, 2), np.int64)
-    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
-    for a, b in slices([len(r) + 1 for r in raw], 1 << 19):
-        words, counts = word_hashes(raw[a:b])
+def signatures(texts: list[str | None], size: int) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Part by part (rows a to b, about half a megabyte of text): the sorted distinct run hashes of each text, 16-bit
+    min-hash values (b - a, TOKENS) and 128-bit class keys (b - a, 2)."""
+    for a, b in slices([len(t) + 1 if t else 1 for t in texts], 1 << 19):
+        raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts[a:b]]
+        words, counts = word_hashes(raw)
+        del raw
         runs, own = shingles(words, counts, size)
         ends, wends = np.cumsum(own), np.cumsum(counts)
-        for i in range(a, b):
-            e, w = ends[i - a], words[wends[i - a] - counts[i - a]: wends[i - a]]
-            s = np.unique(runs[e - own[i - a]: e])
+        sets: list[np.ndarray] = []
+        sig, key = np.zeros((b - a, TOKENS), np.uint16), np.zeros((b - a, 2), np.int64)
+        for i in range(b - a):
+            w = words[wends[i] - counts[i]: wends[i]]
+            s = np.unique(runs[ends[i] - own[i]: ends[i]])
             sets.append(s)
             if len(s):
                 for c in range(0, TOKENS, 16):
@@ -83,7 +84,7 @@ def signatures(texts: list[str | None], size: int) -> tuple[list[np.ndarray], np
                 at = np.arange(1, len(w) + 1, dtype=np.uint64)
                 key[i] = [mix(np.array([np.sum(mix(w + at * k), dtype=np.uint64)]))[0].view(np.int64)
                           for k in (_A[0], _A[1])]
-    return sets, sig, key
+        yield a, b, sets, sig, key
 
 
 def extend(paths: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -168,18 +169,18 @@ def classes(df: DataFrame, doc_id: str, text: str, size: int, threshold: float,
     @F.pandas_udf(StructType([StructField("k1", LongType()), StructField("k2", LongType()),
                               StructField("sig", BinaryType()), StructField("paths", ArrayType(LongType()))]))
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        sets, sig, key = signatures(texts.tolist(), size)
-        n = len(sets)
-        owner, path = np.repeat(np.arange(n), runs), np.tile(root, n).view(np.int64)
-        for _ in range(depth):
-            at, path = extend(path, sig[owner], threshold)
-            owner = owner[at]
-        order = np.argsort(owner, kind="stable")
-        parts = np.split(path[order], np.cumsum(np.bincount(owner, minlength=n))[:-1]) if n else []
-        some = [len(s) > 0 for s in sets]
-        return pd.DataFrame({"k1": key[:, 0], "k2": key[:, 1],
-                             "sig": [s.tobytes() if o else None for s, o in zip(sig, some)],
-                             "paths": [np.unique(p) if o else None for p, o in zip(parts, some)]})
+        out: list[tuple] = []
+        for a, b, sets, sig, key in signatures(texts.tolist(), size):
+            n = b - a
+            owner, path = np.repeat(np.arange(n), runs), np.tile(root, n).view(np.int64)
+            for _ in range(depth):
+                at, path = extend(path, sig[owner], threshold)
+                owner = owner[at]
+            order = np.argsort(owner, kind="stable")
+            parts = np.split(path[order], np.cumsum(np.bincount(owner, minlength=n))[:-1])
+            out += [(*k, m.tobytes(), np.unique(p)) if len(s) else (*k, None, None)
+                    for k, m, p, s in zip(key, sig, parts, sets)]
+        return pd.DataFrame(out, columns=["k1", "k2", "sig", "paths"])
 
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("uid"), sketch(F.col(f"`{text}`")).alias("s"))
     return rows.select("uid", "s.*").filter(F.col("uid").isNotNull() & F.col("sig").isNotNull())
@@ -270,7 +271,7 @@ def _exact(df: DataFrame, doc_id: str, text: str, size: int, threshold: float, g
 
     @F.pandas_udf(BinaryType())
     def as_set(texts: pd.Series) -> pd.Series:
-        return pd.Series([s.tobytes() for s in signatures(texts.tolist(), size)[0]])
+        return pd.Series([s.tobytes() for part in signatures(texts.tolist(), size) for s in part[2]], dtype="object")
 
     rows = rows.select("rep", "root", "copies", F.ceil(F.col("n") / bucket_rows).cast("int").alias("m"),
                        as_set("t").alias("s")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
