@@ -33,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let no Arrow batch of whole texts hold more than ``rows`` rows (a session that asks for fewer keeps that)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Ask for a broadcast of a materialised table only where its counted rows are within ``rows``."""
     return F.broadcast(df) if df.count() <= rows else df

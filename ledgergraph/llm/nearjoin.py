@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import cut, packed, small
+from .common import cut, packed, small, small_batches
 from .components import components
 from .textnum import mix, seeds, shingles, slices, word_hashes
 
@@ -191,6 +191,7 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
             slack: float = 0.2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, links, sizes): members (uid, rep), exact links as a forest (a, b) of representatives, and
     counts (rep, copies, linked): ``linked`` documents of other classes are at or above the threshold."""
+    small_batches(df.sparkSession)
     runs = runs_for(recall, depth + 1)
     sk = cut(classes(df, doc_id, text, size, threshold, runs, depth))
     one = cut(sk.groupBy("k1", "k2").agg(F.min(F.struct("uid", "sig", "paths")).alias("m"),
