@@ -40,7 +40,7 @@ def boilerplate(df: DataFrame, text: str = "text", host: str = "source", ratio:
                                             t.alias("t"))
     totals = pages.groupBy("hkey").agg(F.count_distinct("page").alias("host_pages")) \
         .filter(F.col("host_pages") >= min_pages)
-    line = pages.select("hkey", "page", F.explode(F.array_distinct(F.transform(lines_of(F.col("t")), F.trim)))
+    line = pages.select("hkey", "page", F.explode(F.array_distinct(F.transform(lines_of(F.col("t")), lambda x: F.trim(x))))
                         .alias("line")).filter(F.col("line") != "")
     l1, l2 = wide_hash(F.col("line"))
     found = line.select("hkey", "page", l1.alias("l1"), l2.alias("l2")).groupBy("hkey", "l1", "l2") \
