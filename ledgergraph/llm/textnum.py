@@ -67,8 +67,8 @@ def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
     n = len(words)
     first = np.cumsum(counts) - counts
     acc = np.zeros(n, np.uint64)
-    for j in range(k):
-        acc[: n - j] += words[j:] * factor[j] if n > j else np.zeros(0, np.uint64)
+    for j in range(min(k, n)):
+        acc[: n - j] += words[j:] * factor[j]
     own = np.where(counts >= k, counts - k + 1, (counts > 0).astype(np.int64))
     at = np.repeat(first, own) + (np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own))
     out = mix(acc[at] + np.uint64(k))
