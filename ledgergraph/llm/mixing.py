@@ -153,33 +153,46 @@ def _cube(rows: DataFrame, block_rows: int) -> DataFrame:
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", max_repeat: int = 3,
-        weights: tuple[int, ...] = (1, 2, 3), block_rows: int = BLOCK_ROWS, heavy: float = 0.005) -> DataFrame:
+        weights: tuple[int, ...] = (1, 2, 3), block_rows: int = BLOCK_ROWS,
+        strata: tuple[float, ...] = (0.1, 0.01, 0.0)) -> DataFrame:
     """(ukey, skey, size, n, source_size, target, copies): how often each unit is taken.
 
-    Units above the share ``heavy`` of their source's target are balanced first, among themselves; what their landing
-    leaves over or short goes into the probabilities of the others.  Spark shuffles ids and sizes only, no text.
+    ``strata``: units above these shares of their source's target are balanced among themselves, the largest first;
+    what a stratum's landing leaves over or short goes into the probabilities of the next.  Spark shuffles ids and
+    sizes only, no text; the driver gets sums per source and stratum.
     """
     t = F.col(f"`{text}`")
     words = df.select(key_of(F.col(f"`{doc_id}`")).alias("ukey"), key_of(F.col(f"`{source}`")).alias("skey"),
                       F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     units = cut(words.groupBy("ukey", "skey", "size").agg(F.count(F.lit(1)).alias("n")))
     per_source = F.broadcast(source_targets(units, max_repeat, weights))
-    rows = units.join(per_source.select("skey", "target", "factor"), "skey")
-    big = F.col("size") * F.col("n") > F.col("target") * heavy
-    cols = ["ukey", "skey", "size", "n", "factor"]
-    first = cut(_cube(rows.filter(big).select(*cols), block_rows))
-    used = {r["skey"]: (r["taken"], r["all"]) for r in first.groupBy("skey").agg(
-        F.sum(F.col("copies") * F.col("size") * F.col("n")).alias("taken"),
-        F.sum(F.col("size") * F.col("n")).alias("all")).collect()}
-    rest_factor = []
-    for r in per_source.collect():
-        taken, own = used.get(r["skey"], (0, 0))
-        size = r["source_size"] - own
-        rest_factor.append((r["skey"], min(max((r["target"] - taken) / size, 0.0), float(max_repeat)) if size else 0.0))
-    rest = df.sparkSession.createDataFrame(rest_factor, "skey string, factor double")
-    others = _cube(rows.filter(~big).drop("factor").join(F.broadcast(rest), "skey").select(*cols), block_rows)
-    out = first.unionByName(others).join(per_source, "skey")
-    return out.select("ukey", "skey", "size", "n", "source_size", "target", "copies")
+    own = F.col("size") * F.col("n")
+    level = F.lit(len(strata) - 1)
+    for k in reversed(range(len(strata) - 1)):
+        level = F.when(own > F.col("target") * strata[k], k).otherwise(level)
+    rows = units.join(per_source.select("skey", "target"), "skey").withColumn("level", level)
+    sums = {(r["skey"], r["level"]): r["words"] for r in rows.groupBy("skey", "level").agg(F.sum(own).alias("words"))
+            .collect()}
+    goal = {r["skey"]: r["target"] for r in per_source.collect()}
+    left = {s: sum(w for (x, _), w in sums.items() if x == s) for s in goal}
+    out = None
+    for k in range(len(strata)):
+        factor = [(s, min(max(goal[s] / left[s], 0.0), float(max_repeat)) if left[s] else 0.0) for s in goal]
+        if not any(x == k for _, x in sums):
+            continue
+        factors = df.sparkSession.createDataFrame(factor, "skey string, factor double")
+        part = rows.filter(F.col("level") == k).join(F.broadcast(factors), "skey")
+        done = _cube(part.select("ukey", "skey", "size", "n", "factor"), block_rows)
+        if k < len(strata) - 1:
+            done = cut(done)
+            for r in done.groupBy("skey").agg(F.sum(F.col("copies") * own).alias("taken")).collect():
+                goal[r["skey"]] -= r["taken"]
+            for s in goal:
+                left[s] -= sums.get((s, k), 0)
+        out = done if out is None else out.unionByName(done)
+    if out is None:
+        out = units.withColumn("copies", F.lit(0).cast("long"))
+    return out.join(per_source, "skey").select("ukey", "skey", "size", "n", "source_size", "target", "copies")
 
 
 def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
