@@ -21,8 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import graph as G
-
 KEYS = ["code", "bsns_year", "quarter"]
 DURATION_NODE = "CalendarOneYear"
 
@@ -39,15 +37,6 @@ def partof_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         "child", "parent", "role", F.coalesce("child_sign", F.lit(1)).alias("child_sign"))
 
 
-def coefficients(edges: DataFrame, nodes: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(ancestor, leaf, coef, n_paths) over the partOf graph of the ontology."""
-    pe = partof_edges(edges, nodes)
-    clos = G.closure(pe, weight=F.col("child_sign"), max_depth=max_depth)
-    lv = G.leaves(pe).withColumnRenamed("node", "descendant")
-    return clos.join(lv, "descendant", "left_semi").select(
-        "ancestor", F.col("descendant").alias("leaf"), F.col("weight").alias("coef"), "n_paths")
-
-
 def leaf_need(coef: DataFrame) -> DataFrame:
     return coef.groupBy("ancestor").agg(F.count("leaf").alias("need"))
 
@@ -130,29 +119,6 @@ def ratios(values: DataFrame, defs: DataFrame, keys: list[str] = KEYS) -> DataFr
                                                    F.col("den_value")).alias("value"))
 
 
-def evaluate_all(facts: DataFrame, edges: DataFrame, nodes: DataFrame, keys: list[str] = KEYS,
-                 strata: int = 2) -> DataFrame:
-    """Every account for every key: (keys, account, value double, kind).
-
-    Stratum 0 = exact rollup of fact leaves; each later stratum evaluates the
-    division nodes from what is known and rolls their sums up again.
-    """
-    coef = coefficients(edges, nodes)
-    defs = ratio_definitions(edges)
-    base = facts.select(*keys, "account", F.col("value").cast("double").alias("value"))
-    known = base.unionByName(rollup(facts, coef, keys).select(*keys, "account",
-                                                             F.col("value").cast("double").alias("value")))
-    for _ in range(strata - 1):
-        r = ratios(known, defs, keys)
-        bases = base.unionByName(r)
-        c = coef.join(F.broadcast(defs.select(F.col("account").alias("leaf"))), "leaf", "left_semi")
-        higher = c.select("ancestor").distinct()
-        rc = coef.join(higher, "ancestor", "left_semi")
-        summed = rollup(bases, rc.withColumn("coef", F.col("coef").cast("double")), keys)
-        known = known.unionByName(r).unionByName(summed.select(*keys, "account", "value"))
-    return known
-
-
 # ---------------------------------------------------------------------------
 # What-if
 # ---------------------------------------------------------------------------

@@ -1,13 +1,17 @@
 """Graph operators over edge tables ``(child, parent, role)``.
 
 Graph patterns are joins; reachability is a transitive closure computed by
-semi-naive iteration (one join + aggregate per level).  Two modes:
-
-* ``max_depth`` given  -> the rounds are unrolled into one lazy plan (for
-  dimensions with a known height, e.g. the account ontology);
-* ``max_depth=None``   -> rounds run until the frontier is empty; each
-  frontier is checkpointed into ``spark.checkpoint.dir`` so lineage stays
-  short and a lost executor recomputes one round, not the whole chain.
+semi-naive iteration: one join and one partial-aggregated groupBy per level,
+until the frontier is empty.  Each frontier is checkpointed into
+``spark.checkpoint.dir``, so lineage stays short and a lost executor recomputes
+one round.  There is no depth limit; a cycle is found where a node becomes its
+own ancestor, and raises.
+
+``below`` / ``above`` seed the closure, so a question about a few nodes never
+builds all pairs.  The edges that can extend a frontier are first reduced to
+its distinct ends (combined before the shuffle): near the roots these are a
+handful, broadcast behind a count, so a parent with a third of all rows is not
+a shuffle key.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 CLOSURE_COLS = ["ancestor", "descendant", "n_paths", "weight", "min_depth", "max_depth"]
+#: Rows (two names and a number each) up to which a join side is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def _step_agg(df: DataFrame) -> DataFrame:
@@ -26,52 +32,55 @@ def _step_agg(df: DataFrame) -> DataFrame:
         F.min("min_depth").alias("min_depth"), F.max("max_depth").alias("max_depth"))
 
 
-def closure(edges: DataFrame, weight: Column | None = None, max_depth: int | None = None,
-            hard_limit: int = 1000) -> DataFrame:
-    """All (ancestor, descendant) pairs with path count, Σ of path weight products and depths.
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def closure(edges: DataFrame, weight: Column | None = None, below: DataFrame | None = None,
+            above: DataFrame | None = None) -> DataFrame:
+    """(ancestor, descendant) pairs with path count, sum of path weight products and depths.
 
     ``weight`` is a per-edge multiplier (default 1); the weight of a path is the
     product of its edge weights, and ``weight`` sums it over all paths (so a
     node reached by two paths contributes twice, while the pair is one row).
+    ``above`` (node): only pairs whose ancestor is one of these; ``below`` (node):
+    only pairs whose descendant is one of these.  Raises ValueError on a cycle.
     """
-    w = (weight if weight is not None else F.lit(1)).cast("long")
-    e = edges.select(F.col("child"), F.col("parent"), w.alias("w"))
-    frontier = _step_agg(e.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"),
-                                  F.lit(1).cast("long").alias("n_paths"), F.col("w").alias("weight"),
-                                  F.lit(1).alias("min_depth"), F.lit(1).alias("max_depth")))
-    step_edges = e.select(F.col("child").alias("e_child"), F.col("parent").alias("e_parent"), F.col("w").alias("e_w"))
-
-    def advance(f: DataFrame) -> DataFrame:
-        j = f.join(step_edges, f.ancestor == step_edges.e_child)
-        return _step_agg(j.select(F.col("e_parent").alias("ancestor"), "descendant", "n_paths",
-                                  (F.col("weight") * F.col("e_w")).alias("weight"),
-                                  (F.col("min_depth") + 1).alias("min_depth"),
-                                  (F.col("max_depth") + 1).alias("max_depth")))
-
-    if max_depth is not None:
-        levels = [frontier]
-        for _ in range(max_depth - 1):
-            frontier = advance(frontier)
-            levels.append(frontier)
-        out = levels[0]
-        for lv in levels[1:]:
-            out = out.unionByName(lv)
-        return _step_agg(out)
-
     ensure_checkpoint_dir(edges.sparkSession)
-    frontier = frontier.checkpoint()
-    levels = [frontier]
-    for _ in range(hard_limit):
-        frontier = advance(frontier).checkpoint()
-        if frontier.isEmpty():
-            break
+    w = (weight if weight is not None else F.lit(1)).cast("long")
+    e = edges.select(F.col("child").alias("e_child"), F.col("parent").alias("e_parent"), w.alias("e_w")).checkpoint()
+    down = above is not None
+    start = e
+    if above is not None:
+        start = start.join(_small(above.select(F.col("node").alias("e_parent")).distinct()), "e_parent", "left_semi")
+    if below is not None and not down:
+        start = start.join(below.select(F.col("node").alias("e_child")).distinct(), "e_child", "left_semi")
+    frontier = _step_agg(start.select(
+        F.col("e_parent").alias("ancestor"), F.col("e_child").alias("descendant"), F.lit(1).cast("long").alias("n_paths"),
+        F.col("e_w").alias("weight"), F.lit(1).alias("min_depth"), F.lit(1).alias("max_depth"))).checkpoint()
+    end, near, far = ("descendant", "e_parent", "e_child") if down else ("ancestor", "e_child", "e_parent")
+    other = "ancestor" if down else "descendant"
+    levels = []
+    while not frontier.isEmpty():
+        if not frontier.filter(F.col("ancestor") == F.col("descendant")).isEmpty():
+            raise ValueError("the edge table has a cycle")
         levels.append(frontier)
-    else:
-        raise ValueError("closure did not converge: the edge table has a cycle")
+        ends = frontier.select(F.col(end).alias(near)).distinct()
+        step = e.join(_small(ends.checkpoint()), near, "left_semi").checkpoint()
+        j = frontier.join(_small(step), F.col(end) == F.col(near))
+        frontier = _step_agg(j.select(F.col(far).alias(end), other, "n_paths",
+                                      (F.col("weight") * F.col("e_w")).alias("weight"),
+                                      (F.col("min_depth") + 1).alias("min_depth"),
+                                      (F.col("max_depth") + 1).alias("max_depth"))).checkpoint()
+    if not levels:
+        return frontier.select(*CLOSURE_COLS)
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
-    return _step_agg(out)
+    out = _step_agg(out)
+    if below is not None and down:
+        out = out.join(below.select(F.col("node").alias("descendant")).distinct(), "descendant", "left_semi")
+    return out.select(*CLOSURE_COLS)
 
 
 def leaves(edges: DataFrame) -> DataFrame:
@@ -81,23 +90,41 @@ def leaves(edges: DataFrame) -> DataFrame:
     return kids.join(parents, "node", "left_anti").distinct()
 
 
-def node_heights(edges: DataFrame, clos: DataFrame) -> DataFrame:
-    """Height = longest path down to a leaf (0 for leaves)."""
-    nodes = edges.select(F.col("child").alias("node")).union(edges.select(F.col("parent").alias("node"))).distinct()
-    h = clos.groupBy(F.col("ancestor").alias("node")).agg(F.max("max_depth").alias("height"))
-    return nodes.join(h, "node", "left").select("node", F.coalesce("height", F.lit(0)).alias("height"))
+def node_heights(edges: DataFrame) -> DataFrame:
+    """(node, height): longest path down to a leaf (0 for leaves), peeled level by level from the leaves.
+
+    A round keeps the distinct parents of the last one, so it holds nodes, never pairs.  Raises ValueError on a cycle.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+    e = edges.select("child", "parent").distinct().checkpoint()
+    nodes = e.select(F.col("child").alias("node")).union(e.select(F.col("parent").alias("node"))).distinct().checkpoint()
+    most = nodes.count()
+    level, k, parts = leaves(e), 0, [nodes.withColumn("height", F.lit(0))]
+    while True:
+        level = e.join(_small(level.checkpoint()), F.col("child") == F.col("node"), "left_semi") \
+            .select(F.col("parent").alias("node")).distinct().checkpoint()
+        k += 1
+        if level.isEmpty():
+            break
+        if k >= most:
+            raise ValueError("the edge table has a cycle")
+        parts.append(level.withColumn("height", F.lit(k)))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("node").agg(F.max("height").alias("height"))
 
 
-def bfs_depth(edges: DataFrame, roots: DataFrame, clos: DataFrame) -> DataFrame:
+def bfs_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth): nodes below each root with their BFS (shortest) depth."""
-    return roots.join(clos, roots.root == clos.ancestor).select("root", F.col("descendant").alias("node"),
-                                                               F.col("min_depth").alias("depth"))
+    c = closure(edges, above=roots.select(F.col("root").alias("node")))
+    return c.select(F.col("ancestor").alias("root"), F.col("descendant").alias("node"), F.col("min_depth").alias("depth"))
 
 
-def reachable_pairs(pairs: DataFrame, clos: DataFrame) -> DataFrame:
-    """Keep (a, b) pairs where ``a`` is an ancestor of ``b``."""
-    c = clos.select(F.col("ancestor").alias("a"), F.col("descendant").alias("b"))
-    return pairs.join(c, ["a", "b"], "left_semi")
+def reachable_pairs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Keep (a, b) pairs where ``a`` is an ancestor of ``b``; only the ancestors of the asked ``b`` are built."""
+    c = closure(edges, below=pairs.select(F.col("b").alias("node")))
+    return pairs.join(c.select(F.col("ancestor").alias("a"), F.col("descendant").alias("b")), ["a", "b"], "left_semi")
 
 
 def inverse_edges(edges: DataFrame, inverse_map: DataFrame) -> DataFrame:

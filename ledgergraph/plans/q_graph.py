@@ -33,7 +33,7 @@ def graph_closure(t):
 def graph_bfs_depth(t):
     """GR6: BFS depth of every node below each region root."""
     roots = t.region.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("root"))
-    return G.bfs_depth(big_edges(t), roots, _closure(t))
+    return G.bfs_depth(big_edges(t), roots)
 
 
 _PAIRS_SQL = """
@@ -63,7 +63,7 @@ def _pairs(t):
        "WHERE c.ancestor = p.a AND c.descendant = p.b)", extra=_PATHS))
 def graph_reachable_pairs(t):
     """GR8: keep (supplier nation, order) pairs where the nation is an ancestor of the order."""
-    return G.reachable_pairs(_pairs(t), _closure(t))
+    return G.reachable_pairs(_pairs(t), big_edges(t))
 
 
 @query("target_subject_resolve", sql_with(["big_closure"], f"""
@@ -76,8 +76,9 @@ LEFT JOIN big_closure f ON f.ancestor = p.a AND f.descendant = p.b
 LEFT JOIN big_closure r ON r.ancestor = p.b AND r.descendant = p.a""", extra=_PATHS))
 def target_subject_resolve(t):
     """GR9: which of two nodes is the target (ancestor) and which the subject; else NOT_RELATED."""
-    clos = _closure(t).select("ancestor", "descendant")
     p = _pairs(t)
+    asked = p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node")))
+    clos = G.closure(big_edges(t), below=asked).select("ancestor", "descendant")
     fwd = clos.select(F.col("ancestor").alias("a"), F.col("descendant").alias("b"), F.lit(True).alias("fwd"))
     rev = clos.select(F.col("ancestor").alias("b"), F.col("descendant").alias("a"), F.lit(True).alias("rev"))
     j = p.join(fwd, ["a", "b"], "left").join(rev, ["a", "b"], "left")
@@ -95,8 +96,7 @@ LEFT JOIN (SELECT ancestor, MAX(max_depth) AS height FROM big_closure GROUP BY 1
        extra=_PATHS))
 def graph_node_heights(t):
     """EVA13/ST2: height of every node (longest path to a leaf) — drives bottom-up strata."""
-    e = big_edges(t)
-    return G.node_heights(e, _closure(t))
+    return G.node_heights(big_edges(t))
 
 
 @query("graph_inverse_edges", sql_with(["big_edges"],
@@ -140,9 +140,9 @@ WHERE e.parent IN (SELECT descendant FROM big_closure WHERE ancestor = 'R1' UNIO
   AND e.child LIKE 'C%'""", extra=_PATHS))
 def graph_subtree_relations(t):
     """GR2/JN4: edges into the subtree of one region whose child is typed customer."""
-    clos = _closure(t)
-    sub = clos.filter(F.col("ancestor") == "R1").select(F.col("descendant").alias("parent")).union(
-        t.spark.createDataFrame([("R1",)], "parent string"))
+    root = t.spark.createDataFrame([("R1",)], "node string")
+    clos = G.closure(big_edges(t), above=root)
+    sub = clos.select(F.col("descendant").alias("parent")).union(root)
     e = big_edges(t)
     return e.join(sub, "parent", "left_semi").filter(F.col("child").startswith("C")).select("child", "parent", "role")
 
@@ -157,10 +157,9 @@ JOIN (SELECT ancestor AS knowledge, descendant AS node FROM big_closure WHERE an
   ON s2.knowledge = s.knowledge AND s2.node = e.parent""", extra=_PATHS))
 def graph_subset_edges(t):
     """GR1: named knowledge subsets (one per region) and the edges with both ends inside."""
-    clos = _closure(t)
     roots = t.region.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("knowledge"))
-    subset = clos.join(roots, clos.ancestor == roots.knowledge, "left_semi").select(
-        F.col("ancestor").alias("knowledge"), F.col("descendant").alias("node")).union(
+    clos = G.closure(big_edges(t), above=roots.select(F.col("knowledge").alias("node")))
+    subset = clos.select(F.col("ancestor").alias("knowledge"), F.col("descendant").alias("node")).union(
         roots.select("knowledge", F.col("knowledge").alias("node")))
     e = big_edges(t)
     a = subset.select("knowledge", F.col("node").alias("child"))
@@ -212,7 +211,8 @@ def graph_export_nodes(t):
     from ..sources.reference_values import LEVEL_NODE_SIZE
     e = big_edges(t)
     nodes = G.subtree_nodes(e)
-    d = _closure(t).filter(F.col("ancestor").isin("WORLD", "PARTS")).groupBy(F.col("descendant").alias("node")) \
+    tops = t.spark.createDataFrame([("WORLD",), ("PARTS",)], "node string")
+    d = G.closure(e, above=tops).groupBy(F.col("descendant").alias("node")) \
         .agg(F.min("min_depth").alias("depth"))
     j = nodes.join(d, "node", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     size = None
@@ -225,8 +225,8 @@ def graph_export_nodes(t):
 
 
 @query("graph_export_edges", sql_with(["big_edges"],
-       "SELECT child AS \"from\", parent AS \"to\", role AS title, 1 AS weight FROM big_edges"))
+       "SELECT child AS \"from\", parent AS \"to\", role AS title, 2 AS weight FROM big_edges"))
 def graph_export_edges(t):
     """GR11/GR12: edge rows for drawing (from, to, title = role, weight)."""
     return big_edges(t).select(F.col("child").alias("from"), F.col("parent").alias("to"), F.col("role").alias("title"),
-                               F.lit(1).alias("weight"))
+                               F.lit(2).alias("weight"))

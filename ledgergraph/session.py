@@ -35,8 +35,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (local tests) a fresh scratch folder is
-    made; on a cluster the setting is always present and shared.
+    Only where nothing is configured and the master is local (tests) a fresh
+    scratch folder is made.  Raises RuntimeError on any other master: a
+    machine-local folder would be lost with its executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,6 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="lg-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

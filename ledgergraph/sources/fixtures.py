@@ -324,7 +324,9 @@ def sql_with(names: list[str], body: str, extra: dict[str, tuple[str, list[str]]
     ctes = _resolve(names, extra or {})
     if not ctes:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({b})" for n, b in ctes) + "\n" + body
+    once = ("fin_fact_wide", "fin_fact", "fin_rollup", "fin_ratio")  # views that a query names several times
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in once else ''}({b})" for n, b in ctes) \
+        + "\n" + body
 
 
 # ---------------------------------------------------------------------------
@@ -378,7 +380,7 @@ def fin_raw(t: Tables) -> DataFrame:
     reprt = _report_code(F.col("quarter"))
     base = F.concat(term_label(F.col("bsns_year")), _label_word(reprt))
     label = F.when((F.col("sj_div") == "BS") & (reprt != "11011"), F.concat(base, F.lit(RV.PERIOD_LABEL_END))).otherwise(base)
-    rcept = F.concat(F.col("bsns_year").cast("string"), F.lit("0"), F.substring("quarter", 1, 1), F.lpad("code", 12, "0"))
+    rcept = F.concat(F.col("bsns_year").cast("string"), F.lit("0"), F.substring("quarter", 1, 1), F.when(F.length("code") < 12, F.lpad("code", 12, "0")).otherwise(F.col("code")))
     return j.select(rcept.alias("rcept_no"), F.col("code").alias("corp"), "bsns_year", reprt.alias("reprt_code"),
                     "sj_div", label.alias("thstrm_nm"), "account_nm", F.col("value").cast("string").alias("thstrm_amount"))
 
@@ -388,7 +390,7 @@ def _raw_sql() -> str:
     rep = " ".join(f"WHEN '{q}' THEN '{c}'" for c, _, q in RV.REPORT_CODES)
     word = " ".join(f"WHEN '{c}' THEN '{w}'" for c, w, _ in RV.REPORT_CODES)
     return f"""
-SELECT CAST(x.bsns_year AS VARCHAR) || '0' || substr(x.quarter, 1, 1) || lpad(x.code, 12, '0') AS rcept_no,
+SELECT CAST(x.bsns_year AS VARCHAR) || '0' || substr(x.quarter, 1, 1) || CASE WHEN length(x.code) < 12 THEN lpad(x.code, 12, '0') ELSE x.code END AS rcept_no,
        x.code AS corp, x.bsns_year, x.reprt_code, x.sj_div,
        CASE WHEN x.sj_div = 'BS' AND x.reprt_code <> '11011'
             THEN x.base || '{RV.PERIOD_LABEL_END}' ELSE x.base END AS thstrm_nm,

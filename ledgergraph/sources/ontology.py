@@ -7,6 +7,8 @@ for the DuckDB oracles (``*_sql`` functions).
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ NODE_SCHEMA = "acc string, statement string, kind string, level int, sign int, b
 LEXICON_SCHEMA = "kind string, word string, tag string, word_desc string, pos int"
 
 
-_CACHE: dict[tuple[int, str], DataFrame] = {}
+_CACHE: "WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = WeakKeyDictionary()
 
 
 def cached(spark: SparkSession, name: str, build) -> DataFrame:
@@ -27,13 +29,11 @@ def cached(spark: SparkSession, name: str, build) -> DataFrame:
     Only for tables derived from the fixed ontology (tens of rows): they do not
     depend on the data, so one cached copy serves every query.
     """
-    key = (id(spark), name)
-    df = _CACHE.get(key)
-    if df is None:
-        df = build().cache()
-        df.count()
-        _CACHE[key] = df
-    return df
+    own = _CACHE.setdefault(spark, {})
+    if name not in own:
+        own[name] = build().cache()
+        own[name].count()
+    return own[name]
 
 
 def _sign(acc: str) -> int | None:
@@ -90,11 +90,6 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(lexicon_rows(), LEXICON_SCHEMA)
 
 
-def knowledge_subsets(spark: SparkSession) -> DataFrame:
-    rows = [(k, a) for k, accs in RV.KNOWLEDGE_SUBSETS.items() for a in accs]
-    return spark.createDataFrame(rows, "knowledge string, acc string")
-
-
 def triples(spark: SparkSession) -> DataFrame:
     """The triple set, derived by rule from the master, node properties and edges."""
     n = nodes(spark).alias("n")

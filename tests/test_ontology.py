@@ -37,14 +37,14 @@ def test_subset_counts(spark):
 def test_closure_counts_with_and_without_multiplicity(spark):
     for k, (mult, dist) in {"BS": (79, 75), "IS": (97, 75)}.items():
         e = _subset_edges(spark, k).filter((F.col("child") != "CalendarOneYear") & (F.col("parent") != "CalendarOneYear"))
-        c = G.closure(e, max_depth=8)
+        c = G.closure(e)
         assert c.agg(F.sum("n_paths")).first()[0] == mult
         assert c.count() == dist
 
 
 def test_compiled_closure_equals_spark_closure(spark):
     pe = EV.partof_edges(O.edges(spark), O.nodes(spark))
-    a = G.closure(pe, weight=F.col("child_sign"), max_depth=8).select("ancestor", "descendant", "n_paths", "weight",
+    a = G.closure(pe, weight=F.col("child_sign")).select("ancestor", "descendant", "n_paths", "weight",
                                                                          "min_depth", "max_depth")
     b = O.partof_closure_df(spark)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
@@ -55,7 +55,7 @@ def test_compiled_closure_equals_spark_closure(spark):
 
 def test_heights_and_signs(spark):
     pe = EV.partof_edges(O.edges(spark), O.nodes(spark))
-    h = {r["node"]: r["height"] for r in G.node_heights(pe, O.partof_closure_df(spark)).collect()}
+    h = {r["node"]: r["height"] for r in G.node_heights(pe).collect()}
     assert h["GrossProfit"] == 1 and h["OperatingIncome"] == 2 and h["ProfitBeforeTax"] == 3
     assert h["Profit"] == 4 and h["IncomeStatement"] == 5 and max(h.values()) < 8
     coef = {(r["ancestor"], r["leaf"]): r["coef"] for r in O.coef_df(spark).collect()}
