@@ -19,19 +19,23 @@ SELECT conv_id, turn, role,
 FROM conversations"""
 
 
-@query("stream_filings_dedup")
+_EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+@query("stream_filings_dedup", "SELECT DISTINCT event_id, user_id, event_type, ts FROM events")
 def stream_filings_dedup(t):
-    """SM1: records landing as a stream, each (user, event type) counted once within a 1-hour watermark."""
-    return ST.filings_dedup(t.spark, t.sf_dir, "events.parquet",
-                            "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
-                            ["user_id", "event_type"], "ts").select("event_id", "user_id", "event_type",
-                                                                    F.col("ts").cast("timestamp_ntz").alias("ts"))
+    """SM1: records landing as a stream with every seventh delivered again later; each event id is kept once."""
+    path = scratch_path(t.spark, "landing")
+    events = t.events.select("event_id", "ts", "user_id", "event_type", "value", "props")
+    events.write.parquet(path)
+    events.filter(F.col("event_id") % 7 == 0).write.mode("append").parquet(path)
+    return ST.filings_dedup(t.spark, path, _EVENTS, ["event_id"]).select("event_id", "user_id", "event_type", "ts")
 
 
 @query("stream_dialog_state", _DIALOG_SQL)
 def stream_dialog_state(t):
     """SM3: per-conversation turn state in keyed streaming state; equals the batch window result."""
-    out = ST.dialog_state(t.spark, t.sf_dir, "conversations.parquet")
+    out = ST.dialog_state(t.spark, f"{t.sf_dir}/conversations.parquet", 1000)
     return out.select("conv_id", "turn", "role", F.col("turn_no").cast("int").alias("turn_no"), "carried_intent")
 
 

@@ -1,7 +1,7 @@
 """Structured Streaming jobs.
 
-* ``filings_dedup``  — landed records counted once per key within a watermark
-  (``dropDuplicatesWithinWatermark``), appended by ``foreachBatch``.
+* ``filings_dedup``  — landed records kept once per key (``dropDuplicates``, or
+  within a watermark that covers the longest replay), appended by ``foreachBatch``.
 * ``dialog_state``   — per-conversation turn counter and carried intent kept in
   keyed state (``applyInPandasWithState``), equal to the batch window version.
 * ``answer_stream``  — questions arriving as a stream, answered per micro-batch
@@ -37,17 +37,31 @@ def _run_to_sink(stream: DataFrame, sink: str, batch_fn: Callable[[DataFrame], D
     q.awaitTermination()
 
 
-def read_stream(spark: SparkSession, directory: str, file_glob: str, schema: str) -> DataFrame:
-    """A file stream over ``directory`` restricted to files matching ``file_glob``."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).option("maxFilesPerTrigger", 1) \
-        .parquet(directory)
-
-
-def filings_dedup(spark: SparkSession, directory: str, file_glob: str, schema: str, keys: list[str], ts: str,
-                  watermark: str = "1 hour") -> DataFrame:
-    """SM1: each key counted once within the watermark delay (event time as a session-zone timestamp)."""
-    s = read_stream(spark, directory, file_glob, schema).withColumn(ts, F.col(ts).cast("timestamp"))
-    d = s.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
+def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
+    """A file stream over a table path: a folder of parts, or one Parquet file (its folder, filtered by its name)."""
+    path = path.rstrip("/")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    folder, name = path.rsplit("/", 1)
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def filings_dedup(spark: SparkSession, path: str, schema: str, keys: list[str], ts: str | None = None,
+                  watermark: str | None = None) -> DataFrame:
+    """SM1: one row per key.
+
+    Without a watermark every key is remembered and no record is lost, however late.  With ``ts`` and ``watermark``
+    (event time as a session-zone timestamp) a key is forgotten that long after its record; choose it longer than any
+    replay or delay, as later records are dropped as late.
+    """
+    s = read_stream(spark, path, schema)
+    if ts and watermark:
+        s = s.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+        d = s.dropDuplicatesWithinWatermark(keys)
+    else:
+        d = s.dropDuplicates(keys)
     sink = scratch_path(spark, "stream-dedup")
     _run_to_sink(d, sink)
     return spark.read.parquet(sink).drop("epoch")
@@ -59,23 +73,28 @@ DIALOG_STATE = "n int, intent string"
 
 def _dialog_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n, intent = state.get if state.exists else (0, None)
-    for pdf in pdfs:
-        pdf = pdf.sort_values("turn")
-        turn_no, carried = [], []
-        for role, text in zip(pdf["role"], pdf["text"]):
-            n += 1
-            if role == "user":
-                intent = "question" if "?" in (text or "") else "statement"
-            turn_no.append(n)
-            carried.append(intent)
-        yield pd.DataFrame({"conv_id": pdf["conv_id"].values, "turn": pdf["turn"].values, "role": pdf["role"].values,
-                            "turn_no": turn_no, "carried_intent": carried})
+    # a conversation's rows of one micro-batch may come in several chunks: order them together
+    pdf = pd.concat(list(pdfs)).sort_values("turn", kind="stable")
+    turn_no, carried = [], []
+    for role, text in zip(pdf["role"], pdf["text"]):
+        n += 1
+        if role == "user":
+            intent = "question" if "?" in (text or "") else "statement"
+        turn_no.append(n)
+        carried.append(intent)
     state.update((n, intent))
+    yield pd.DataFrame({"conv_id": pdf["conv_id"].values, "turn": pdf["turn"].values, "role": pdf["role"].values,
+                        "turn_no": turn_no, "carried_intent": carried})
+
 
+def dialog_state(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """SM3: turn counter and last user intent per conversation, in keyed streaming state.
 
-def dialog_state(spark: SparkSession, directory: str, file_glob: str) -> DataFrame:
-    """SM3: turn counter and last user intent per conversation, in keyed streaming state."""
-    s = read_stream(spark, directory, file_glob, "conv_id long, turn long, role string, text string")
+    Turns of a conversation are ordered inside a micro-batch and continue the earlier ones across micro-batches.
+    The state (a number and a word per conversation) does not expire: a table of conversations has no event time, and
+    a processing-time timeout keeps an availableNow run from ending.
+    """
+    s = read_stream(spark, path, "conv_id long, turn long, role string, text string", files_per_trigger)
     out = s.groupBy("conv_id").applyInPandasWithState(_dialog_fn, DIALOG_OUT, DIALOG_STATE, "append",
                                                       GroupStateTimeout.NoTimeout)
     sink = scratch_path(spark, "stream-dialog")

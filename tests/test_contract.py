@@ -42,7 +42,32 @@ def test_viterbi_not_worse_than_gold(spark):
 
 
 def test_stream_dialog_equals_batch(spark, tables):
-    s = ST.dialog_state(spark, SF, "conversations.parquet").select("conv_id", "turn", "turn_no", "carried_intent")
+    s = ST.dialog_state(spark, f"{SF}/conversations.parquet").select("conv_id", "turn", "turn_no", "carried_intent")
     b = DL.turn_state(tables.conversations).select("conv_id", "turn", "turn_no", "carried_intent")
     assert s.count() == b.count()
     assert s.exceptAll(b).count() == 0
+
+
+def test_stream_dialog_long_conversation_and_folder(spark, tmp_path):
+    n = 25_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), (n - 1 - F.col("id")).alias("turn"),
+                                 F.lit("user").alias("role"), F.lit("hm?").alias("text"))
+    path = f"file://{tmp_path}/conversations.parquet"
+    rows.coalesce(1).write.parquet(path)
+    got = ST.dialog_state(spark, path)
+    assert got.count() == n and got.filter(F.col("turn_no") != F.col("turn") + 1).count() == 0
+
+
+def test_stream_dialog_continues_across_batches(spark, tmp_path):
+    path = f"file://{tmp_path}/conversations.parquet"
+    schema = "conv_id long, turn long, role string, text string"
+    for part in ([(1, 1, "assistant", "b"), (1, 0, "user", "a?")], [(1, 2, "user", "c"), (2, 0, "user", "x")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    got = {(r.conv_id, r.turn): (r.turn_no, r.carried_intent) for r in ST.dialog_state(spark, path).collect()}
+    assert got == {(1, 0): (1, "question"), (1, 1): (2, "question"), (1, 2): (3, "statement"), (2, 0): (1, "statement")}
+
+
+def test_stream_dedup_keeps_every_id_once(spark):
+    got = E.queries()["stream_filings_dedup"](spark, SF)
+    want = spark.read.parquet(f"{SF}/events.parquet").select("event_id").distinct()
+    assert got.count() == want.count() == got.select("event_id").distinct().count()
