@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .corpus import account_rows
+
 from ..sources import ontology as O
 from ..sources import reference_values as RV
 from . import dialog as DL
@@ -28,9 +30,9 @@ def validate(questions: DataFrame, slots: DataFrame, pairs: DataFrame, spark: Sp
     ``questions``: (question_id, code, bsns_year, predicted intent); the
     'today' of a question is 15 March of the year after its filing.
     """
-    names = {n for _, _, n, _, _ in __import__("ledgergraph.operators.corpus", fromlist=["x"]).account_rows()}
+    names = {n for _, _, n, _, _ in account_rows()}
     name_map = spark.createDataFrame(
-        [(n, a) for _, a, n, _, _ in __import__("ledgergraph.operators.corpus", fromlist=["x"]).account_rows()],
+        [(n, a) for _, a, n, _, _ in account_rows()],
         "phrase string, acc string")
     yl = spark.createDataFrame(list(RV.LEXICON_YEAR) + list(RV.EXTRA_TIME_WORDS), "word string, year_desc string")
     ql = spark.createDataFrame(list(RV.LEXICON_QUARTER) + list(RV.EXTRA_TIME_WORDS), "word string, quarter_desc string")

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as EV
 from ..operators import graph as G
 from ..sources import ontology as O
-from ..sources.fixtures import sql_with
+from ..sources.fixtures import LEAF_ACCOUNTS, sql_with
 from . import sqlviews  # noqa: F401  (registers ontology SQL views)
 from .registry import query
 
 K = ["code", "bsns_year", "quarter"]
-ONTO_DEPTH = 8  # the account ontology is 6 levels high (see tests)
 
 
 def _onto(t):
@@ -36,8 +35,7 @@ FROM fin_fact f JOIN one_level pe ON pe.child = f.account
 JOIN (SELECT parent, COUNT(*) AS need FROM one_level GROUP BY 1) n ON n.parent = pe.parent
 GROUP BY f.code, f.bsns_year, f.quarter, pe.parent, n.need HAVING COUNT(*) = n.need""",
        extra={"one_level": ("SELECT * FROM onto_pe WHERE parent NOT IN (SELECT p.parent FROM onto_pe p "
-                            "WHERE p.child IN (SELECT parent FROM onto_pe))", ["onto_pe"])}).replace(
-    "onto_pe AS (", "onto_pe AS (", 1))
+                            "WHERE p.child IN (SELECT parent FROM onto_pe))", ["onto_pe"])}))
 def eval_partof_one_level(t):
     """EVA2: Σ sign(child)·value(child) for parents whose children are all leaves."""
     e, n = O.edges(t.spark), O.nodes(t.spark)
@@ -125,7 +123,7 @@ _PCT_SQL = "(SELECT 10 AS pct UNION ALL SELECT -5)"
 
 
 def _leaf_scenarios(coef):
-    leafs = [a for a, _ in __import__("ledgergraph.sources.fixtures", fromlist=["x"]).LEAF_ACCOUNTS]
+    leafs = [a for a, _ in LEAF_ACCOUNTS]
     s = coef.filter((F.col("ancestor") != F.col("leaf")) & F.col("leaf").isin(leafs)).select(
         F.col("ancestor").alias("target"), F.col("leaf").alias("subject"))
     s = s.withColumn("pct", F.explode(F.array(*[F.lit(p) for p in PCTS])))

@@ -190,7 +190,7 @@ def facts_surrogate_key(t):
     return KY.dense_surrogate_key(f, ["code", "bsns_year", "quarter", "account"], "fact_id")
 
 
-@query("sink_roundtrip_facts")
+@query("sink_roundtrip_facts", sql_with(["fin_fact"], "SELECT * FROM fin_fact"))
 def sink_roundtrip_facts(t):
     """SNK1/SNK3: write the facts partitioned by year into the shared folder and read them back."""
     return IO.roundtrip_partitioned(t.fin_fact, "bsns_year")

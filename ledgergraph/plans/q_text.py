@@ -13,8 +13,6 @@ from ..sources import reference_values as RV
 from ..sources.fixtures import sql_with
 from .registry import query
 
-ONTO_DEPTH = 8
-
 
 def _pairs(t):
     def build():
@@ -321,7 +319,7 @@ def class_counts_account(t):
         .agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("utterances_to_json")
+@query("utterances_to_json", csql(["c_corpus"], "SELECT text, entities_str AS entities, intent FROM c_corpus"))
 def utterances_to_json(t):
     """SNK5/SRC5: write the corpus as JSON lines (entities as mixed arrays) and read it back typed."""
     c = corpus(t).select("text", "entities", "intent")

@@ -39,11 +39,3 @@ def read_utterances_json(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("text", F.transform("entities", lambda a: F.struct(
         a[0].cast("int").alias("start"), a[1].cast("int").alias("end"), a[2].alias("tag"))).alias("entities"),
         "intent")
-
-
-def to_ntriples(triples: DataFrame, ns: str = "http://example.org/") -> DataFrame:
-    """(s, p, o) -> one N-Triples line per triple; objects without ':' become literals."""
-    def term(c):
-        return F.when(F.col(c).contains(":"), F.concat(F.lit("<" + ns), F.regexp_replace(F.col(c), ":", "#"), F.lit(">")))
-    obj = F.coalesce(term("o"), F.concat(F.lit('"'), F.col("o"), F.lit('"')))
-    return triples.select(F.concat_ws(" ", term("s"), term("p"), obj, F.lit(".")).alias("line"))
