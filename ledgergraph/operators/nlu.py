@@ -4,9 +4,10 @@ batch padding.
 
 The gazetteer (account names, time phrases, apply words) is bounded by the
 ontology and lexicon, so it is broadcast.  ``match_rows`` builds n-grams with
-``lead()`` over each text's token window (codegen, one shuffle by text id);
-``gazetteer_matches`` does the same from an existing token table.  Longest
-match keeps, per text, the matches no longer match covers; every join and
+``lead()`` over each text's token window (codegen, one shuffle by text id).
+Texts are read in lower case; sentence punctuation counts as a blank (so
+offsets hold), ``10%`` as ``10 %``, and a word whose base form is an entry
+("rises") as that entry.  Longest match keeps, per text, the matches no longer match covers; every join and
 window is keyed by the text id.
 """
 
@@ -16,10 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import reference_values as RV
+from . import text as TX
 from .corpus import account_rows
 from .keys import dense_surrogate_key
 
-PERCENT_PATTERN = "^[0-9]+ (percent|%)$"
+PERCENT_PATTERN = "^[0-9]+ ?(percent|%)$"
+#: Sentence punctuation; a full stop inside a number or word is none.
+PUNCTUATION = r"[?,!;:]|\.(?=\s|$)"
 
 
 def gazetteer_rows() -> list[tuple[str, str]]:
@@ -39,23 +43,6 @@ def max_gazetteer_tokens() -> int:
     return max(len(p.split(" ")) for p, _ in gazetteer_rows())
 
 
-def gazetteer_matches(tokens: DataFrame, spark: SparkSession) -> DataFrame:
-    """All dictionary / percent matches: (doc, start, end, tag, phrase)."""
-    n_max = max_gazetteer_tokens()
-    arr = tokens.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "start", "end"))).alias("toks"))
-    g = arr.select("doc", "toks", F.explode(F.sequence(F.lit(0), F.size("toks") - 1)).alias("i"))
-    g = g.select("doc", "toks", "i",
-                 F.explode(F.sequence(F.lit(1), F.least(F.lit(n_max), F.size("toks") - F.col("i")))).alias("n"))
-    sl = F.slice("toks", F.col("i") + 1, F.col("n"))
-    grams = g.select("doc", F.array_join(F.transform(sl, lambda x: x.token), " ").alias("phrase"),
-                     F.element_at("toks", F.col("i") + 1).start.alias("start"),
-                     F.element_at("toks", F.col("i") + F.col("n")).end.alias("end"))
-    gaz = spark.createDataFrame(gazetteer_rows(), "phrase string, tag string")
-    dict_hits = grams.join(F.broadcast(gaz), "phrase")
-    pct_hits = grams.filter(F.col("phrase").rlike(PERCENT_PATTERN)).withColumn("tag", F.lit("PERCENT"))
-    return dict_hits.unionByName(pct_hits).select("doc", "start", "end", "tag", "phrase")
-
-
 def longest_matches(m: DataFrame) -> DataFrame:
     """Drop a match when a strictly longer match in the same text covers it.
 
@@ -192,7 +179,8 @@ def match_rows(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None
     keep = keep or []
     n = max_gazetteer_tokens()
     p = df.select(F.col(id_col).alias("doc"), *keep,
-                  F.posexplode(F.split(F.regexp_replace(F.col(text_col), "[?,]", " "), " ", -1)).alias("piece", "token"))
+                  F.posexplode(F.split(F.regexp_replace(F.lower(text_col), PUNCTUATION, " "), " ", -1))
+                  .alias("piece", "token"))
     w = Window.partitionBy("doc").orderBy("piece")
     p = p.withColumn("start", F.coalesce(F.sum(F.length("token") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)),
                                          F.lit(0)).cast("int"))
@@ -207,16 +195,23 @@ def match_rows(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None
                                                                    F.col(f"e{k}").alias("end"))))
     g = p.select("doc", *keep, "start", F.explode(F.array(*grams)).alias("g")).filter(F.col("g").isNotNull())
     g = g.select("doc", *keep, "start", F.col("g.end").alias("end"), F.col("g.phrase").alias("phrase"))
+    # the dictionary is bounded by ontology and lexicon: broadcast
     gaz = df.sparkSession.createDataFrame(gazetteer_rows(), "phrase string, tag string")
-    hits = g.join(F.broadcast(gaz), "phrase")  # dictionary: bounded by ontology + lexicon
-    pct = g.filter(F.col("phrase").rlike(PERCENT_PATTERN)).withColumn("tag", F.lit("PERCENT"))
-    return hits.unionByName(pct).select("doc", *keep, "start", "end", "tag", "phrase")
+    base = df.sparkSession.createDataFrame([r for r in gazetteer_rows() if " " not in r[0]], "base string, base_tag string")
+    g = g.withColumn("base", F.when(~F.col("phrase").contains(" "), TX.lemma(F.col("phrase"))))
+    j = g.join(F.broadcast(gaz), "phrase", "left").join(F.broadcast(base), "base", "left")
+    pct = F.col("phrase").rlike(PERCENT_PATTERN)
+    by_base = F.col("tag").isNull() & ~pct & F.col("base_tag").isNotNull()
+    return j.select("doc", *keep, "start", "end",
+                    F.coalesce("tag", F.when(pct, F.lit("PERCENT")), "base_tag").alias("tag"),
+                    F.when(by_base, F.col("base")).when(pct, F.regexp_replace("phrase", "^([0-9]+)%$", "$1 %"))
+                    .otherwise(F.col("phrase")).alias("phrase")).filter(F.col("tag").isNotNull())
 
 
 def question_slots_rows(questions: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """One row per question: (question_id, *keep, acc_arr, time, percent, apply, n_apply, n_pct, has_will)."""
     base = questions.select(F.col(id_col).alias("doc"), *keep,
-                            (F.instr(F.col(text_col), " will be the ") > 0).alias("has_will"))
+                            (F.instr(F.lower(text_col), " will be the ") > 0).alias("has_will"))
     m = longest_matches(match_rows(questions.select(id_col, text_col), id_col, text_col))
     acc = F.array_sort(F.collect_list(F.when(F.col("tag").isin("IS", "BS"), F.struct("start", "phrase", "tag"))))
     agg = m.groupBy("doc").agg(acc.alias("acc_arr"), _last("TIME").alias("time"), _last("PERCENT").alias("percent"),

@@ -41,13 +41,23 @@ def test_piece_projection(spark):
 def test_gazetteer_longest_match(spark):
     df = spark.createDataFrame([("q", "what is the cost of sales ratio if revenue rose by 12 % in the next quarter")],
                                "doc string, t string")
-    tok = TX.tokenize_offsets(df, "doc", "t")
-    m = NLU.longest_matches(NLU.gazetteer_matches(tok, spark))
+    m = NLU.longest_matches(NLU.match_rows(df, "doc", "t"))
     got = sorted((r["phrase"], r["tag"]) for r in m.collect())
     assert got == [("12 %", "PERCENT"), ("cost of sales ratio", "IS"), ("next quarter", "TIME"), ("revenue", "IS"),
                    ("rose", "APPLY")]
 
 
+def test_gazetteer_reads_typed_questions(spark):
+    df = spark.createDataFrame([("a", "What is the Revenue in the last year."),
+                                ("b", "What will be the effect to Gross Profit if the revenue rises by 10% in the next quarter?")],
+                               "doc string, t string")
+    got = {}
+    for r in NLU.longest_matches(NLU.match_rows(df, "doc", "t")).collect():
+        got.setdefault(r["doc"], set()).add((r["phrase"], r["tag"]))
+    assert {("revenue", "IS"), ("last year", "TIME")} <= got["a"]
+    assert {("gross profit", "IS"), ("revenue", "IS"), ("rise", "APPLY"), ("10 %", "PERCENT"), ("next quarter", "TIME")} <= got["b"]
+
+
 def test_dense_key_and_split(spark):
     df = spark.range(0, 1000).select(F.col("id").cast("string").alias("k"),
                                      F.when(F.col("id") < 700, "a").otherwise("b").alias("g"))
