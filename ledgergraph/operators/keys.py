@@ -1,10 +1,11 @@
 """Dense surrogate keys (SERIAL-like ids 1..N) without a single-partition window.
 
 ``row_number() OVER (ORDER BY k)`` with no partition runs in one task; here the
-rows are range-partitioned and sorted, each partition is numbered locally,
-and a tiny per-partition count table (one row per partition) supplies the
-offsets.  The partitioned data is checkpointed so both passes see the very
-same partitioning, and a lost executor only recomputes its own partitions.
+rows are range-partitioned and sorted, each row takes its place in its own
+partition from ``monotonically_increasing_id`` while it is written, and a tiny
+per-partition count table supplies the offsets: one shuffle of the rows.  The
+written data fixes the partitioning for both passes, and a lost executor only
+recomputes its own partitions.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ def dense_surrogate_key(df: DataFrame, order_cols: list[str], name: str = "id",
     tiebreak = [c for c in df.columns if c not in order_cols]
     ordered = (df.repartitionByRange(n, *order_cols)
                .sortWithinPartitions(*order_cols, *tiebreak)
-               .withColumn("_pid", F.spark_partition_id())
+               .withColumn("_mid", F.monotonically_increasing_id())  # partition number above 33 bits of row number
                .checkpoint())
-    local = ordered.withColumn("_rn", F.row_number().over(
-        Window.partitionBy("_pid").orderBy(*order_cols, *tiebreak)))
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    local = ordered.withColumn("_pid", F.shiftright("_mid", 33)) \
+        .withColumn("_rn", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     out = local.join(F.broadcast(offsets), "_pid")  # one row per partition: bounded
     return out.select((F.col("_off") + F.col("_rn")).alias(name), *df.columns)
