@@ -178,9 +178,9 @@ def match_rows(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None
     """All dictionary / percent matches: (doc, *keep, start, end, tag, phrase)."""
     keep = keep or []
     n = max_gazetteer_tokens()
-    p = df.select(F.col(id_col).alias("doc"), *keep,
-                  F.posexplode(F.split(F.regexp_replace(F.lower(text_col), PUNCTUATION, " "), " ", -1))
-                  .alias("piece", "token"))
+    texts = df.select(F.col(id_col).alias("doc"), *keep, F.lower(text_col).alias("text")).repartition("doc")
+    p = texts.select("doc", *keep, F.posexplode(F.split(F.regexp_replace("text", PUNCTUATION, " "), " ", -1))
+                     .alias("piece", "token"))
     w = Window.partitionBy("doc").orderBy("piece")
     p = p.withColumn("start", F.coalesce(F.sum(F.length("token") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)),
                                          F.lit(0)).cast("int"))

@@ -26,7 +26,8 @@ def tokenize_offsets(df: DataFrame, doc: str, text: str) -> DataFrame:
     of (length + 1) of the pieces before it; empty pieces are dropped after
     the offsets are known.  The running sum is a window per document.
     """
-    parts = df.select(F.col(doc).alias("doc"), F.posexplode(F.split(F.col(text), WS, -1)).alias("piece", "token"))
+    docs = df.select(F.col(doc).alias("doc"), F.col(text).alias("text")).repartition("doc")  # texts, not tokens
+    parts = docs.select("doc", F.posexplode(F.split("text", WS, -1)).alias("piece", "token"))
     w = Window.partitionBy("doc").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("start", F.coalesce(F.sum(F.length("token") + 1).over(w), F.lit(0)).cast("int"))
     toks = parts.filter(F.length("token") > 0)
