@@ -9,9 +9,9 @@ own ancestor, and raises.
 
 ``below`` / ``above`` seed the closure, so a question about a few nodes never
 builds all pairs.  The edges that can extend a frontier are first reduced to
-its distinct ends (combined before the shuffle): near the roots these are a
-handful, broadcast behind a count, so a parent with a third of all rows is not
-a shuffle key.
+its distinct ends (combined before the shuffle, broadcast behind their count):
+near the roots these are a handful, so a parent with a third of all rows need
+not be a shuffle key.
 """
 
 from __future__ import annotations
@@ -61,13 +61,17 @@ def closure(edges: DataFrame, weight: Column | None = None, below: DataFrame | N
     end, near, far = ("descendant", "e_parent", "e_child") if down else ("ancestor", "e_child", "e_parent")
     other = "ancestor" if down else "descendant"
     levels = []
-    while not frontier.isEmpty():
-        if not frontier.filter(F.col("ancestor") == F.col("descendant")).isEmpty():
+    while True:
+        state = frontier.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(end).alias("ends"),
+                             F.count_if(F.col("ancestor") == F.col("descendant")).alias("cycles")).first()
+        if not state["rows"]:
+            break
+        if state["cycles"]:
             raise ValueError("the edge table has a cycle")
         levels.append(frontier)
         ends = frontier.select(F.col(end).alias(near)).distinct()
-        step = e.join(_small(ends.checkpoint()), near, "left_semi").checkpoint()
-        j = frontier.join(_small(step), F.col(end) == F.col(near))
+        step = e.join(F.broadcast(ends) if state["ends"] <= BROADCAST_ROWS else ends, near, "left_semi")
+        j = frontier.join(step, F.col(end) == F.col(near))  # broadcast by its size at run time, else split where skewed
         frontier = _step_agg(j.select(F.col(far).alias(end), other, "n_paths",
                                       (F.col("weight") * F.col("e_w")).alias("weight"),
                                       (F.col("min_depth") + 1).alias("min_depth"),
