@@ -124,40 +124,82 @@ def ratios(values: DataFrame, defs: DataFrame, keys: list[str] = KEYS) -> DataFr
 # ---------------------------------------------------------------------------
 
 def whatif(facts: DataFrame, coef: DataFrame, scenarios: DataFrame, keys: list[str] = KEYS,
-           subject_leaves: DataFrame | None = None) -> DataFrame:
-    """Scale the subject by (100 + pct)/100 and re-evaluate the target.
-
-    ``scenarios``: (scenario_id, target, subject, pct int).  A subject that is
-    itself a rollup scales every leaf under it (``subject_leaves`` =
-    (subject, leaf) pairs, from the closure).  Values are exact: the scaled
-    sum is kept in 1e-2 units (BIGINT) and divided once at the end.
-    Returns baseline, scenario value, delta and percent change side by side.
+           subject_leaves: DataFrame | None = None, plan: DataFrame | None = None) -> DataFrame:
+    """Scale the subject by (100 + pct)/100 and re-evaluate the target: leaf, rollup, ratio, turnover or sum of ratios.
+
+    ``scenarios``: (scenario_id, target, subject, pct int); a subject that is itself a rollup scales every leaf under
+    it (``subject_leaves`` = (subject, leaf) pairs replaces that choice).  ``plan`` says how a target is evaluated
+    (``ontology.target_plan_rows``); a target that it does not hold is the signed sum of its leaves.
+
+    Every part of a target is linear in the facts, so no fact is multiplied by scenarios: one aggregate gives the sum
+    of each asked node and, for each asked (node, subject), the share of that sum under the subject.  A scenario's part
+    is then 100 · sum + pct · share, exact in BIGINT at 1e-2 units.  Facts already partitioned by ``keys`` are not
+    shuffled again.  A target with an incomplete part or a zero denominator gives no row.  Returns baseline, scenario
+    value, delta and percent change side by side; those of ratios are rounded to six digits.
     """
-    c = coef.filter(F.col("ancestor") != F.col("leaf"))
-    need = leaf_need(c)
-    sc = scenarios.join(c, scenarios.target == c.ancestor).select("scenario_id", "target", "subject", "pct",
-                                                                  "leaf", "coef")
-    if subject_leaves is None:
-        sc = sc.withColumn("hit", F.col("leaf") == F.col("subject"))
+    c = coef.filter(F.col("ancestor") != F.col("leaf")).select(F.col("ancestor").alias("node"), "leaf",
+                                                               F.col("coef").cast("long").alias("coef"))
+    own = scenarios.select(F.col("target").alias("target_account")).distinct()
+    shape = "mode", "unit", "node", "role", "weight", "scale"
+    value = [F.lit("value").alias("mode"), F.col("target_account").alias("unit"),
+             F.col("target_account").alias("node"), F.lit("num").alias("role"), F.lit(1.0).alias("weight"),
+             F.lit(1.0).alias("scale")]
+    if plan is None:
+        parts = own.select("target_account", *value)
     else:
-        sl = subject_leaves.select("subject", F.col("leaf").alias("s_leaf"), F.lit(True).alias("hit"))
-        sc = sc.join(sl, (sc.subject == sl.subject) & (sc.leaf == sl.s_leaf), "left").select(
-            sc["*"], F.coalesce(F.col("hit"), (F.col("leaf") == sc.subject)).alias("hit"))
-    mult = F.when(F.col("hit"), F.lit(100) + F.col("pct")).otherwise(F.lit(100)).cast("long")
-    sc = sc.select("scenario_id", "target", "subject", "pct", "leaf", "coef", mult.alias("mult"))
+        ratio = plan.filter(F.col("mode") == "ratio")
+        parts = own.join(ratio, "target_account", "left_anti").select("target_account", *value).unionByName(
+            ratio.join(own, "target_account", "left_semi").select("target_account", *shape))
+    single = parts.select("node").unionByName(scenarios.select(F.col("subject").alias("node"))).distinct()
+    ext = c.unionByName(single.join(c, "node", "left_anti").select("node", F.col("node").alias("leaf"),
+                                                                   F.lit(1).cast("long").alias("coef")))
+    under = (ext.select(F.col("node").alias("subject"), "leaf") if subject_leaves is None else
+             subject_leaves.select("subject", "leaf").unionByName(
+                 scenarios.select("subject", F.col("subject").alias("leaf")))).distinct()
+    units = parts.groupBy("target_account").agg(F.countDistinct("unit").alias("n_units"))
+    asked = scenarios.join(parts, scenarios.target == parts.target_account).join(units, "target_account")
+    ids = "scenario_id", "target", "subject", "pct"
+    asked = asked.select(*ids, "n_units", *shape)
+
+    # which facts go into which sum: the whole node under subject '', the subject's share under its own name
+    whole = ext.join(asked.select("node").distinct(), "node", "left_semi").select(
+        "node", F.lit("").alias("part"), "leaf", "coef")
+    share = asked.select("node", F.col("subject").alias("part")).distinct().join(ext, "node").join(
+        under.withColumnRenamed("subject", "part"), ["part", "leaf"]).select("node", "part", "leaf", "coef")
+    need = whole.groupBy("node").agg(F.count(F.lit(1)).alias("need")).withColumn("part", F.lit(""))
     f = facts.select(*keys, F.col("account").alias("leaf"), F.col("value").alias("v"))
-    # scenarios × ontology is bounded by the ontology size: broadcast it
-    j = f.join(F.broadcast(sc), "leaf")
-    agg = j.groupBy("scenario_id", "target", "subject", "pct", *keys).agg(
-        F.sum(F.col("coef") * F.col("v")).alias("baseline"),
-        F.sum(F.col("coef") * F.col("v") * F.col("mult")).alias("scaled_x100"),
-        F.count("leaf").alias("n_present"))
-    agg = agg.join(F.broadcast(need.withColumnRenamed("ancestor", "target")), "target").filter(
-        F.col("n_present") == F.col("need"))
-    delta_x100 = F.col("scaled_x100") - F.col("baseline") * 100
-    return agg.select(
-        "scenario_id", "target", "subject", "pct", *keys, "baseline",
-        (F.col("scaled_x100") / F.lit(100.0)).alias("scenario_value"),
-        (delta_x100 / F.lit(100.0)).alias("delta"),
-        (F.round(F.try_divide(delta_x100.cast("double"), F.col("baseline").cast("double")), 6) + F.lit(0.0))
-        .alias("pct_change"))
+    sums = f.join(whole.unionByName(share), "leaf").groupBy(*keys, "node", "part").agg(
+        F.sum(F.col("coef") * F.col("v")).alias("s"), F.count(F.lit(1)).alias("n"))
+    sums = sums.join(need, ["node", "part"], "left").filter(F.col("need").isNull() | (F.col("n") == F.col("need")))
+
+    line = asked.withColumn("part", F.explode(F.array(F.lit(""), F.col("subject")))).withColumn(
+        "mult", F.when(F.col("part") == "", F.lit(100)).otherwise(F.col("pct")).cast("long"))
+    j = sums.join(line, ["node", "part"])
+
+    def total(role: str, x: Column) -> Column:
+        return F.sum(F.when(F.col("role") == role, x))
+    base = F.when(F.col("part") == "", F.col("s") * 100)
+    u = j.groupBy(*keys, *ids, "n_units", "mode", "unit", "weight", "scale").agg(
+        total("num", base).alias("num"), total("num", F.col("s") * F.col("mult")).alias("num_x"),
+        total("den", base).alias("den"), total("den", F.col("s") * F.col("mult")).alias("den_x"))
+
+    def ratio_of(num: str, den: str) -> Column:
+        return F.try_divide(F.col("scale") * F.col(num).cast("double"), F.col(den).cast("double"))
+    is_value = F.col("mode") == "value"
+    u = u.filter(F.col("num").isNotNull()).select(
+        *keys, *ids, "n_units", "mode", "weight", F.when(is_value, F.col("num_x") - F.col("num")).alias("change"),
+        F.when(is_value, F.col("num") / 100.0).otherwise(ratio_of("num", "den")).alias("b"),
+        F.when(is_value, F.col("num_x") / 100.0).otherwise(
+            F.when(F.col("den").isNotNull(), ratio_of("num_x", "den_x"))).alias("x")).filter("b IS NOT NULL AND x IS NOT NULL")
+    out = u.groupBy(*keys, *ids, "n_units", "mode").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("change").alias("change"), F.sum(F.col("weight") * F.col("b")).alias("b"),
+        F.sum(F.col("weight") * F.col("x")).alias("x")).filter(F.col("k") == F.col("n_units"))
+
+    def shown(x: Column, exact: Column) -> Column:
+        return F.when(is_value, exact).otherwise(F.round(x, 6) + F.lit(0.0))
+    gap = F.col("x") - F.col("b")
+    return out.select(
+        *ids, *keys, shown(F.col("b"), F.col("b")).alias("baseline"), shown(F.col("x"), F.col("x")).alias("scenario_value"),
+        shown(gap, F.col("change") / 100.0).alias("delta"),
+        (F.round(F.try_divide(F.when(is_value, F.col("change").cast("double")).otherwise(gap * 100), F.col("b")), 6)
+         + F.lit(0.0)).alias("pct_change"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as EV
-from ..operators import graph as G
 from ..sources import ontology as O
 from ..sources.fixtures import LEAF_ACCOUNTS, sql_with
 from . import sqlviews  # noqa: F401  (registers ontology SQL views)
@@ -122,79 +121,119 @@ PCTS = [10, -5]
 _PCT_SQL = "(SELECT 10 AS pct UNION ALL SELECT -5)"
 
 
-def _leaf_scenarios(coef):
+def _plan(t):
+    return O.cached(t.spark, "target_plan", lambda: t.spark.createDataFrame(
+        O.target_plan_rows(), "target_account string, mode string, unit string, node string, role string, "
+                              "weight double, scale double"))
+
+
+def _scenarios(t, name, inside):
+    """Every target with a part that holds the subject; ``inside`` = (node, subject).  Ontology-sized, kept in memory."""
+    def build():
+        s = _plan(t).select(F.col("target_account").alias("target"), "node").join(inside, "node").select(
+            "target", "subject").distinct()
+        s = s.withColumn("pct", F.explode(F.array(*[F.lit(p) for p in PCTS])))
+        return s.withColumn("scenario_id", F.concat_ws("|", "target", "subject", F.col("pct").cast("string")))
+    return O.cached(t.spark, name, build)
+
+
+def _leaf_scenarios(t):
+    ext = t.spark.createDataFrame(O.coef_ext_rows(), "node string, subject string, coef long")
     leafs = [a for a, _ in LEAF_ACCOUNTS]
-    s = coef.filter((F.col("ancestor") != F.col("leaf")) & F.col("leaf").isin(leafs)).select(
-        F.col("ancestor").alias("target"), F.col("leaf").alias("subject"))
-    s = s.withColumn("pct", F.explode(F.array(*[F.lit(p) for p in PCTS])))
-    return s.withColumn("scenario_id", F.concat_ws("|", "target", "subject", F.col("pct").cast("string")))
+    return _scenarios(t, "leaf_scenarios", ext.filter(F.col("subject").isin(leafs)).select("node", "subject"))
+
 
+def _internal_scenarios(t):
+    parents = EV.partof_edges(O.edges(t.spark), O.nodes(t.spark)).select(F.col("parent").alias("subject")).distinct()
+    below = O.partof_closure_df(t.spark).select(F.col("ancestor").alias("node"), F.col("descendant").alias("subject"))
+    return _scenarios(t, "internal_scenarios", below.join(parents, "subject", "left_semi").unionByName(
+        parents.select(F.col("subject").alias("node"), "subject")))
 
+
+_SCEN_ID = "target || '|' || subject || '|' || CAST(pct AS VARCHAR) AS scenario_id"
 _WHATIF_SQL_VIEWS = {
-    "leaf_scen": ("SELECT c.ancestor AS target, c.leaf AS subject, p.pct, "
-                  "c.ancestor || '|' || c.leaf || '|' || CAST(p.pct AS VARCHAR) AS scenario_id "
-                  "FROM onto_coef c, " + _PCT_SQL + " p WHERE c.ancestor <> c.leaf AND c.leaf IN ("
-                  + ", ".join(f"'{a}'" for a in ["Revenue", "CostOfSales", "SellingGeneralAdministrativeExpenses",
-                                                 "FinanceIncome", "FinancialExpenses", "IncomeTaxExpense",
-                                                 "TradeAndOtherCurrentReceivables", "Inventories",
-                                                 "AdvancesCustomers"]) + ")", ["onto_coef"]),
-    "internal_scen": ("SELECT cl.ancestor AS target, cl.descendant AS subject, p.pct, "
-                      "cl.ancestor || '|' || cl.descendant || '|' || CAST(p.pct AS VARCHAR) AS scenario_id "
-                      "FROM onto_closure cl, " + _PCT_SQL + " p WHERE cl.descendant IN (SELECT parent FROM onto_pe) "
-                      "AND cl.ancestor IN (SELECT ancestor FROM onto_coef)", ["onto_closure", "onto_pe", "onto_coef"]),
+    "wi_ext": ("SELECT ancestor AS node, leaf, coef FROM onto_coef WHERE ancestor <> leaf UNION ALL "
+               "SELECT acc, acc, 1 FROM onto_nodes WHERE acc NOT IN (SELECT parent FROM onto_pe)",
+               ["onto_coef", "onto_nodes", "onto_pe"]),
+    "wi_sums": ("SELECT c.ancestor AS target, c.coef, d.* FROM onto_coef c JOIN onto_ratio_defs d ON d.account = c.leaf "
+                "WHERE c.ancestor <> c.leaf", ["onto_coef", "onto_ratio_defs"]),
+    "wi_plan": ("""
+SELECT account AS target, 'ratio' AS mode, account AS unit, num AS node, 'num' AS role, 1.0 AS weight, scale FROM onto_ratio_defs
+UNION ALL SELECT account, 'ratio', account, den, 'den', 1.0, scale FROM onto_ratio_defs
+UNION ALL SELECT target, 'ratio', account, num, 'num', coef, scale FROM wi_sums
+UNION ALL SELECT target, 'ratio', account, den, 'den', coef, scale FROM wi_sums
+UNION ALL SELECT acc, 'value', acc, acc, 'num', 1.0, 1.0 FROM onto_nodes WHERE acc <> 'CalendarOneYear'
+AND acc NOT IN (SELECT account FROM onto_ratio_defs) AND acc NOT IN (SELECT target FROM wi_sums)""",
+                ["onto_ratio_defs", "wi_sums", "onto_nodes"]),
+    "leaf_scen": (f"SELECT *, {_SCEN_ID} FROM (SELECT DISTINCT p.target, e.leaf AS subject FROM wi_plan p "
+                  "JOIN wi_ext e ON e.node = p.node WHERE e.leaf IN ("
+                  + ", ".join(f"'{a}'" for a, _ in LEAF_ACCOUNTS) + f")) s, {_PCT_SQL} q", ["wi_plan", "wi_ext"]),
+    "internal_scen": (f"SELECT *, {_SCEN_ID} FROM (SELECT DISTINCT p.target, c.subject FROM wi_plan p JOIN "
+                      "(SELECT ancestor AS node, descendant AS subject FROM onto_closure UNION SELECT parent, parent FROM onto_pe) c "
+                      f"ON c.node = p.node WHERE c.subject IN (SELECT parent FROM onto_pe)) s, {_PCT_SQL} q",
+                      ["wi_plan", "onto_closure", "onto_pe"]),
 }
 
 
-def _whatif_sql(scen: str, internal: bool, cols: str) -> str:
-    hit = ("EXISTS (SELECT 1 FROM onto_coef sl WHERE sl.ancestor = s.subject AND sl.leaf = c.leaf)"
-           if internal else "c.leaf = s.subject")
+def _whatif_sql(scen: str, cols: str) -> str:
+    """Every fact scaled by hand for every scenario that holds it, then evaluated."""
     body = f"""
-SELECT scenario_id, target, subject, pct, code, bsns_year, quarter, baseline,
-       scaled_x100 / 100.0 AS scenario_value, (scaled_x100 - baseline * 100) / 100.0 AS delta,
-       ROUND(CASE WHEN baseline = 0 THEN NULL ELSE CAST(scaled_x100 - baseline * 100 AS DOUBLE) / CAST(baseline AS DOUBLE) END, 6) + 0.0 AS pct_change
+SELECT scenario_id, target, subject, pct, code, bsns_year, quarter,
+  CASE mode WHEN 'value' THEN b ELSE ROUND(b, 6) END AS baseline,
+  CASE mode WHEN 'value' THEN x ELSE ROUND(x, 6) END AS scenario_value,
+  CASE mode WHEN 'value' THEN change / 100.0 ELSE ROUND(x - b, 6) + 0.0 END AS delta,
+  ROUND(CASE WHEN b = 0 THEN NULL WHEN mode = 'value' THEN change / b ELSE (x - b) * 100 / b END, 6) + 0.0 AS pct_change
 FROM (
-  SELECT s.scenario_id, s.target, s.subject, s.pct, f.code, f.bsns_year, f.quarter,
-         CAST(SUM(c.coef * f.value) AS BIGINT) AS baseline,
-         CAST(SUM(c.coef * f.value * CASE WHEN {hit} THEN 100 + s.pct ELSE 100 END) AS BIGINT) AS scaled_x100,
-         COUNT(*) AS n_present, n.need
-  FROM {scen} s JOIN onto_coef c ON c.ancestor = s.target AND c.ancestor <> c.leaf
-  JOIN fin_fact f ON f.account = c.leaf
-  JOIN onto_need n ON n.ancestor = s.target
-  GROUP BY s.scenario_id, s.target, s.subject, s.pct, f.code, f.bsns_year, f.quarter, n.need
-  HAVING COUNT(*) = n.need) x"""
-    return sql_with([scen, "fin_fact", "onto_need"], f"SELECT {cols} FROM ({body}) y", extra=_WHATIF_SQL_VIEWS)
+  SELECT scenario_id, target, subject, pct, code, bsns_year, quarter, mode, SUM(change) AS change,
+         SUM(weight * b) AS b, SUM(weight * x) AS x
+  FROM (
+    SELECT *, CASE mode WHEN 'value' THEN CAST(num_x - num AS DOUBLE) END AS change,
+      CASE WHEN mode = 'value' THEN num / 100.0 WHEN den <> 0 THEN scale * CAST(num AS DOUBLE) / CAST(den AS DOUBLE) END AS b,
+      CASE WHEN mode = 'value' THEN num_x / 100.0 WHEN den_x <> 0 THEN scale * CAST(num_x AS DOUBLE) / CAST(den_x AS DOUBLE) END AS x
+    FROM (
+      SELECT scenario_id, target, subject, pct, mode, unit, weight, scale, n_units, code, bsns_year, quarter,
+        MAX(CASE role WHEN 'num' THEN s END) AS num, MAX(CASE role WHEN 'num' THEN s_x END) AS num_x,
+        MAX(CASE role WHEN 'den' THEN s END) AS den, MAX(CASE role WHEN 'den' THEN s_x END) AS den_x
+      FROM (
+        SELECT s.scenario_id, s.target, s.subject, s.pct, s.mode, s.unit, s.role, s.weight, s.scale, s.n_units,
+               f.code, f.bsns_year, f.quarter, CAST(SUM(s.coef * f.value * 100) AS BIGINT) AS s,
+               CAST(SUM(s.coef * f.value * s.mult) AS BIGINT) AS s_x
+        FROM (SELECT s.*, p.mode, p.unit, p.role, p.weight, p.scale, e.leaf, e.coef, n.need, k.n_units,
+                CASE WHEN EXISTS (SELECT 1 FROM wi_ext u WHERE u.node = s.subject AND u.leaf = e.leaf)
+                     THEN 100 + s.pct ELSE 100 END AS mult
+              FROM {scen} s JOIN wi_plan p ON p.target = s.target JOIN wi_ext e ON e.node = p.node
+              JOIN (SELECT node, COUNT(*) AS need FROM wi_ext GROUP BY 1) n ON n.node = p.node
+              JOIN (SELECT target, COUNT(DISTINCT unit) AS n_units FROM wi_plan GROUP BY 1) k ON k.target = s.target) s
+        JOIN fin_fact f ON f.account = s.leaf
+        GROUP BY s.scenario_id, s.target, s.subject, s.pct, s.mode, s.unit, s.role, s.weight, s.scale, s.n_units, s.need,
+                 f.code, f.bsns_year, f.quarter HAVING COUNT(*) = s.need) a
+      GROUP BY ALL) w
+    WHERE num IS NOT NULL) v
+  WHERE b IS NOT NULL AND x IS NOT NULL
+  GROUP BY scenario_id, target, subject, pct, code, bsns_year, quarter, mode, n_units HAVING COUNT(*) = n_units) z"""
+    return sql_with([scen, "fin_fact", "wi_plan", "wi_ext"], f"SELECT {cols} FROM ({body}) y", extra=_WHATIF_SQL_VIEWS)
 
 
 _WI_ALL = "scenario_id, target, subject, pct, code, bsns_year, quarter, baseline, scenario_value, delta, pct_change"
 
 
-@query("whatif_leaf", _whatif_sql("leaf_scen", False, "scenario_id, code, bsns_year, quarter, scenario_value"))
+@query("whatif_leaf", _whatif_sql("leaf_scen", "scenario_id, code, bsns_year, quarter, scenario_value"))
 def whatif_leaf(t):
-    """EVA9: scale one leaf by ±p% and re-evaluate every ancestor, for every company/period."""
+    """EVA9: scale one leaf by ±p% and re-evaluate every account that holds it, for every company/period."""
     _, _, coef = _onto(t)
-    return EV.whatif(t.fin_fact, coef, _leaf_scenarios(coef)).select(
-        "scenario_id", *K, "scenario_value")
+    return EV.whatif(t.fin_fact, coef, _leaf_scenarios(t), plan=_plan(t)).select("scenario_id", *K, "scenario_value")
 
 
-@query("whatif_internal", _whatif_sql("internal_scen", True, _WI_ALL))
+@query("whatif_internal", _whatif_sql("internal_scen", _WI_ALL))
 def whatif_internal(t):
     """EVA10: subject is itself a rollup — every leaf under it is scaled."""
-    e, n, coef = _onto(t)
-    clos = O.partof_closure_df(t.spark)
-    internal = EV.partof_edges(e, n).select(F.col("parent").alias("descendant")).distinct()
-    targets = coef.select("ancestor").distinct()
-    s = clos.join(internal, "descendant", "left_semi").join(targets, "ancestor", "left_semi").select(
-        F.col("ancestor").alias("target"), F.col("descendant").alias("subject"))
-    s = s.withColumn("pct", F.explode(F.array(*[F.lit(p) for p in PCTS])))
-    s = s.withColumn("scenario_id", F.concat_ws("|", "target", "subject", F.col("pct").cast("string")))
-    sl = coef.select(F.col("ancestor").alias("subject"), "leaf")
-    return EV.whatif(t.fin_fact, coef, s, subject_leaves=sl).select(*_WI_ALL.split(", "))
-
-
-@query("whatif_delta", _whatif_sql("leaf_scen", False,
-                                   "scenario_id, code, bsns_year, quarter, baseline, scenario_value, delta, pct_change"))
+    _, _, coef = _onto(t)
+    return EV.whatif(t.fin_fact, coef, _internal_scenarios(t), plan=_plan(t)).select(*_WI_ALL.split(", "))
+
+
+@query("whatif_delta", _whatif_sql("leaf_scen", "scenario_id, code, bsns_year, quarter, baseline, scenario_value, delta, pct_change"))
 def whatif_delta(t):
-    """EVA11: baseline, scenario, delta and percent change side by side."""
+    """EVA11: baseline, scenario, delta and percent change side by side, ratios and turnover days included."""
     _, _, coef = _onto(t)
-    return EV.whatif(t.fin_fact, coef, _leaf_scenarios(coef)).select(
+    return EV.whatif(t.fin_fact, coef, _leaf_scenarios(t), plan=_plan(t)).select(
         "scenario_id", *K, "baseline", "scenario_value", "delta", "pct_change")

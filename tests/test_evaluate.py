@@ -65,3 +65,20 @@ def test_whatif_internal_subject(spark):
     sl = coef.select(F.col("ancestor").alias("subject"), "leaf")
     w = EV.whatif(_facts(spark, rows), coef, sc, subject_leaves=sl).first()
     assert w["baseline"] == 300 and w["scenario_value"] == 500.0  # GP 400 -> 600, minus SG&A 100
+
+
+def test_whatif_leaf_ratio_and_turnover_targets(spark):
+    rows = [("Revenue", 1000), ("CostOfSales", 600), ("Inventories", 50), ("SellingGeneralAdministrativeExpenses", 100)]
+    plan = spark.createDataFrame(O.target_plan_rows(), "target_account string, mode string, unit string, node string, "
+                                                       "role string, weight double, scale double")
+    sc = spark.createDataFrame([(f"{a}|{b}", a, b, 25) for a, b in (
+        ("Revenue", "Revenue"), ("GrossProfit", "CostOfSales"), ("CostOfSalesRatio", "Revenue"),
+        ("CostOfSalesRatio", "CostOfSales"), ("InventoriesTurnoverPeriod", "Inventories"), ("NetIncome", "Revenue"))],
+        "scenario_id string, target string, subject string, pct int")
+    w = {x["target"] + "|" + x["subject"]: (x["baseline"], x["scenario_value"], x["delta"], x["pct_change"])
+         for x in EV.whatif(_facts(spark, rows), O.coef_df(spark), sc, plan=plan).collect()}
+    assert w == {"Revenue|Revenue": (1000.0, 1250.0, 250.0, 25.0),
+                 "GrossProfit|CostOfSales": (400.0, 250.0, -150.0, -37.5),
+                 "CostOfSalesRatio|Revenue": (0.6, 0.48, -0.12, -20.0),
+                 "CostOfSalesRatio|CostOfSales": (0.6, 0.75, 0.15, 25.0),
+                 "InventoriesTurnoverPeriod|Inventories": (18.25, 22.8125, 4.5625, 25.0)}
