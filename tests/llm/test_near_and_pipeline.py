@@ -160,3 +160,29 @@ def test_stages_on_empty_and_edge_tables(spark, tmp_path):
                 out.count()
 
 
+@pytest.mark.parametrize("differ", ["line", "blanks", "words"])
+def test_one_whole_text_of_a_near_copy_group_stays(spark, differ):
+    rnd = random.Random(11)
+    vocab = [f"v{i}" for i in range(3000)]
+    article = [" ".join(rnd.choices(vocab, k=30)) for _ in range(12)]
+    data = []
+    for i in range(150):
+        lines = [" ".join(rnd.choices(vocab, k=25)) for _ in range(6)]
+        if i < 50:                                     # a third of the source
+            lines = list(article)
+            if differ == "line":
+                lines[5] = f"changed line {i} " + " ".join(rnd.choices(vocab, k=6))
+            elif differ == "blanks":
+                lines = [x + " " * rnd.randint(0, 3) for x in lines] + [""] * (i % 7)
+            else:
+                for k in rnd.sample(range(12), 2):
+                    lines[k] = " ".join([*lines[k].split()[:-1], f"edit{i}"])
+        data.append((i, "a", "\n".join(["Share this page", *lines])))
+    df = spark.createDataFrame(data, "doc_id long, source string, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    cleaned = stages["line_dedup"](spark, df, SF).cache()
+    got = {r.doc_id: r.text for r in cleaned.collect()}
+    assert got == {i: t.removeprefix("Share this page\n") for i, _, t in data}
+    kept = {r.doc_id: r.text for r in stages["ngram_jaccard_join"](spark, cleaned, SF).collect()}
+    group = [i for i in kept if i < 50]
+    assert len(kept) == 100 + len(group) and group == [min(group)] and kept[group[0]] == got[group[0]]
