@@ -68,38 +68,43 @@ def filings_dedup(spark: SparkSession, path: str, schema: str, keys: list[str],
 
 
 DIALOG_OUT = "conv_id long, turn long, role string, turn_no int, carried_intent string"
-DIALOG_STATE = "n int, intent string"
+DIALOG_STATE = "turns array<long>, roles array<string>, intents array<string>"
 
 
 def _dialog_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, intent = state.get if state.exists else (0, None)
-    # a conversation's rows of one micro-batch may come in several chunks: order them together
-    pdf = pd.concat(list(pdfs)).sort_values("turn", kind="stable")
-    turn_no, carried = [], []
-    for role, text in zip(pdf["role"], pdf["text"]):
-        n += 1
-        if role == "user":
-            intent = "question" if "?" in (text or "") else "statement"
-        turn_no.append(n)
+    seen = list(zip(*state.get)) if state.exists else []
+    for pdf in pdfs:
+        for turn, role, text in zip(pdf["turn"], pdf["role"], pdf["text"]):
+            said = ("question" if "?" in (text or "") else "statement") if role == "user" else None
+            seen.append((None if pd.isna(turn) else int(turn), role, said))
+    seen.sort(key=lambda x: (x[0] is None, x[0] or 0))  # null turns last
+    turns, roles, intents = (list(c) for c in zip(*seen))
+    state.update((turns, roles, intents))
+    carried, intent = [], None
+    for said in intents:
+        intent = said or intent
         carried.append(intent)
-    state.update((n, intent))
-    yield pd.DataFrame({"conv_id": pdf["conv_id"].values, "turn": pdf["turn"].values, "role": pdf["role"].values,
-                        "turn_no": turn_no, "carried_intent": carried})
+    yield pd.DataFrame({"conv_id": pd.Series([key[0]] * len(seen), dtype="Int64"), "turn": pd.Series(turns, dtype="Int64"),
+                        "role": roles, "turn_no": range(1, len(seen) + 1), "carried_intent": carried})
 
 
 def dialog_state(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """SM3: turn counter and last user intent per conversation, in keyed streaming state.
 
-    Turns of a conversation are ordered inside a micro-batch and continue the earlier ones across micro-batches.
-    The state (a number and a word per conversation) does not expire: a table of conversations has no event time, and
-    a processing-time timeout keeps an availableNow run from ending.
+    The state keeps the turns seen (number, role, intent).  A conversation that gets turns in a later micro-batch is
+    numbered anew and written whole; what its latest batch wrote counts, so files may arrive in any order.
+    The state does not expire: a table of conversations has no event time, and a processing-time timeout keeps an
+    availableNow run from ending.
     """
     s = read_stream(spark, path, "conv_id long, turn long, role string, text string", files_per_trigger)
     out = s.groupBy("conv_id").applyInPandasWithState(_dialog_fn, DIALOG_OUT, DIALOG_STATE, "append",
                                                       GroupStateTimeout.NoTimeout)
     sink = scratch_path(spark, "stream-dialog")
     _run_to_sink(out, sink)
-    return spark.read.parquet(sink).drop("epoch")
+    rows = spark.read.parquet(sink)
+    last = rows.groupBy(F.col("conv_id").alias("conv")).agg(F.max("epoch").alias("last"))
+    return rows.join(last, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("epoch") == F.col("last"))) \
+        .drop("epoch", "conv", "last")
 
 
 def answer_stream(spark: SparkSession, path: str, schema: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:

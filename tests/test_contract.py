@@ -67,6 +67,18 @@ def test_stream_dialog_continues_across_batches(spark, tmp_path):
     assert got == {(1, 0): (1, "question"), (1, 1): (2, "question"), (1, 2): (3, "statement"), (2, 0): (1, "statement")}
 
 
+def test_stream_dialog_turns_out_of_order_over_files(spark, tmp_path):
+    path = f"file://{tmp_path}/conversations.parquet"
+    schema = "conv_id long, turn long, role string, text string"
+    turns = [(1, 3, "user", "no"), (1, 0, "user", "a?"), (1, 2, "assistant", "c"), (1, 1, "assistant", "b"),
+             (None, 1, "user", "x"), (None, 0, "user", "y?"), (1, None, "assistant", "late")]
+    for r in turns:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(path)
+    got = {(r.conv_id, r.turn): (r.turn_no, r.carried_intent) for r in ST.dialog_state(spark, path, 1).collect()}
+    assert got == {(1, 0): (1, "question"), (1, 1): (2, "question"), (1, 2): (3, "question"), (1, 3): (4, "statement"),
+                   (1, None): (5, "statement"), (None, 0): (1, "question"), (None, 1): (2, "statement")}
+
+
 def test_stream_dedup_keeps_every_id_once(spark):
     got = E.queries()["stream_filings_dedup"](spark, SF)
     want = spark.read.parquet(f"{SF}/events.parquet").select("event_id").distinct()
