@@ -13,7 +13,7 @@ average, and dissimilar sets part.  Buckets of at most ``bucket_rows`` sets are
 compared pair by pair; larger ones are split a level further, down to
 ``max_depth``; what is larger still is compared in blocks, every block with every
 other, so no bucket is capped.  The runs needed for ``recall`` follow from the
-survival of the branching process (``runs_for``).
+survival of the branching process down to the deepest level (``runs_for``).
 
 Bucket comparison uses the min-hash estimate with a margin below the threshold
 (``slack``) and returns a spanning forest, never all pairs.  Its components are
@@ -192,7 +192,7 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     """(members, links, sizes): members (uid, rep), exact links as a forest (a, b) of representatives, and
     counts (rep, copies, linked): ``linked`` documents of other classes are at or above the threshold."""
     small_batches(df.sparkSession)
-    runs = runs_for(recall, depth + 1)
+    runs = runs_for(recall, max(depth + 1, max_depth))
     sk = cut(classes(df, doc_id, text, size, threshold, runs, depth))
     one = cut(sk.groupBy("k1", "k2").agg(F.min(F.struct("uid", "sig", "paths")).alias("m"),
                                          F.count(F.lit(1)).alias("copies"))

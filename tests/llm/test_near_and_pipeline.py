@@ -186,3 +186,13 @@ def test_one_whole_text_of_a_near_copy_group_stays(spark, differ):
     kept = {r.doc_id: r.text for r in stages["ngram_jaccard_join"](spark, cleaned, SF).collect()}
     group = [i for i in kept if i < 50]
     assert len(kept) == 100 + len(group) and group == [min(group)] and kept[group[0]] == got[group[0]]
+
+
+def test_runs_reach_the_recall_at_the_deepest_level(spark, monkeypatch):
+    asked, classes = [], nearjoin.classes
+    monkeypatch.setattr(nearjoin, "classes", lambda *a: asked.append(a[5]) or classes(*a))
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (3, "something else")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for deepest in (3, 5, 8):
+        assert {r.doc_id: r.class_id for r in nearjoin.labelled(df, max_depth=deepest).collect()} == {1: 1, 2: 1, 3: 3}
+        assert (1 - nearjoin.survival(deepest)) ** asked[-1] <= 0.01
