@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linededup, mincut, mixing, nearjoin, quality, rules, warc
+from . import (chat, decontam, langid, lexsearch, linededup, mincut, mixing, nearjoin, packing, prefixtrie, quality,
+               rules, warc)
 from .common import table
 
 
@@ -60,9 +61,23 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.labelled(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+    return out.select("row.*", "sequence_id", "offset")
+
+
+def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexsearch.search(lexsearch.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_time_forward_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mincut_text, op2_line_frequency, op3_prefix_examples, op4_cross_parsing, op5_cube_mix, op6_weak_label_quality,
-    op7_rule_ledger, op8_spaced_seeds, op9_warc_derivatives, op10_chosen_path)}
+    op7_rule_ledger, op8_spaced_seeds, op9_warc_derivatives, op10_chosen_path, op11_vector_best_fit,
+    op12_block_max_search, op13_time_forward_trie)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -174,5 +189,54 @@ k AS (SELECT x, min(y) AS y FROM r GROUP BY x), l AS (SELECT x, count(*) AS n FR
 SELECT doc_id, least(doc_id, coalesce(k.y, doc_id)) AS class_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
 FROM d LEFT JOIN k ON k.x = doc_id LEFT JOIN l ON l.x = doc_id"""
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TERMS12 = rf"regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_ORACLE12 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS12} AS ts FROM documents WHERE text IS NOT NULL),
+st AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM d WHERE len(ts) > 0),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, row_number() OVER () AS i, unnest({_TERMS12}) AS term
+  FROM benchmark WHERE text IS NOT NULL) GROUP BY item_id, i, term),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q)
+  GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM p, st GROUP BY term, n_docs),
+s AS (SELECT q.item_id, p.r, CAST(sum(q.times * w.w *
+    ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * len(d.ts) * n_docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN d ON d.r = p.r, st GROUP BY q.item_id, p.r),
+k AS (SELECT s.item_id, CAST(row_number() OVER (PARTITION BY s.item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+  doc_id, score
+  FROM s JOIN d ON d.r = s.r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20"""
+
+
+_ORACLE13 = rf"""
+WITH RECURSIVE bits(i, v, k) AS (SELECT i, i, 0 FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS crc FROM bits WHERE k = 8),
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        WHERE conv_id IS NOT NULL)),
+n AS (SELECT c, count(*) AS n FROM o GROUP BY c),
+v AS (SELECT c, c - c % 20 AS b, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''),
+    lambda x: ascii(x)::BIGINT)), lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1])), 4294967295) % 4 AS h FROM n, tab),
+rb AS (SELECT v.c, o.pos AS d, role, text FROM v JOIN o ON o.c = v.b AND o.pos <= v.h
+  UNION ALL SELECT v.c, o.pos - v.h + least(v.h, coalesce(n.n, 0)), role, text
+  FROM v JOIN o ON o.c = v.c AND o.pos > v.h LEFT JOIN n ON n.c = v.b),
+p AS (SELECT c, d, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY d)) AS k,
+    len(regexp_extract_all(text, '{_WORD}')) AS words FROM rb
+  UNION ALL SELECT c, 0, '', 0 FROM v),
+r AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY c ORDER BY d), '-') AS pk, d = max(d) OVER (PARTITION BY c) AS last FROM p),
+t AS (SELECT k, any_value(pk) AS pk, any_value(d) AS d, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(words) AS own
+  FROM r GROUP BY k),
+ch AS (SELECT pk AS k, count(*) AS children FROM t GROUP BY pk),
+s AS (SELECT r.k, sum(t.own) AS saved, count(*) FILTER (WHERE ch.children IS NULL) AS leaves
+  FROM t LEFT JOIN ch ON ch.k = t.k JOIN r ON r.c = t.c AND r.d <= t.d GROUP BY r.k),
+e AS (SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM r WHERE last GROUP BY k)
+SELECT t.c AS conv_id, CAST(t.d AS BIGINT) AS depth, up.c AS parent_conv_id, CAST(t.n AS BIGINT) AS n_convs,
+  CAST(coalesce(ch.children, 0) AS BIGINT) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM t JOIN s ON s.k = t.k LEFT JOIN t up ON up.k = t.pk LEFT JOIN ch ON ch.k = t.k LEFT JOIN e ON e.k = t.k"""
+
 ORACLES = {"op2_line_frequency": _ORACLE2, "op3_prefix_examples": _ORACLE3, "op7_rule_ledger": _ORACLE7,
-           "op8_spaced_seeds": _ORACLE8, "op10_chosen_path": _ORACLE10}
+           "op8_spaced_seeds": _ORACLE8, "op10_chosen_path": _ORACLE10,
+           "op12_block_max_search": _ORACLE12, "op13_time_forward_trie": _ORACLE13}
