@@ -280,8 +280,8 @@ def ends_digest(rows: DataFrame) -> DataFrame:
                     key, sha = (k1, k2), hashlib.sha256(ids.encode())
                 else:
                     sha.update(b"," + ids.encode())
-            yield pd.DataFrame({"k1": np.array([o[0] for o in out], np.int64), "k2": np.array([o[1] for o in out], np.int64),
-                                "ends_sha256": [o[2] for o in out]})
+            if out:
+                yield pd.DataFrame(out, columns=["k1", "k2", "ends_sha256"])
         if key:
             yield pd.DataFrame({"k1": [key[0]], "k2": [key[1]], "ends_sha256": [sha.hexdigest()]})
     return chunks.repartition(*_KEY).sortWithinPartitions(*_KEY, "block").mapInPandas(
