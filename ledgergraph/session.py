@@ -14,16 +14,30 @@ TUNING = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
+def driver_memory(share: float = 0.4) -> str:
+    """Heap of a local session: a share of the machine's memory (or of its container's limit), for Python workers, the
+    page cache and Spark's memory outside the heap need the rest."""
+    total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    for limit in ("/sys/fs/cgroup/memory.max", "/sys/fs/cgroup/memory/memory.limit_in_bytes"):
+        try:
+            with open(limit) as f:
+                total = min(total, int(f.read()))
+        except (OSError, ValueError):  # no such file, or no limit
+            pass
+    return f"{max(1024, min(16384, int(total * share) >> 20))}m"
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgergraph") -> SparkSession:
     """A local session for tests and the benchmark (not used by the library)."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("LG_DRIVER_MEMORY", "16g"))
+    builder = builder.config("spark.driver.memory", os.environ.get("LG_DRIVER_MEMORY") or driver_memory())
     for k, v in TUNING.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
