@@ -18,6 +18,9 @@ facts does not overload one task.
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,20 +126,124 @@ def ratios(values: DataFrame, defs: DataFrame, keys: list[str] = KEYS) -> DataFr
 # What-if
 # ---------------------------------------------------------------------------
 
+#: Rows of each plan table (scenarios, coefficients, parts) up to which a what-if is compiled into columns.
+PLAN_ROWS = 20_000
+
+
+def _shown(out: DataFrame, ids, keys: list[str]) -> DataFrame:
+    """(ids, keys, baseline, scenario_value, delta, pct_change) of (b, x, change, is_value)."""
+    def shown(x: Column, exact: Column) -> Column:
+        return F.when(F.col("is_value"), exact).otherwise(F.round(x, 6) + F.lit(0.0))
+    gap = F.col("x") - F.col("b")
+    return out.select(
+        *ids, *keys, shown(F.col("b"), F.col("b")).alias("baseline"), shown(F.col("x"), F.col("x")).alias("scenario_value"),
+        shown(gap, F.col("change") / 100.0).alias("delta"),
+        (F.round(F.try_divide(F.when(F.col("is_value"), F.col("change").cast("double")).otherwise(gap * 100), F.col("b")), 6)
+         + F.lit(0.0)).alias("pct_change"))
+
+
 def whatif(facts: DataFrame, coef: DataFrame, scenarios: DataFrame, keys: list[str] = KEYS,
            subject_leaves: DataFrame | None = None, plan: DataFrame | None = None) -> DataFrame:
     """Scale the subject by (100 + pct)/100 and re-evaluate the target: leaf, rollup, ratio, turnover or sum of ratios.
 
     ``scenarios``: (scenario_id, target, subject, pct int); a subject that is itself a rollup scales every leaf under
     it (``subject_leaves`` = (subject, leaf) pairs replaces that choice).  ``plan`` says how a target is evaluated
-    (``ontology.target_plan_rows``); a target that it does not hold is the signed sum of its leaves.
-
-    Every part of a target is linear in the facts, so no fact is multiplied by scenarios: one aggregate gives the sum
-    of each asked node and, for each asked (node, subject), the share of that sum under the subject.  A scenario's part
-    is then 100 · sum + pct · share, exact in BIGINT at 1e-2 units.  Facts already partitioned by ``keys`` are not
-    shuffled again.  A target with an incomplete part or a zero denominator gives no row.  Returns baseline, scenario
-    value, delta and percent change side by side; those of ratios are rounded to six digits.
+    (``ontology.target_plan_rows``); a target that it does not hold is the signed sum of its leaves.  ``facts`` has one
+    row per (keys, account).
+
+    Every part of a target is linear in the facts, so no fact is multiplied by scenarios: a scenario's part is
+    100 · sum + pct · share, where ``share`` is the part of the sum under the subject, exact in BIGINT at 1e-2 units.
+    The plan tables are of the ontology's size: they are counted, and up to ``PLAN_ROWS`` rows they become columns over
+    one wide row per key, so the facts are shuffled once, by their keys, and never by account; larger plans are joined.
+    A target with an incomplete part or a zero denominator gives no row.  Returns baseline, scenario value, delta and
+    percent change side by side; those of ratios are rounded to six digits.
     """
+    small = [df if df is None else df.limit(PLAN_ROWS + 1).collect() for df in (
+        coef.select("ancestor", "leaf", "coef"), scenarios.select("scenario_id", "target", "subject", "pct"),
+        subject_leaves if subject_leaves is None else subject_leaves.select("subject", "leaf"),
+        plan if plan is None else plan.select("target_account", "mode", "unit", "node", "role", "weight", "scale"))]
+    if any(rows is not None and len(rows) > PLAN_ROWS for rows in small):
+        return whatif_by_joins(facts, coef, scenarios, keys, subject_leaves, plan)
+    return whatif_by_row(facts, *small, keys)
+
+
+def whatif_by_row(facts: DataFrame, coef: list, scenarios: list, subject_leaves: list | None, plan: list | None,
+                  keys: list[str] = KEYS) -> DataFrame:
+    """``whatif`` with plan tables as rows in the driver: node sums are columns of one row per key."""
+    leaves: dict[str, dict[str, int]] = {}
+    for r in coef:
+        if r["ancestor"] != r["leaf"]:
+            leaves.setdefault(r["ancestor"], {})[r["leaf"]] = int(r["coef"])
+    given: dict[str, set[str]] = {}
+    for r in subject_leaves or []:
+        given.setdefault(r["subject"], set()).add(r["leaf"])
+    parts: dict[str, list] = {}
+    for r in plan or []:
+        if r["mode"] == "ratio":
+            parts.setdefault(r["target_account"], []).append(r)
+
+    def of(node: str) -> dict[str, int]:
+        return leaves.get(node, {node: 1})
+
+    def under(subject: str) -> set[str]:
+        return set(of(subject)) if subject_leaves is None else given.get(subject, set()) | {subject}
+    place: dict[tuple[str, str], int] = {}
+
+    def sum_of(node: str, subject: str | None = None) -> int:
+        """Place of a sum among the columns: of a node, or of what lies under the subject in it (-1: nothing)."""
+        own = [x for x in of(node) if subject is None or x in under(subject)]
+        return place.setdefault((node, subject or ""), len(place)) if own else -1
+    compiled = []
+    for r in scenarios:
+        units: dict[str, dict] = {}
+        for p in parts.get(r["target"], [None]):
+            node, role = (r["target"], "num") if p is None else (p["node"], p["role"])
+            u = units.setdefault(r["target"] if p is None else p["unit"], {
+                "weight": 1.0 if p is None else float(p["weight"]), "scale": 1.0 if p is None else float(p["scale"]),
+                "num": -1, "num_share": -1, "den": -1, "den_share": -1})
+            u[role], u[role + "_share"] = sum_of(node), sum_of(node, r["subject"])
+        compiled.append({"scenario_id": r["scenario_id"], "target": r["target"], "subject": r["subject"], "pct": r["pct"],
+                         "is_value": r["target"] not in parts, "units": list(units.values())})
+    used = sorted({x for node, _ in place for x in of(node)})
+    col = {x: f"leaf_{i}" for i, x in enumerate(used)}
+    wide = facts.filter(F.col("account").isin(used)).groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("account") == x, F.col("value"))).alias(c) for x, c in col.items()])
+
+    def column(node: str, subject: str) -> Column:
+        """A missing leaf makes the sum null."""
+        terms = [F.col(col[x]) * F.lit(c).cast("long") for x, c in of(node).items() if not subject or x in under(subject)]
+        return reduce(lambda x, y: x + y, terms)
+    sums = [column(n, s) for n, s in place] or [F.lit(None).cast("long")]
+    unit = "struct<weight:double,scale:double,num:int,num_share:int,den:int,den_share:int>"
+    shape = f"array<struct<scenario_id:string,target:string,subject:string,pct:long,is_value:boolean,units:array<{unit}>>>"
+    each = F.explode(F.from_json(F.lit(json.dumps(compiled)), shape))
+    j = wide.select(*keys, F.array(*sums).alias("sums")).select(*keys, "sums", each.alias("s")).select(*keys, "sums", "s.*")
+
+    def at(i: Column) -> Column:
+        return F.get(F.col("sums"), i)
+
+    def scaled(u: Column, role: str) -> Column:
+        return at(u[role]) * 100 + F.coalesce(at(u[role + "_share"]), F.lit(0).cast("long")) * F.col("pct")
+
+    def ratio(u: Column, num: Column, den: Column) -> Column:
+        return u["weight"] * F.try_divide(u["scale"] * num.cast("double"), den.cast("double"))
+
+    def total(f) -> Column:
+        return F.aggregate(F.transform("units", f), F.lit(0.0), lambda x, y: x + y)  # null with any of its units
+    first = F.get(F.col("units"), F.lit(0))
+    now, then = at(first["num"]) * 100, scaled(first, "num")
+    is_value = F.col("is_value")
+    out = j.select(
+        *keys, "scenario_id", "target", "subject", F.col("pct").cast("int").alias("pct"), "is_value",
+        F.when(is_value, now / 100.0).otherwise(total(lambda u: ratio(u, at(u["num"]) * 100, at(u["den"]) * 100))).alias("b"),
+        F.when(is_value, then / 100.0).otherwise(total(lambda u: ratio(u, scaled(u, "num"), scaled(u, "den")))).alias("x"),
+        F.when(is_value, then - now).alias("change")).filter("b IS NOT NULL AND x IS NOT NULL")
+    return _shown(out, ("scenario_id", "target", "subject", "pct"), keys)
+
+
+def whatif_by_joins(facts: DataFrame, coef: DataFrame, scenarios: DataFrame, keys: list[str] = KEYS,
+                    subject_leaves: DataFrame | None = None, plan: DataFrame | None = None) -> DataFrame:
+    """``whatif`` for plans of any size: one aggregate gives the sum of each asked node and each asked share of it."""
     c = coef.filter(F.col("ancestor") != F.col("leaf")).select(F.col("ancestor").alias("node"), "leaf",
                                                                F.col("coef").cast("long").alias("coef"))
     own = scenarios.select(F.col("target").alias("target_account")).distinct()
@@ -195,11 +302,4 @@ def whatif(facts: DataFrame, coef: DataFrame, scenarios: DataFrame, keys: list[s
         F.count(F.lit(1)).alias("k"), F.sum("change").alias("change"), F.sum(F.col("weight") * F.col("b")).alias("b"),
         F.sum(F.col("weight") * F.col("x")).alias("x")).filter(F.col("k") == F.col("n_units"))
 
-    def shown(x: Column, exact: Column) -> Column:
-        return F.when(is_value, exact).otherwise(F.round(x, 6) + F.lit(0.0))
-    gap = F.col("x") - F.col("b")
-    return out.select(
-        *ids, *keys, shown(F.col("b"), F.col("b")).alias("baseline"), shown(F.col("x"), F.col("x")).alias("scenario_value"),
-        shown(gap, F.col("change") / 100.0).alias("delta"),
-        (F.round(F.try_divide(F.when(is_value, F.col("change").cast("double")).otherwise(gap * 100), F.col("b")), 6)
-         + F.lit(0.0)).alias("pct_change"))
+    return _shown(out.withColumn("is_value", is_value), ids, keys)

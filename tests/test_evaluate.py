@@ -82,3 +82,27 @@ def test_whatif_leaf_ratio_and_turnover_targets(spark):
                  "CostOfSalesRatio|Revenue": (0.6, 0.48, -0.12, -20.0),
                  "CostOfSalesRatio|CostOfSales": (0.6, 0.75, 0.15, 25.0),
                  "InventoriesTurnoverPeriod|Inventories": (18.25, 22.8125, 4.5625, 25.0)}
+
+
+def test_whatif_by_row_is_whatif_by_joins(spark, tables):
+    plan = spark.createDataFrame(O.target_plan_rows(), "target_account string, mode string, unit string, node string, "
+                                                       "role string, weight double, scale double")
+    pairs = [("NetIncome", "Revenue"), ("GrossProfit", "GrossProfit"), ("CostOfSalesRatio", "CostOfSales"),
+             ("InventoriesTurnoverPeriod", "Inventories"), ("SellingGeneralAdministrativeRatio", "Revenue"),
+             ("Revenue", "Inventories"), ("OperatingIncome", "GrossProfit")]
+    sc = spark.createDataFrame([(f"{a}|{b}|{p}", a, b, p) for a, b in pairs for p in (10, -100, 0)],
+                               "scenario_id string, target string, subject string, pct int")
+    coef = O.coef_df(spark)
+    sl = coef.select(F.col("ancestor").alias("subject"), "leaf")
+    for leaves in (None, sl):
+        a, b = [f(tables.fin_fact, coef, sc, subject_leaves=leaves, plan=plan) for f in (EV.whatif, EV.whatif_by_joins)]
+        assert a.dtypes == b.dtypes and a.count() > 0
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_whatif_shuffles_facts_by_key_only(spark, tables):
+    sc = spark.createDataFrame([("s", "GrossProfit", "Revenue", 5)], "scenario_id string, target string, subject string, pct int")
+    w = EV.whatif(tables.fin_fact, O.coef_df(spark), sc)
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    before = tables.fin_fact._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == before.count("Exchange hashpartitioning")
