@@ -17,9 +17,10 @@ pieces meet in the next round's blocks, as long as a round at least halves
 the pieces that are left; so the blocks' unfilled ends are packed with one
 another and no piece is left out.
 
-Tokenising is by words: ids of a word (a run without blank, tab or line end)
-do not depend on its neighbours, so each worker keeps ids of the words that it
-has seen and gives the tokenizer only new ones, many at once.
+Tokenising is by words: ids of a word (a run without blank or U+0009..U+000D,
+punctuation at its end apart) do not depend on its neighbours, so each worker
+keeps ids of the words that it has seen, by 64 bits of hash, and gives the
+tokenizer only new ones, many at once.
 
 Defined cases: null or empty text is the end id alone (one piece); ties and
 repeated rows are pieces of their own, equal ones interchangeable; null doc_id
@@ -41,17 +42,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, small_batches
+from .textnum import slices, span_hashes, spans
 
 TOKENIZER = "word_bpe_49k.json"
 #: Most pieces of a block: what one task packs at once.
 BLOCK_ROWS = 20_000
-#: Words whose ids a worker keeps, and the longest such word.
-KEPT_WORDS, KEPT_CHARS = 2_000_000, 64
-_PUNCTUATION = ".,;:!?\"()*#$%&-"
+#: Words whose ids a worker keeps.
+KEPT_WORDS = 4_000_000
+#: Bytes behind a letter or digit that begin a run of their own for the tokenizer (no part of a special token's string).
+_PUNCTUATION, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_PUNCTUATION[list(b'.,;:!?"()*#$%&-')] = True
+_ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
 
 
 class WordIds:
-    """ids of whole texts, by words that are looked up once."""
+    """ids of whole texts, by words that are looked up once.
+
+    Words are held by 64 bits of hash in a sorted array beside their ids; a batch's words are sorted and looked up
+    together, so Python runs once per new word only.
+    """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -59,51 +68,92 @@ class WordIds:
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word's run of letters
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.seen: dict[str, tuple[int, ...]] = {"": ()}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def plain(self, text: str) -> tuple[int, ...]:
-        return tuple(self.tok.encode(text, add_special_tokens=False).ids)
+    def plain(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _letters(self, words: list[str]) -> None:
-        """Words of letters only, a few hundred a call: each has one end mark, else the tokenizer gets them singly."""
+    def _runs_of_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word); a few hundred a call: each has one end mark, else singly."""
+        ids, sizes = [], []
         for k in range(0, len(words), 256):
             part = words[k:k + 256]
-            ids = np.array(self.plain(" ".join(part)), np.int64)
-            stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
-            if len(stops) == len(part) and stops[-1] == len(ids):
-                self.seen.update(zip(part, map(tuple, np.split(ids, stops[:-1].tolist()))))
-            else:
-                self.seen.update((w, self.plain(w)) for w in part)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.seen) + len(words) > KEPT_WORDS:
-            self.seen = {"": ()}
-        base = {w: w.rstrip(_PUNCTUATION) for w in words}
-        tails = {w[len(b):] for w, b in base.items() if b != w and b.isalpha()}
-        self._letters([b for b in {b for b in base.values() if b.isalpha()} if b not in self.seen])
-        for w in tails - self.seen.keys():
-            self.seen[w] = self.plain(w)
-        for w, b in base.items():
-            if b != w:
-                self.seen[w] = self.seen[b] + self.seen[w[len(b):]] if b.isalpha() else self.plain(w)
-            elif not b.isalpha():
-                self.seen[w] = self.plain(w)
-
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = {w for ws in split for w in ws if w not in self.seen and len(w) <= KEPT_CHARS}
-        if new:
-            if len(self.seen) + len(new) > KEPT_WORDS:
-                new = {w for ws in split for w in ws if w and len(w) <= KEPT_CHARS}
-            self.learn(new)
-        out = []
-        for ws in split:
-            if max(map(len, ws)) > KEPT_CHARS:
-                got = [self.seen[w] if w in self.seen else self.plain(w) for w in ws]
-            else:
-                got = map(self.seen.__getitem__, ws)
-            out.append(np.fromiter(itertools.chain.from_iterable(got), "<u4"))
-        return out
+            got = np.array(self.plain(" ".join(part)), np.uint32)
+            stops = np.flatnonzero(self.ends[got]) + 1
+            if len(stops) != len(part) or stops[-1] != len(got):
+                each = [self.plain(w) for w in part]
+                got, stops = np.array(list(itertools.chain(*each)), np.uint32), np.cumsum([len(e) for e in each])
+            ids.append(got)
+            sizes.append(np.diff(stops, prepend=0))
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of new words: runs of letters together, the others one by one."""
+        letters = np.fromiter((w.isalpha() for w in words), bool, len(words))
+        a, a_size = self._runs_of_letters([w for w, m in zip(words, letters) if m])
+        each = [self.plain(w) for w, m in zip(words, letters) if not m]
+        size = np.empty(len(words), np.int64)
+        size[letters], size[~letters] = a_size, [len(e) for e in each]
+        flat = np.empty(int(size.sum()), np.uint32)
+        mine = np.repeat(letters, size)
+        flat[mine], flat[~mine] = a, list(itertools.chain(*each))
+        return flat, size
+
+    def texts(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of each text's)."""
+        buf, at, length, counts = parts_of(raw)
+        words, which = np.unique(span_hashes(buf, at, length), return_inverse=True)
+        if len(self.key) + len(words) > KEPT_WORDS:
+            self._forget()
+        place = np.searchsorted(self.key, words)
+        known = place < len(self.key)
+        known[known] = self.key[place[known]] == words[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            some = np.zeros(len(words), np.int64)
+            some[which] = np.arange(len(which))  # a place of each word
+            some = some[new]
+            ids, size = self.encode([buf[s:s + n].tobytes().decode("utf-8", "replace")
+                                     for s, n in zip(at[some].tolist(), length[some].tolist())])
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat[:self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
+            self.flat[self.used:self.used + len(ids)] = ids
+            self.start = np.insert(self.start, place[new], self.used + np.cumsum(size) - size)
+            self.size = np.insert(self.size, place[new], size)
+            self.key = np.insert(self.key, place[new], words[new])
+            self.used += len(ids)
+            place = np.searchsorted(self.key, words)
+        own = place[which]
+        size = self.size[own]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        last = np.cumsum(counts)
+        return gather(self.flat, self.start[own], size), upto[last] - upto[last - counts]
+
+
+def parts_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``textnum.spans``; up to three signs of punctuation behind an ASCII letter or digit are a part of their own."""
+    buf, at, length, counts = spans(raw)
+    tail, open_ = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+    for _ in range(3):
+        open_ &= (length - tail > 1) & _PUNCTUATION[buf[at + length - tail - 1]]
+        tail += open_
+    tail = np.where(_ALNUM[buf[at + length - tail - 1]], tail, 0)
+    n = 1 + (tail > 0)
+    upto = np.concatenate(([0], np.cumsum(n)))
+    starts, sizes = np.repeat(at, n), np.repeat(length - tail, n)
+    second = upto[1:][tail > 0] - 1
+    starts[second], sizes[second] = (at + length - tail)[tail > 0], tail[tail > 0]
+    last = np.cumsum(counts)
+    return buf, starts, sizes, upto[last] - upto[last - counts]
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``start`` and have ``size`` values, one after another."""
+    return flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
 _BY_FILE: dict[str, WordIds] = {}
@@ -136,26 +186,26 @@ def pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     def run(batches):
         tok = _tokenizer(tokenizer)
         for b in batches:
-            texts, done = b.column(1), 0
-            while done < len(texts):  # about a megabyte of text at once
-                stop, size = done, 0
-                while stop < len(texts) and (stop == done or size < 1 << 20):
-                    size += len(texts[stop].as_py() or "")
-                    stop += 1
-                got = tok.texts([t or "" for t in texts.slice(done, stop - done).to_pylist()])
-                at, cuts = [], []
-                for i, g in enumerate(got):
-                    g = np.append(g, np.uint32(end_id)).astype("<u4")
-                    for p, s in enumerate(range(0, len(g), most)):
-                        part = g[s:s + most]
-                        at.append(done + i)
-                        cuts.append((p, s, len(part), zlib.crc32(part.tobytes()), part))
-                cols = [b.column(0).take(pa.array(at, pa.int64())), pa.array([c[0] for c in cuts], pa.int32()),
-                        *[pa.array([c[k] for c in cuts], pa.int64()) for k in (1, 2, 3)]]
+            raw = [(t.as_py() or "").encode("utf-8", "replace") for t in b.column(1)]
+            for a, z in slices([len(r) + 1 for r in raw], 4 << 20):
+                flat, counts = tok.texts(raw[a:z])
+                upto = np.cumsum(counts)
+                with_end = np.insert(flat, upto, end_id).astype("<u4")
+                stop = upto + np.arange(1, z - a + 1)
+                whole = counts + 1
+                n = -(-whole // most)
+                of = np.repeat(np.arange(z - a), n)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * most
+                length = np.minimum(whole[of] - start, most)
+                at = (stop - whole)[of] + start
+                crc = [zlib.crc32(with_end[s:s + k]) for s, k in zip(at.tolist(), length.tolist())]
+                cols = [b.column(0).take(pa.array(of + a)), pa.array(piece.astype(np.int32)), pa.array(start),
+                        pa.array(length), pa.array(crc, pa.int64())]
                 if ids:
-                    cols.append(pa.array([c[4].astype(np.int32) for c in cuts], pa.list_(pa.int32())))
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(np.cumsum(length) - length, length.sum()), pa.int32()),
+                                                         pa.array(with_end.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-                done = stop
     return rows.mapInArrow(run, schema)
 
 

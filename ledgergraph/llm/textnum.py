@@ -61,6 +61,25 @@ def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashed, np.diff(np.concatenate(([0], upto)))
 
 
+def spans(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the texts' bytes, each word's place there and its length, number of words of each text)."""
+    buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _WS[buf])).astype(np.int8)))
+    starts, ends = edge[0::2], edge[1::2]
+    after = np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))
+    return buf, starts, ends - starts, np.diff(np.concatenate(([0], np.searchsorted(starts, after))))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span (none of them empty)."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    before = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(before, length)
+    vals = _BYTE[buf[place + np.repeat(starts, length)]] * _powers(int(length.max()))[place]
+    return mix(np.add.reduceat(vals, before) + length.astype(np.uint64))
+
+
 def shingles(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``k`` words inside a text; a text of 1..k-1 words has one shingle of all its words."""
     factor = seeds(k, 991)
