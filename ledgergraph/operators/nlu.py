@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import reference_values as RV
+from . import intervals as IV
 from . import text as TX
 from .corpus import account_rows
 from .keys import dense_surrogate_key
@@ -62,10 +63,9 @@ def overlap_pairs(m: DataFrame) -> DataFrame:
     """Pairs of matches sharing at least one character (ordered so each pair appears once)."""
     a = m.select(*[F.col(c).alias("a_" + c) for c in ("doc", "start", "end", "tag")])
     b = m.select(*[F.col(c).alias("b_" + c) for c in ("doc", "start", "end", "tag")])
-    before = ((a.a_start < b.b_start) | ((a.a_start == b.b_start) & ((a.a_end < b.b_end)
-                                                                     | ((a.a_end == b.b_end) & (a.a_tag < b.b_tag)))))
-    j = a.join(b, (a.a_doc == b.b_doc) & (a.a_start < b.b_end) & (b.b_start < a.a_end) & before)
-    return j.select(F.col("a_doc").alias("doc"), "a_start", "a_end", "a_tag", "b_start", "b_end", "b_tag")
+    j = IV.overlapping(a.withColumnRenamed("a_doc", "doc"), b.withColumnRenamed("b_doc", "doc"))
+    before = F.struct("a_start", "a_end", "a_tag") < F.struct("b_start", "b_end", "b_tag")
+    return j.filter(before).select("doc", "a_start", "a_end", "a_tag", "b_start", "b_end", "b_tag")
 
 
 def _last(tag: str) -> Column:

@@ -14,8 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals as IV
 from .keys import dense_surrogate_key
 
+#: Tag of a token that a span touches without fitting it.
+MISALIGNED = "-"
 WS = "[ \t\n\r\f]"
 
 
@@ -36,23 +39,35 @@ def tokenize_offsets(df: DataFrame, doc: str, text: str) -> DataFrame:
                        (F.col("start") + F.length("token")).cast("int").alias("end"))
 
 
-def spans_to_biluo(tokens: DataFrame, spans: DataFrame) -> DataFrame:
-    """Interval join tokens ⊂ spans within a document -> BILUO tag per token ('O' outside).
+def spans_to_biluo(tokens: DataFrame, spans: DataFrame, block: int = IV.BLOCK) -> DataFrame:
+    """Range join tokens x spans within a document -> BILUO tag per token, 'O' outside, '-' where a span does not fit.
 
-    ``spans``: (doc, s_start, s_end, label).  Tokens covered by a span are
-    numbered inside it: one token -> U, first -> B, last -> L, else I.
+    ``spans``: (doc, s_start, s_end, label), no two of a document sharing a character.  Tokens of a span are numbered
+    inside it: one token -> U, first -> B, last -> L, else I.  A span whose ends are not ends of tokens is misaligned:
+    every token that it touches gets '-', so that it can be counted (``misaligned``).  The join goes by blocks of
+    characters.  A token takes the first span that it touches, so a span is listed from the end of the span before it:
+    at most once per block of the text and once more.
     """
-    j = tokens.join(spans, (tokens.doc == spans.doc) & (tokens.start >= spans.s_start) & (tokens.end <= spans.s_end),
-                    "left").select(tokens["*"], "s_start", "s_end", "label")
-    w = Window.partitionBy("doc", "s_start")
-    first = F.min("pos").over(w)
-    last = F.max("pos").over(w)
-    prefix = (F.when(first == last, "U").when(F.col("pos") == first, "B").when(F.col("pos") == last, "L")
-              .otherwise("I"))
-    tag = F.when(F.col("label").isNull(), F.lit("O")).otherwise(F.concat(prefix, F.lit("-"), F.col("label")))
+    before = F.coalesce(F.lag("s_end").over(Window.partitionBy("doc").orderBy("s_start")), F.lit(0))
+    s = spans.select(F.col("doc").alias("_d"), "s_start", "s_end", "label", before.alias("_before"))
+    s = s.withColumn("_b", IV._blocks("_before", "s_end", block))
+    t = tokens.withColumn("_t", F.floor(F.col("start") / block))
+    j = t.join(s, (t["doc"] == s["_d"]) & (t["_t"] == s["_b"]) & (t["start"] < s["s_end"]) & (s["s_start"] < t["end"])
+               & (s["_before"] <= t["start"]), "left")
+    w = Window.partitionBy("doc", F.coalesce("s_start", -1 - F.col("pos")))  # a token outside is alone
+    lo, hi = F.min("pos").over(w), F.max("pos").over(w)
+    fits = (F.min("start").over(w) == F.col("s_start")) & (F.max("end").over(w) == F.col("s_end"))
+    prefix = (F.when(lo == hi, "U").when(F.col("pos") == lo, "B").when(F.col("pos") == hi, "L").otherwise("I"))
+    tag = (F.when(F.col("label").isNull(), F.lit("O")).when(~fits, F.lit(MISALIGNED))
+           .otherwise(F.concat(prefix, F.lit("-"), F.col("label"))))
     return j.select("doc", "pos", "token", "start", "end", tag.alias("tag"))
 
 
+def misaligned(tagged: DataFrame) -> DataFrame:
+    """(doc, tokens): documents with spans that fit no tokens, and how many tokens they touch."""
+    return tagged.filter(F.col("tag") == MISALIGNED).groupBy("doc").agg(F.count(F.lit(1)).alias("tokens"))
+
+
 def biluo_to_iob(tag: Column) -> Column:
     p = F.substring(tag, 1, 1)
     rest = F.substring_index(tag, "-", -1)

@@ -157,13 +157,6 @@ def corpus_forecast(t):
     return _corpus_out(corpus(t), "IF.forecast")
 
 
-@query("corpus_all", csql(["c_corpus"], "SELECT intent, COUNT(*) AS n, COUNT(DISTINCT text) AS n_texts FROM c_corpus GROUP BY intent"))
-def corpus_all(t):
-    """CG9/SO2: the assembled corpus (union of scenarios), counted per intent."""
-    c = corpus(t)
-    return c.groupBy("intent").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("n_texts"))
-
-
 @query("corpus_distinct", csql(["c_corpus"], "SELECT DISTINCT text, entities_str AS entities, intent FROM c_corpus"))
 def corpus_distinct(t):
     """SO3: distinct on the nested record (text, entities, intent) — a hash aggregate, not a quadratic scan."""
