@@ -96,6 +96,13 @@ def rule_intent(questions: DataFrame, m: DataFrame) -> DataFrame:
     return j.select("question_id", F.col("intent").alias("true_intent"), pred.alias("predicted_intent"))
 
 
+def cue_intent(text: Column) -> Column:
+    """Intent by how the question is put, whatever slots it has, so that a missing slot is an error and not another intent."""
+    t = F.lower(text)
+    return (F.when(t.rlike("^(what happens|what will be the effect|when|if) "), "IF.fact")
+            .when(t.contains(" will be the "), "IF.forecast").when(t.contains(" is the "), "PAST.value").otherwise("None"))
+
+
 def tag_label_rows() -> list[tuple[str, int]]:
     """Tag -> id: 'O' at the offset, then B-/I- per entity tag; special tokens as given."""
     rows = [("O", RV.TAG_ID_OFFSET)]
@@ -174,9 +181,8 @@ def train_and_score_intent(s: DataFrame) -> DataFrame:
 # join.  One shuffle (by text id) for the windows, one for the anti join.
 # ---------------------------------------------------------------------------
 
-def match_rows(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
-    """All dictionary / percent matches: (doc, *keep, start, end, tag, phrase)."""
-    keep = keep or []
+def ngrams(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+    """(doc, *keep, start, end, phrase): every run of words as long as the longest dictionary entry, or shorter."""
     n = max_gazetteer_tokens()
     texts = df.select(F.col(id_col).alias("doc"), *keep, F.lower(text_col).alias("text")).repartition("doc")
     p = texts.select("doc", *keep, F.posexplode(F.split(F.regexp_replace("text", PUNCTUATION, " "), " ", -1))
@@ -194,10 +200,24 @@ def match_rows(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None
         grams.append(F.when(F.col(f"t{k}").isNotNull(), F.struct(F.concat_ws(" ", *words).alias("phrase"),
                                                                    F.col(f"e{k}").alias("end"))))
     g = p.select("doc", *keep, "start", F.explode(F.array(*grams)).alias("g")).filter(F.col("g").isNotNull())
-    g = g.select("doc", *keep, "start", F.col("g.end").alias("end"), F.col("g.phrase").alias("phrase"))
+    return g.select("doc", *keep, "start", F.col("g.end").alias("end"), F.col("g.phrase").alias("phrase"))
+
+
+def match_rows(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None, near: bool = False) -> DataFrame:
+    """All dictionary / percent matches: (doc, *keep, start, end, tag, phrase).
+
+    ``near`` adds words that are one edit from an account name, with the phrase as typed (``near_names``).
+    """
+    keep = keep or []
+    g = ngrams(df, id_col, text_col, keep)
+    exact = _exact(g, keep)
+    return exact.unionByName(near_names(g, keep).drop("name")) if near else exact
+
+
+def _exact(g: DataFrame, keep: list[str]) -> DataFrame:
     # the dictionary is bounded by ontology and lexicon: broadcast
-    gaz = df.sparkSession.createDataFrame(gazetteer_rows(), "phrase string, tag string")
-    base = df.sparkSession.createDataFrame([r for r in gazetteer_rows() if " " not in r[0]], "base string, base_tag string")
+    gaz = g.sparkSession.createDataFrame(gazetteer_rows(), "phrase string, tag string")
+    base = g.sparkSession.createDataFrame([r for r in gazetteer_rows() if " " not in r[0]], "base string, base_tag string")
     g = g.withColumn("base", F.when(~F.col("phrase").contains(" "), TX.lemma(F.col("phrase"))))
     j = g.join(F.broadcast(gaz), "phrase", "left").join(F.broadcast(base), "base", "left")
     pct = F.col("phrase").rlike(PERCENT_PATTERN)
@@ -208,11 +228,48 @@ def match_rows(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None
                     .otherwise(F.col("phrase")).alias("phrase")).filter(F.col("tag").isNotNull())
 
 
-def question_slots_rows(questions: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+#: Shortest account name that is sought with an edit.
+NEAR_MIN = 6
+
+
+def deletions(c: Column) -> Column:
+    """The string and every string with one character less."""
+    less = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(c.substr(F.lit(1), i - 1), c.substr(i + 1, F.length(c))))
+    return F.array_distinct(F.concat(F.array(c), less))
+
+
+def near_index() -> list[tuple[str, str, str]]:
+    """(key, name, tag): the deletion neighbourhood of every account name."""
+    out = set()
+    for _, _, name, st, _ in account_rows():
+        if len(name) >= NEAR_MIN:
+            out |= {(name[:i] + name[i + 1:], name, st) for i in range(len(name))} | {(name, name, st)}
+    return sorted(out)
+
+
+def near_names(g: DataFrame, keep: list[str]) -> DataFrame:
+    """n-grams exactly one edit (a letter more, less or other) from an account name: (doc, *keep, start, end, tag, phrase, name).
+
+    Two strings one edit apart share a string of their deletion neighbourhoods, so the join is an equality on keys; the
+    index is of the ontology's size and broadcast, hence n-grams are not shuffled.
+    """
+    names = [r[2] for r in account_rows() if len(r[2]) >= NEAR_MIN]
+    length = F.length("phrase")
+    k = g.filter(length.between(min(map(len, names)) - 1, max(map(len, names)) + 1)).withColumn(
+        "key", F.explode(deletions(F.col("phrase"))))
+    index = g.sparkSession.createDataFrame(near_index(), "key string, name string, tag string")
+    m = k.join(F.broadcast(index), "key").filter(F.levenshtein("phrase", "name") == 1)
+    best = m.groupBy("doc", *keep, "start", "end", "phrase").agg(F.min(F.struct("name", "tag")).alias("n"))
+    plain = TX.lemma(F.col("phrase"))  # a plural of a name is the name
+    return best.filter(plain.contains(" ") | (plain != F.col("n.name"))).select(
+        "doc", *keep, "start", "end", "n.tag", "phrase", "n.name")
+
+
+def question_slots_rows(questions: DataFrame, id_col: str, text_col: str, keep: list[str], near: bool = False) -> DataFrame:
     """One row per question: (question_id, *keep, acc_arr, time, percent, apply, n_apply, n_pct, has_will)."""
     base = questions.select(F.col(id_col).alias("doc"), *keep,
                             (F.instr(F.lower(text_col), " will be the ") > 0).alias("has_will"))
-    m = longest_matches(match_rows(questions.select(id_col, text_col), id_col, text_col))
+    m = longest_matches(match_rows(questions.select(id_col, text_col), id_col, text_col, near=near))
     acc = F.array_sort(F.collect_list(F.when(F.col("tag").isin("IS", "BS"), F.struct("start", "phrase", "tag"))))
     agg = m.groupBy("doc").agg(acc.alias("acc_arr"), _last("TIME").alias("time"), _last("PERCENT").alias("percent"),
                                _last("APPLY").alias("apply"),

@@ -62,7 +62,7 @@ def validate(questions: DataFrame, slots: DataFrame, pairs: DataFrame, spark: Sp
     pct_n = F.split("percent", " ").getItem(0).try_cast("int")
     sign = F.when(F.col("apply_desc") == "UP", 1).when(F.col("apply_desc") == "DOWN", -1)
 
-    count_msg = F.format_string("There are %d tags in a sentence.", n_acc)
+    count_msg = F.format_string("The question names %d accounts.", n_acc)
     q = q.withColumn("_sign", sign)
     sign = F.col("_sign")
     code = (F.when(tr["error"].isNotNull(), F.lit("TIME"))
@@ -75,14 +75,13 @@ def validate(questions: DataFrame, slots: DataFrame, pairs: DataFrame, spark: Sp
     q = q.withColumn("error_code", code)
     code = F.col("error_code")
     message = (F.when(code == "TIME", tr["error"])
-               .when(code == "UNKNOWN_ACCOUNT", F.format_string("There is a non-proper account name(%s) in the sentence.",
-                                                                first_unknown))
+               .when(code == "UNKNOWN_ACCOUNT", F.format_string("No account is called \"%s\".", first_unknown))
                .when(code == "ACCOUNT_COUNT", count_msg)
-               .when(code == "NOT_RELATED", F.lit("Neither account is part of the other."))
-               .when(code == "MISSING_APPLY", F.format_string("Missing information percent: %s / apply: %s",
-                                                              F.coalesce("percent", F.lit("None")),
-                                                              F.coalesce("apply", F.lit("None"))))
-               .when(code == "BAD_APPLY", F.lit("Not a proper word"))
+               .when(code == "NOT_RELATED", F.lit("Neither account contributes to the other."))
+               .when(code == "MISSING_APPLY", F.format_string("A what-if needs a percentage and a verb; found %s and %s.",
+                                                              F.coalesce("percent", F.lit("no percentage")),
+                                                              F.coalesce("apply", F.lit("no verb"))))
+               .when(code == "BAD_APPLY", F.lit("The verb says neither up nor down."))
                .otherwise(tr["warning"]))
     is_fact = intent == "IF.fact"
     target = (F.when(intent == "None", F.lit(None).cast("string"))

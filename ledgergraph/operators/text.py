@@ -22,15 +22,15 @@ MISALIGNED = "-"
 WS = "[ \t\n\r\f]"
 
 
-def tokenize_offsets(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """Whitespace tokens with 0-based half-open character offsets: (doc, pos, token, start, end).
+def tokenize_offsets(df: DataFrame, doc: str, text: str, sep: str = WS) -> DataFrame:
+    """Whitespace tokens (or pieces between ``sep``, one character each) with 0-based half-open character offsets: (doc, pos, token, start, end).
 
     Every whitespace character separates, so the start of piece i is the sum
     of (length + 1) of the pieces before it; empty pieces are dropped after
     the offsets are known.  The running sum is a window per document.
     """
     docs = df.select(F.col(doc).alias("doc"), F.col(text).alias("text")).repartition("doc")  # texts, not tokens
-    parts = docs.select("doc", F.posexplode(F.split("text", WS, -1)).alias("piece", "token"))
+    parts = docs.select("doc", F.posexplode(F.split("text", sep, -1)).alias("piece", "token"))
     w = Window.partitionBy("doc").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("start", F.coalesce(F.sum(F.length("token") + 1).over(w), F.lit(0)).cast("int"))
     toks = parts.filter(F.length("token") > 0)

@@ -62,9 +62,7 @@ def time_resolve_sql(src: str, phrase: str, as_of: str, ydesc: str, qdesc: str)
     return f"""
 SELECT *, CASE WHEN error IS NULL THEN CASE WHEN dropy THEN ref_year - 1 ELSE ref_year END END AS year,
        CASE WHEN error IS NULL THEN ref_q END AS quarter,
-       CASE WHEN error IS NULL AND dropy THEN 'Only ' || CAST(ref_year - 1 AS VARCHAR) || '''s data is available due to the '
-            || CAST(ref_year AS VARCHAR) || '''s report will be publish between ' || CAST(y AS VARCHAR) || '.04.01 ~ '
-            || CAST(y AS VARCHAR) || '.04.30.' END AS warning
+       CASE WHEN error IS NULL AND dropy THEN printf('{DL.NOT_YET}', ref_year - 1, ref_year, y) END AS warning
 FROM (
   SELECT *, (chk AND month({as_of}) <> 3) AS dropy FROM (
     SELECT *,
@@ -80,8 +78,8 @@ FROM (
       ({phrase} IS NOT NULL AND ((has_year AND COALESCE({ydesc}, '') <> 'FUTURE')
         OR (NOT has_year AND has_quarter AND NOT unspec AND {qdesc} = 'PAST' AND q = 1))) AS chk,
       CASE WHEN {phrase} IS NULL THEN NULL WHEN has_year THEN NULL
-           WHEN has_quarter AND unspec THEN 'Need more specific time information'
-           WHEN has_quarter THEN NULL ELSE 'No time words is detected' END AS error
+           WHEN has_quarter AND unspec THEN '{DL.NEEDS_ORDINAL}'
+           WHEN has_quarter THEN NULL ELSE '{DL.NO_TIME}' END AS error
     FROM (
       SELECT *, CAST(year({as_of}) AS INTEGER) AS y, CAST(quarter({as_of}) AS INTEGER) AS q,
              split_part({phrase}, ' ', 1) AS k, strpos({phrase}, 'year') > 0 AS has_year,

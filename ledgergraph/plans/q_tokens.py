@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import intervals as IV
 from ..operators import nlu as NLU
 from ..operators import text as TX
 from ..sources import ontology as O
@@ -44,11 +45,13 @@ WINDOW w AS (PARTITION BY t.doc, e.start)""", ["q_tok", "c_ent"]),
     "q_iob": ("SELECT *, CASE WHEN tag = 'O' THEN tag WHEN substr(tag, 1, 1) = 'U' THEN 'B-' || split_part(tag, '-', 2) "
               "WHEN substr(tag, 1, 1) = 'L' THEN 'I-' || split_part(tag, '-', 2) ELSE tag END AS iob FROM q_bil", ["q_bil"]),
     "q_gaz": (O.values_sql(_gaz_rows(), ["phrase", "tag"], ["VARCHAR", "VARCHAR"]), []),
+    "q_list": ("""
+SELECT doc, list(token ORDER BY pos) AS t, list(start ORDER BY pos) AS s, list("end" ORDER BY pos) AS e FROM q_tok GROUP BY doc""",
+               ["q_tok"]),
     "q_ngram": (f"""
-SELECT a.doc, a.pos AS p0, b.pos AS p1, string_agg(c.token, ' ' ORDER BY c.pos) AS phrase,
-       MIN(c.start) AS start, MAX(c."end") AS "end"
-FROM q_tok a JOIN q_tok b ON b.doc = a.doc AND b.pos BETWEEN a.pos AND a.pos + {NLU.max_gazetteer_tokens() - 1}
-JOIN q_tok c ON c.doc = a.doc AND c.pos BETWEEN a.pos AND b.pos GROUP BY a.doc, a.pos, b.pos""", ["q_tok"]),
+SELECT doc, i - 1 AS p0, i - 1 + k AS p1, array_to_string(t[i:i + k], ' ') AS phrase, s[i] AS start, e[i + k] AS "end"
+FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM q_list) x JOIN range({NLU.max_gazetteer_tokens()}) r(k) ON i + k <= len(t)""",
+                ["q_list"]),
     "q_match": ("""
 SELECT n.doc, n.start, n."end", g.tag, n.phrase FROM q_ngram n JOIN q_gaz g ON g.phrase = n.phrase
 UNION ALL
@@ -108,9 +111,47 @@ SELECT t.doc AS question_id, t.pos, e.tag, e.start AS span_start FROM q_tok t
 JOIN c_ent e ON e.question_id = t.doc AND t.start >= e.start AND t."end" <= e."end\""""))
 def span_interval_join(t):
     """JN9: tokens contained in entity spans (equi-join on the document + range filter)."""
-    tok, sp = _qtok(t), _spans(t)
-    j = tok.join(sp, (tok.doc == sp.doc) & (tok.start >= sp.s_start) & (tok.end <= sp.s_end))
-    return j.select(tok.doc.alias("question_id"), "pos", F.col("label").alias("tag"), F.col("s_start").alias("span_start"))
+    j = IV.containing(_qtok(t), _spans(t))
+    return j.select(F.col("doc").alias("question_id"), "pos", F.col("label").alias("tag"), F.col("s_start").alias("span_start"))
+
+
+_SENTENCES = _tok_sql("documents", "doc_id", "text").replace(_WS, r"[.!?\n]")
+DOCUMENT_VIEWS = {
+    "d_tok": (_tok_sql("documents", "doc_id", "text"), []),
+    "d_sent": (_SENTENCES, []),
+    "d_chunk": ("""
+SELECT doc_id AS doc, k * 384 AS start, least(k * 384 + 512, n) AS "end" FROM (
+  SELECT doc_id, length(text) AS n, unnest(range(CAST(ceil(length(text) / 384.0) AS BIGINT))) AS k FROM documents) x""", []),
+}
+
+
+def _sentences(t, prefix):
+    s = TX.tokenize_offsets(t.documents, "doc_id", "text", sep=r"[.!?\n]")
+    return s.select("doc", F.col("start").alias(f"{prefix}_start"), F.col("end").alias(f"{prefix}_end"))
+
+
+@query("span_interval_join_documents", sql_with(["d_tok", "d_sent"], """
+SELECT t.doc AS doc_id, t.pos, s.start AS span_start FROM d_tok t
+JOIN d_sent s ON s.doc = t.doc AND t.start >= s.start AND t."end" <= s."end\"""", extra=DOCUMENT_VIEWS))
+def span_interval_join_documents(t):
+    """JN9: tokens of every whole document within its sentences; the join goes by blocks of characters."""
+    j = IV.containing(TX.tokenize_offsets(t.documents, "doc_id", "text"), _sentences(t, "s"))
+    return j.select(F.col("doc").alias("doc_id"), "pos", F.col("s_start").alias("span_start"))
+
+
+@query("span_overlap_pairs_documents", sql_with(["d_chunk", "d_sent"], """
+SELECT c.doc AS doc_id, c.start AS chunk_start, s.start AS sentence_start,
+  CAST(least(c."end", s."end") - greatest(c.start, s.start) AS BIGINT) AS shared
+FROM d_chunk c JOIN d_sent s ON s.doc = c.doc AND c.start < s."end" AND s.start < c."end\"""", extra=DOCUMENT_VIEWS))
+def span_overlap_pairs_documents(t):
+    """JN10: overlapping chunks of 512 characters (a new one every 384) against the sentences that they cut or hold."""
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.length("text") / 384) - 1)).alias("k")
+    c = t.documents.filter(F.length("text") > 0).select(F.col("doc_id").alias("doc"), F.length("text").alias("n"), k).select(
+        "doc", (F.col("k") * 384).alias("a_start"), F.least(F.col("k") * 384 + 512, F.col("n")).alias("a_end"))
+    j = IV.overlapping(c, _sentences(t, "b"))
+    shared = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
+    return j.select(F.col("doc").alias("doc_id"), F.col("a_start").alias("chunk_start"), F.col("b_start").alias("sentence_start"),
+                    shared.cast("long").alias("shared"))
 
 
 @query("biluo_to_iob", tsql(["q_iob"], "SELECT doc AS question_id, pos, tag AS biluo, iob FROM q_iob"))
@@ -283,20 +324,6 @@ def account_name_resolve(t):
     return m.join(F.broadcast(names), "phrase", "left").select(F.col("doc").alias("question_id"), "phrase", "acc")
 
 
-@query("account_name_unknown", tsql(["c_slots", "onto_master"], """
-SELECT question_id, target_name AS name FROM c_slots
-WHERE target_name NOT IN (SELECT lower(name_eng) FROM onto_master)
-UNION ALL SELECT question_id, subject_name FROM c_slots
-WHERE subject_name IS NOT NULL AND subject_name NOT IN (SELECT lower(name_eng) FROM onto_master)"""))
-def account_name_unknown(t):
-    """JN6: names that resolve to no account (left anti join) — reported, not dropped silently."""
-    c = corpus(t)
-    names = O.master_raw(t.spark).select(F.lower("name_eng").alias("name"))
-    a = c.select("question_id", F.col("target_name").alias("name"))
-    b = c.filter(F.col("subject_name").isNotNull()).select("question_id", F.col("subject_name").alias("name"))
-    return a.unionByName(b).join(F.broadcast(names), "name", "left_anti").select("question_id", "name")
-
-
 @query("intent_rules", tsql(["q_longest", "c_corpus"], """
 SELECT c.question_id, c.intent AS true_intent, CASE
   WHEN COALESCE(s.n_acc, 0) >= 2 AND s.n_apply > 0 AND s.n_pct > 0 THEN 'IF.fact'
