@@ -433,39 +433,107 @@ def sequence_score(t):
 def _dp(t):
     def build():
         seq = _seq(t)
-        tr = SQ.transition_logprob(SQ.transitions(seq))
-        em = SQ.emission_logprob(SQ.emissions(seq))
-        return SQ.dp_scores(seq, tr, em)
+        return SQ.decode(SQ.arrays(seq, SQ.emissions(seq)), SQ.transition_logprob(SQ.transitions(seq)))
     return t.derived("dp", build, checkpoint=True)
 
 
-@query("sequence_logz")
+def recursion_views(seq: str, tlp: str, em: str, p: str, backward: bool = False) -> dict:
+    """Views of the recursions over sequences ``seq`` (doc, pos, word, tag) with transitions ``tlp`` and counts ``em``:
+    {p}f has alpha and the best scores per position, {p}path the best paths, {p}b (if asked for) beta."""
+    tags = SQ.tag_set()
+    k, lst = len(tags), "[" + ", ".join(f"'{x}'" for x in tags) + "]"
+
+    def logsum(x: str) -> str:
+        return f"(list_max({x}) + ln(list_sum(list_transform({x}, lambda w: exp(w - list_max({x}))))))"
+    prev = "list_transform(range(1, {k} + 1), lambda i: {v}[i] + m.tr[(i - 1) * {k} + j])".replace("{k}", str(k))
+    views = {
+        f"{p}tags": (f"SELECT unnest({lst}) AS tag, unnest(range(1, {k + 1})) AS i", []),
+        f"{p}from": (f"SELECT f, coalesce(MAX(n_from), 0) AS n_from FROM (SELECT tag AS f FROM {p}tags UNION ALL SELECT '<S>') a "
+                     f"LEFT JOIN {tlp} t ON t.from_tag = a.f GROUP BY f", [f"{p}tags", tlp]),
+        f"{p}mat": (f"""
+SELECT (SELECT list(coalesce(t.logprob, -ln(f.n_from + {k + 1})) ORDER BY g.i) FROM {p}tags g JOIN {p}from f ON f.f = '<S>'
+          LEFT JOIN {tlp} t ON t.from_tag = '<S>' AND t.to_tag = g.tag) AS st,
+  (SELECT list(coalesce(t.logprob, -ln(f.n_from + {k + 1})) ORDER BY g.i) FROM {p}tags g JOIN {p}from f ON f.f = g.tag
+          LEFT JOIN {tlp} t ON t.from_tag = g.tag AND t.to_tag = '</S>') AS en,
+  (SELECT list(coalesce(t.logprob, -ln(f.n_from + {k + 1})) ORDER BY g.i, h.i) FROM {p}tags g JOIN {p}tags h ON TRUE
+          JOIN {p}from f ON f.f = g.tag LEFT JOIN {tlp} t ON t.from_tag = g.tag AND t.to_tag = h.tag) AS tr""",
+                    [f"{p}tags", f"{p}from", tlp]),
+        f"{p}vec": (f"""
+SELECT w.word, list(ln((coalesce(e.n, 0) + 1) / (coalesce(c.n, 0) + v.v)) ORDER BY g.i) AS e
+FROM (SELECT DISTINCT word FROM {seq}) w JOIN {p}tags g ON TRUE JOIN (SELECT COUNT(DISTINCT word) AS v FROM {em}) v ON TRUE
+LEFT JOIN (SELECT tag, SUM(n) AS n FROM {em} GROUP BY 1) c ON c.tag = g.tag LEFT JOIN {em} e ON e.tag = g.tag AND e.word = w.word
+GROUP BY w.word""", [f"{p}tags", seq, em]),
+        f"{p}e": (f"SELECT s.doc, s.pos, v.e, g.i AS gold, MAX(s.pos) OVER (PARTITION BY s.doc) AS last FROM {seq} s "
+                  f"JOIN {p}vec v ON v.word = s.word JOIN {p}tags g ON g.tag = s.tag", [seq, f"{p}vec", f"{p}tags"]),
+        f"{p}f": (f"""
+SELECT x.doc, x.pos, x.last, list_transform(range(1, {k + 1}), lambda j: m.st[j] + x.e[j]) AS a,
+  list_transform(range(1, {k + 1}), lambda j: m.st[j] + x.e[j]) AS d, CAST([] AS BIGINT[]) AS bk,
+  m.st[x.gold] + x.e[x.gold] AS own, x.gold FROM {p}e x, {p}mat m WHERE x.pos = 0
+UNION ALL
+SELECT x.doc, x.pos, x.last, list_transform(range(1, {k + 1}), lambda j: {logsum(prev.replace('{v}', 'q.a'))} + x.e[j]),
+  list_transform(range(1, {k + 1}), lambda j: list_max({prev.replace('{v}', 'q.d')}) + x.e[j]),
+  list_transform(range(1, {k + 1}), lambda j: CAST(list_position({prev.replace('{v}', 'q.d')}, list_max({prev.replace('{v}', 'q.d')})) AS BIGINT)),
+  q.own + m.tr[(q.gold - 1) * {k} + x.gold] + x.e[x.gold], x.gold
+FROM {p}f q JOIN {p}e x ON x.doc = q.doc AND x.pos = q.pos + 1, {p}mat m""", [f"{p}e", f"{p}mat"]),
+        f"{p}end": (f"""
+SELECT doc, last, z, own + m.en[gold] AS own, list_max(b) AS best, CAST(list_position(b, list_max(b)) AS BIGINT) AS tag FROM (
+  SELECT f.*, {logsum(f"list_transform(range(1, {k + 1}), lambda j: f.a[j] + m.en[j])")} AS z,
+    list_transform(range(1, {k + 1}), lambda j: f.d[j] + m.en[j]) AS b FROM {p}f f, {p}mat m WHERE f.pos = f.last) y, {p}mat m""",
+                    [f"{p}f", f"{p}mat"]),
+        f"{p}walk": (f"""
+SELECT doc, last AS pos, tag FROM {p}end
+UNION ALL SELECT w.doc, w.pos - 1, f.bk[w.tag] FROM {p}walk w JOIN {p}f f ON f.doc = w.doc AND f.pos = w.pos WHERE w.pos > 0""",
+                     [f"{p}end", f"{p}f"]),
+        f"{p}path": (f"SELECT doc, string_agg(g.tag, ' ' ORDER BY pos) AS path FROM {p}walk w JOIN {p}tags g ON g.i = w.tag GROUP BY doc",
+                     [f"{p}walk", f"{p}tags"]),
+    }
+    if backward:
+        nxt = f"list_transform(range(1, {k + 1}), lambda j: m.tr[(i - 1) * {k} + j] + (x.e[j] + q.b[j]))"
+        views[f"{p}b"] = (f"""
+SELECT x.doc, x.pos, m.en AS b FROM {p}e x, {p}mat m WHERE x.pos = x.last
+UNION ALL
+SELECT q.doc, q.pos - 1, list_transform(range(1, {k + 1}), lambda i: {logsum(nxt)})
+FROM {p}b q JOIN {p}e x ON x.doc = q.doc AND x.pos = q.pos, {p}mat m WHERE q.pos > 0""", [f"{p}e", f"{p}mat"])
+    return views
+
+
+_REC = recursion_views("s_seq", "s_tlp", "s_em", "r_")
+
+
+def rsq(names, body):
+    return sql_with(names, body, extra={**TOKEN_VIEWS, **SEQ_VIEWS, **_REC})
+
+
+@query("sequence_logz", rsq(["r_end"], "SELECT doc, ROUND(z, 6) AS logz FROM r_end"))
 def sequence_logz(t):
-    """SQ4: log partition function per sequence (forward recursion in applyInPandas per sequence)."""
+    """SQ4: log partition function per sequence, the forward recursion over its array of emissions."""
     return _dp(t).select("doc", F.round("logz", 6).alias("logz"))
 
 
-@query("sequence_loglik")
+@query("sequence_loglik", rsq(["r_end"], """
+SELECT doc, ROUND(own - z, 6) AS value, 'none' AS reduction FROM r_end
+UNION ALL SELECT NULL, ROUND(SUM(own - z), 4), 'sum' FROM r_end
+UNION ALL SELECT NULL, ROUND(AVG(own - z), 6), 'mean' FROM r_end
+UNION ALL SELECT NULL, ROUND(SUM(own - z) / SUM(last + 1), 6), 'token_mean' FROM r_end"""))
 def sequence_loglik(t):
     """SQ5: log-likelihood = score − logZ per sequence, plus sum / mean / token-mean reductions."""
-    seq = _seq(t)
-    sc = SQ.score(seq, SQ.transition_logprob(SQ.transitions(seq)), SQ.emission_logprob(SQ.emissions(seq)))
-    ll = sc.join(_dp(t), "doc").select("doc", "length", (F.col("score") - F.col("logz")).alias("llh"))
+    ll = _dp(t).select("doc", "length", (F.col("score") - F.col("logz")).alias("llh"))
     per = ll.select("doc", F.round("llh", 6).alias("value"), F.lit("none").alias("reduction"))
-    agg = ll.agg(F.sum("llh").alias("sum"), F.avg("llh").alias("mean"), (F.sum("llh") / F.sum("length")).alias("token_mean"))
+    agg = ll.agg(F.round(F.sum("llh"), 4).alias("sum"), F.round(F.avg("llh"), 6).alias("mean"),
+                 F.round(F.sum("llh") / F.sum("length"), 6).alias("token_mean"))
     red = agg.selectExpr("stack(3, 'sum', sum, 'mean', mean, 'token_mean', token_mean) AS (reduction, value)") \
-        .select(F.lit(None).cast("string").alias("doc"), F.round("value", 6).alias("value"), "reduction")
+        .select(F.lit(None).cast("string").alias("doc"), "value", "reduction")
     return per.unionByName(red)
 
 
-@query("viterbi_decode")
+@query("viterbi_decode", rsq(["r_end", "r_path", "s_seq"], """
+SELECT e.doc, ROUND(e.best, 6) AS best_score, p.path AS best_path, g.gold_path, p.path = g.gold_path AS exact
+FROM r_end e JOIN r_path p ON p.doc = e.doc
+JOIN (SELECT doc, string_agg(tag, ' ' ORDER BY pos) AS gold_path FROM s_seq GROUP BY doc) g ON g.doc = e.doc"""))
 def viterbi_decode(t):
-    """SQ6: best tag path per sequence (Viterbi in applyInPandas) next to the gold path."""
-    gold = _seq(t).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))),
-                                                                lambda x: x.tag), " ").alias("gold_path"))
-    d = _dp(t)
-    return d.join(gold, "doc").select("doc", F.round("best_score", 6).alias("best_score"), "best_path", "gold_path",
-                                      (F.col("best_path") == F.col("gold_path")).alias("exact"))
+    """SQ6: best tag path per sequence (the max-plus recursion with the way back) next to the gold path."""
+    return _dp(t).select("doc", F.round("best_score", 6).alias("best_score"), SQ.tag_names(F.col("best")).alias("best_path"),
+                         SQ.tag_names(F.col("gold")).alias("gold_path"), (F.col("best") == F.col("gold")).alias("exact"))
 
 
 @query("label_map_invert", sql_with(["q_iob"], """
