@@ -13,6 +13,8 @@ window is keyed by the text id.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from .corpus import account_rows
 from .keys import dense_surrogate_key
 
 PERCENT_PATTERN = "^[0-9]+ ?(percent|%)$"
+#: Words (a row of counts each) up to which a join broadcasts them.
+BROADCAST_WORDS = 200_000
 #: Sentence punctuation; a full stop inside a number or word is none.
 PUNCTUATION = r"[?,!;:]|\.(?=\s|$)"
 
@@ -174,6 +178,39 @@ def train_and_score_intent(s: DataFrame) -> DataFrame:
         "question_id", "true_intent", F.col("b.intent").alias("predicted_intent"))
 
 
+def intent_posteriors(s: DataFrame, smoothing: tuple[float, ...] = (1.0,)) -> DataFrame:
+    """(question_id, split, label, smoothing, pred, p_label) of naive Bayes trained on split='train', for every row.
+
+    The counted words of a class are columns of one row per word, so a question's words are joined once whatever the
+    number of classes and smoothings; classes and totals are collected (a row per class).
+    """
+    words = s.select("question_id", "intent", "split", F.explode(F.split(F.lower("text"), r"\W+")).alias("word")).filter("word <> ''")
+    counts = words.filter(F.col("split") == "train").groupBy("intent", "word").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    prior = {r["intent"]: r["n"] for r in s.filter(F.col("split") == "train").groupBy("intent").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = {r["intent"]: r["n"] for r in counts.groupBy("intent").agg(F.sum("n").alias("n")).collect()}
+    classes, every = sorted(prior), sum(prior.values())
+    vec = counts.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("intent") == c, F.col("n"))), F.lit(0)).alias(f"n{i}")
+                                       for i, c in enumerate(classes)])
+    v = vec.count()
+    heard = words.groupBy("question_id", "word").agg(F.count(F.lit(1)).alias("tf"))
+    j = heard.join(F.broadcast(vec) if v <= BROADCAST_WORDS else vec, "word")
+    parts = [F.sum(F.col("tf") * F.ln((F.col(f"n{i}") + F.lit(a)) / F.lit(total.get(c, 0) + a * v))).alias(f"s{i}_{k}")
+             for k, a in enumerate(smoothing) for i, c in enumerate(classes)]
+    rows = s.select("question_id", "split", F.col("intent").alias("label")).join(j.groupBy("question_id").agg(*parts), "question_id", "left")
+
+    def score(i: int, k: int) -> Column:
+        return F.lit(math.log(prior[classes[i]] / every)) + F.coalesce(F.col(f"s{i}_{k}"), F.lit(0.0))
+    runs = F.array(*[F.struct(F.lit(float(a)).alias("smoothing"), F.array(*[F.struct(
+        score(i, k).alias("s"), F.lit(c).alias("c")) for i, c in enumerate(classes)]).alias("x")) for k, a in enumerate(smoothing)])
+    r = rows.select("question_id", "split", "label", F.explode(runs).alias("r")).select("question_id", "split", "label", "r.*")
+    r = r.withColumn("top", F.array_max(F.transform("x", lambda c: c["s"])))
+    rel = F.transform("x", lambda c: F.struct(F.exp(c["s"] - F.col("top")).alias("e"), c["c"].alias("c")))
+    z = F.aggregate(rel, F.lit(0.0), lambda acc, c: acc + c["e"])
+    mine = F.get(F.filter(rel, lambda c: c["c"] == F.col("label")), F.lit(0))["e"]
+    pred = F.get(F.filter("x", lambda c: F.round(c["s"], 6) == F.round(F.col("top"), 6)), F.lit(0))["c"]  # ties: first by name
+    return r.select("question_id", "split", "label", "smoothing", pred.alias("pred"), (mine / z).alias("p_label"))
+
+
 # ---------------------------------------------------------------------------
 # Row-wise dictionary tagging (codegen-friendly): tokens by posexplode with a
 # running offset, n-grams by lead() over the same per-text window, a
@@ -255,7 +292,9 @@ def near_names(g: DataFrame, keep: list[str]) -> DataFrame:
     """
     names = [r[2] for r in account_rows() if len(r[2]) >= NEAR_MIN]
     length = F.length("phrase")
-    k = g.filter(length.between(min(map(len, names)) - 1, max(map(len, names)) + 1)).withColumn(
+    ends = F.substring("phrase", 1, 3).isin(sorted({n[:3] for n in names})) | F.right("phrase", F.lit(3)).isin(
+        sorted({n[-3:] for n in names}))  # one edit leaves the first three letters or the last three
+    k = g.filter(length.between(min(map(len, names)) - 1, max(map(len, names)) + 1) & ends).withColumn(
         "key", F.explode(deletions(F.col("phrase"))))
     index = g.sparkSession.createDataFrame(near_index(), "key string, name string, tag string")
     m = k.join(F.broadcast(index), "key").filter(F.levenshtein("phrase", "name") == 1)

@@ -1,10 +1,9 @@
-"""Forecasting (FC1-FC5) on per-nation quarterly series and evaluation metrics (EV1-EV7) on labels."""
+"""Forecasting (FC1-FC5) on per-nation quarterly series."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics as M
 from ..operators import series as S
 from ..sources.fixtures import sql_with
 from .registry import query
@@ -96,78 +95,3 @@ def forecast_summary(t):
     """FC5: model summary (n, R², residual σ, standard errors, t of the slope) in closed form."""
     _, c = _fit(t)
     return S.summary(c.filter(F.col("n") > 2))
-
-
-# ----------------------------------------------------------------------------------------- metrics
-_SCORED = {
-    "scored": ("SELECT l.doc_id, d.lang, d.source, l.quality AS label, l.toxic AS pred, "
-               "(((l.doc_id * 37 + 11) % 100) + 0.5) / 100.0 AS p1, "
-               "(((l.doc_id * 53 + 7) % 100) + 0.5) / 100.0 AS q1, l.toxic AS label2 "
-               "FROM labels l JOIN documents d ON d.doc_id = l.doc_id", []),
-}
-
-
-@query("metric_accuracy", sql_with([], """
-SELECT lang AS scope, ROUND(AVG(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy, COUNT(*) AS n
-FROM scored GROUP BY lang
-UNION ALL SELECT 'ALL', ROUND(AVG(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6), COUNT(*) FROM scored""",
-       extra=_SCORED))
-def metric_accuracy(t):
-    """EV1/EV6: accuracy per language and over all rows (one aggregate over the epoch, no per-batch mean)."""
-    return M.accuracy(M.scored(t), "lang")
-
-
-@query("metric_confusion", sql_with([], "SELECT label, pred, COUNT(*) AS n FROM scored GROUP BY 1, 2", extra=_SCORED))
-def metric_confusion(t):
-    """EV3: confusion counts."""
-    return M.confusion(M.scored(t))
-
-
-@query("metric_f1", sql_with([], """
-SELECT scope, ROUND(prec, 6) AS precision, ROUND(rec, 6) AS recall, ROUND(f1, 6) AS f1 FROM (
-  SELECT CAST(cls AS VARCHAR) AS scope, tp / NULLIF(tp + fp, 0) AS prec, tp / NULLIF(tp + fn, 0) AS rec,
-         2.0 * tp / NULLIF(2.0 * tp + fp + fn, 0) AS f1 FROM cls_counts
-  UNION ALL
-  SELECT 'micro', SUM(tp) / NULLIF(SUM(tp) + SUM(fp), 0), SUM(tp) / NULLIF(SUM(tp) + SUM(fn), 0),
-         2.0 * SUM(tp) / NULLIF(2.0 * SUM(tp) + SUM(fp) + SUM(fn), 0) FROM cls_counts
-  UNION ALL
-  SELECT 'macro', AVG(COALESCE(tp / NULLIF(tp + fp, 0), 0.0)), AVG(COALESCE(tp / NULLIF(tp + fn, 0), 0.0)),
-         AVG(COALESCE(2.0 * tp / NULLIF(2.0 * tp + fp + fn, 0), 0.0)) FROM cls_counts) x""",
-       extra={**_SCORED, "cls_counts": (
-           "SELECT c.cls, CAST(SUM(CASE WHEN s.pred = c.cls AND s.label = c.cls THEN 1 ELSE 0 END) AS DOUBLE) AS tp, "
-           "CAST(SUM(CASE WHEN s.pred = c.cls AND s.label <> c.cls THEN 1 ELSE 0 END) AS DOUBLE) AS fp, "
-           "CAST(SUM(CASE WHEN s.pred <> c.cls AND s.label = c.cls THEN 1 ELSE 0 END) AS DOUBLE) AS fn "
-           "FROM scored s JOIN (SELECT label AS cls FROM scored UNION SELECT pred FROM scored) c ON TRUE "
-           "GROUP BY c.cls", ["scored"])}))
-def metric_f1(t):
-    """EV2: per-class, micro and macro precision/recall/F1 from tp/fp/fn counts."""
-    return M.f1_scores(M.scored(t))
-
-
-@query("metric_focal_loss", sql_with([], """
-SELECT lang AS scope, ROUND(AVG(0.75 * pow(1 - pt, 3) * -ln(pt)), 6) AS focal_loss FROM
-  (SELECT lang, CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END AS pt FROM scored) x GROUP BY lang
-UNION ALL SELECT 'ALL', ROUND(AVG(0.75 * pow(1 - pt, 3) * -ln(pt)), 6) FROM
-  (SELECT CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END AS pt FROM scored) y""", extra=_SCORED))
-def metric_focal_loss(t):
-    """EV4: focal loss α(1−p_t)^γ·(−ln p_t), α = 0.75, γ = 3, mean per language and overall."""
-    return M.focal_loss(M.scored(t), "lang")
-
-
-@query("metric_cross_entropy", sql_with([], """
-SELECT lang AS scope, ROUND(AVG(-ln(CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END)), 6) AS ce_quality,
-       ROUND(AVG(-ln(CASE WHEN label2 = 1 THEN q1 ELSE 1 - q1 END)), 6) AS ce_toxic,
-       ROUND(AVG(-ln(CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END)) + AVG(-ln(CASE WHEN label2 = 1 THEN q1 ELSE 1 - q1 END)), 6) AS joint
-FROM scored GROUP BY lang""", extra=_SCORED))
-def metric_cross_entropy(t):
-    """EV5: cross-entropy of each head and the joint loss (sum of the two)."""
-    return M.cross_entropy(M.scored(t), "lang")
-
-
-@query("best_k_runs", sql_with([], """
-SELECT run_id, val_loss FROM (
-  SELECT lang || '/' || source AS run_id, ROUND(AVG(-ln(CASE WHEN label = 1 THEN p1 ELSE 1 - p1 END)), 6) AS val_loss
-  FROM scored GROUP BY lang, source) r ORDER BY val_loss, run_id LIMIT 3""", extra=_SCORED))
-def best_k_runs(t):
-    """EV7: keep the best k runs by validation loss (top-k is the feature: distributed take-ordered)."""
-    return M.best_k(M.scored(t), 3)

@@ -36,4 +36,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     from . import (q_eval, q_graph, q_sources, q_relational, q_scalar, q_series, q_text, q_context, q_tokens,  # noqa: F401
-                   q_qa, q_stream, q_triples, q_variants)
+                   q_qa, q_stream, q_triples, q_variants, q_metrics)
