@@ -164,7 +164,12 @@ def forecast_answers(facts: DataFrame, coef: DataFrame, wanted: DataFrame | None
     j = last.join(c, ["code", "account"])
     ny, nq = S.next_period(F.col("ly"), F.col("lq"))
     return j.select("code", "account", ny.cast("int").alias("f_year"), nq.alias("f_quarter"),
-                    S.predict(S.scale(F.col("last_value")), F.col("intercept"), F.col("slope")).alias("predicted"))
+                    _whole(S.predict(S.scale(F.col("last_value")), F.col("intercept"), F.col("slope"))).alias("predicted"))
+
+
+def _whole(c: Column) -> Column:
+    """An answer is given to a whole unit of money, 1e4 of the facts' units."""
+    return F.floor(c / F.lit(10000.0) + F.lit(0.5)).cast("long") * 10000
 
 
 def answer_all(valid: DataFrame, facts: DataFrame, coef: DataFrame, defs: DataFrame, nodes: DataFrame) -> DataFrame:

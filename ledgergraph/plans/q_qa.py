@@ -112,13 +112,13 @@ WHERE prev IS NOT NULL AND prev_idx = bsns_year * 4 + CAST(substr(quarter, 1, 1)
 SELECT l.code, l.account,
        CAST(CASE WHEN substr(l.lq, 1, 1) = '4' THEN l.ly + 1 ELSE l.ly END AS INTEGER) AS f_year,
        CAST((CAST(substr(l.lq, 1, 1) AS INTEGER) % 4) + 1 AS VARCHAR) || 'Q' AS f_quarter,
-       CAST(trunc((f.intercept + f.slope * (l.last_value / 1e13)) * 1e13) AS BIGINT) AS predicted
+       CAST(floor(trunc((f.intercept + f.slope * (l.last_value / 1e13)) * 1e13) / 10000.0 + 0.5) AS BIGINT) * 10000 AS predicted
 FROM (SELECT code, account,
              arg_max(value, bsns_year * 10 + CAST(substr(quarter, 1, 1) AS INTEGER)) AS last_value,
              arg_max(bsns_year, bsns_year * 10 + CAST(substr(quarter, 1, 1) AS INTEGER)) AS ly,
              arg_max(quarter, bsns_year * 10 + CAST(substr(quarter, 1, 1) AS INTEGER)) AS lq
       FROM qa_series GROUP BY code, account) l
-JOIN (SELECT code, account, ROUND(regr_slope(y, x), 9) AS slope, ROUND(regr_intercept(y, x), 9) AS intercept
+JOIN (SELECT code, account, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept
       FROM qa_pairs GROUP BY code, account HAVING regr_sxx(y, x) > 0) f ON f.code = l.code AND f.account = l.account
 WHERE f.slope IS NOT NULL""", ["qa_series", "qa_pairs"]),
     "qa_answers": ("""

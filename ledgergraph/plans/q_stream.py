@@ -39,6 +39,21 @@ def stream_dialog_state(t):
     return out.select("conv_id", "turn", "role", F.col("turn_no").cast("int").alias("turn_no"), "carried_intent")
 
 
+@query("stream_dialog_turns", _DIALOG_SQL)
+def stream_dialog_turns(t):
+    """SM3: turns land out of order over several files and are written once each, in order; state ends by event time."""
+    path = scratch_path(t.spark, "turns")
+    minute = F.make_interval(mins=F.coalesce("turn", F.lit(0)).cast("int"))
+    c = t.conversations.select("conv_id", "turn", "role", "text",
+                               (F.timestamp_seconds(F.lit(1_700_000_000)) + minute).alias("event_time"))
+    c.repartition(3, F.xxhash64("conv_id", "turn")).write.parquet(path)
+    for days in (30, 60):  # records that only move the watermark on, so that every conversation ends
+        t.spark.createDataFrame([(None, None, None, None)], "conv_id long, turn long, role string, text string").withColumn(
+            "event_time", F.timestamp_seconds(F.lit(1_700_000_000 + days * 86_400))).coalesce(1).write.mode("append").parquet(path)
+    out = ST.dialog_turns(t.spark, path).filter(F.col("conv_id").isNotNull())
+    return out.select("conv_id", "turn", "role", F.col("turn_no").cast("int").alias("turn_no"), "carried_intent")
+
+
 @query("stream_qa", qsql(["qa_answers"], "SELECT question_id, intent, target_account, subject_account, year, quarter, "
                                          "answer, baseline, error_code FROM qa_answers"))
 def stream_qa(t):

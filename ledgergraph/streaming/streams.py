@@ -4,6 +4,8 @@
   within a watermark that covers the longest replay), appended by ``foreachBatch``.
 * ``dialog_state``   — per-conversation turn counter and carried intent kept in
   keyed state (``applyInPandasWithState``), equal to the batch window version.
+* ``dialog_turns``   — the same with list state, event-time timers and expiry (``transformWithState``): a turn is
+  written once, when those before it have come.
 * ``answer_stream``  — questions arriving as a stream, answered per micro-batch
   against the static fact tables (stream–static processing in ``foreachBatch``).
 
@@ -18,6 +20,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.io import scratch_path
@@ -107,6 +110,98 @@ def dialog_state(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
         .drop("epoch", "conv", "last")
 
 
+class DialogProcessor(StatefulProcessor):
+    """Turns of a conversation in turn order, each written once, however they arrive.
+
+    State: the next turn's number and the intent carried so far, and the list of turns that wait for one before them.
+    Turns that follow on are written at once and leave the state.  An event-time timer, set anew by later
+    turns, ends a conversation ``quiet_ms`` after its last event: what still waits (behind a gap, or without a number)
+    is written in order and the state goes.
+    """
+
+    def __init__(self, quiet_ms: int):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "next bigint, turn_no int, intent string")
+        self.held = handle.getListState("held", "turn bigint, role string, intent string")
+
+    def _write(self, key: tuple, rows: list, turn_no: int, intent: str | None) -> tuple[list, str | None]:
+        out = []
+        for turn, role, said in rows:
+            turn_no, intent = turn_no + 1, said or intent
+            out.append((key[0], turn, role, turn_no, intent))
+        return out, intent
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        nxt, turn_no, intent = self.at.get() if self.at.exists() else (0, 0, None)
+        waiting = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        before, latest = len(waiting), 0
+        for pdf in rows:
+            for turn, role, text, ts in zip(pdf["turn"], pdf["role"], pdf["text"], pdf["event_time"]):
+                said = ("question" if "?" in (text or "") else "statement") if role == "user" else None
+                waiting.append((None if pd.isna(turn) else int(turn), role, said))
+                latest = max(latest, int(ts.timestamp() * 1000))
+        waiting.sort(key=lambda x: (x[0] is None, x[0] or 0))
+        ready = 0
+        while ready < len(waiting) and waiting[ready][0] == nxt + ready:
+            ready += 1
+        out, intent = self._write(key, waiting[:ready], turn_no, intent)
+        self.at.update((nxt + ready, turn_no + ready, intent))
+        if ready < len(waiting):
+            self.held.put(waiting[ready:])
+        elif before:
+            self.held.clear()
+        for old in list(self.handle.listTimers()):
+            latest = max(latest, old - self.quiet_ms)
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(latest + self.quiet_ms)
+        yield _turns(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, turn_no, intent = self.at.get()
+        waiting = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        out, _ = self._write(key, waiting, turn_no, intent)
+        self.at.clear()
+        self.held.clear()
+        yield _turns(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _turns(rows: list) -> pd.DataFrame:
+    cols = list(zip(*rows)) or [()] * 5
+    return pd.DataFrame({"conv_id": pd.array(cols[0], "Int64"), "turn": pd.array(cols[1], "Int64"),
+                         "role": pd.Series(cols[2], dtype=object), "turn_no": pd.array(cols[3], "Int32"),
+                         "carried_intent": pd.Series(cols[4], dtype=object)})
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def dialog_turns(spark: SparkSession, path: str, delay: str = "1 day", quiet_seconds: int = 86400,
+                 files_per_trigger: int = 1) -> DataFrame:
+    """SM3: (conv_id, turn, role, turn_no, carried_intent), each turn written once, the state bounded by event time.
+
+    ``path``: (conv_id, turn, role, text, event_time).  ``delay`` is how much later than the latest event a record may
+    come; a conversation ends ``quiet_seconds`` after its last event.  Files may arrive in any order within that.
+    """
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        s = read_stream(spark, path, "conv_id long, turn long, role string, text string, event_time timestamp", files_per_trigger)
+        out = s.withWatermark("event_time", delay).groupBy("conv_id").transformWithStateInPandas(
+            statefulProcessor=DialogProcessor(quiet_seconds * 1000), outputStructType=DIALOG_OUT, outputMode="Append",
+            timeMode="EventTime")
+        sink = scratch_path(spark, "stream-turns")
+        _run_to_sink(out, sink)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    return spark.read.parquet(sink).drop("epoch")
+
+
 def answer_stream(spark: SparkSession, path: str, schema: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """SM2: a question stream answered per micro-batch against static tables."""
     s = spark.readStream.schema(schema).parquet(path)
