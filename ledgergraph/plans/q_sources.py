@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -196,6 +198,52 @@ def sink_roundtrip_facts(t):
     return IO.roundtrip_partitioned(t.fin_fact, "bsns_year")
 
 
+def catalog_tables(t, buckets: int = 8):
+    """(facts, companies) as catalog tables bucketed by company; facts also partitioned by year.  Loading again is the same."""
+    key = uuid.uuid5(uuid.NAMESPACE_URL, t.sf_dir).hex[:12]
+    out = []
+    for name, df, part in (("fact", t.fin_fact, "bsns_year"), ("company", t.fin_company, None)):
+        table = f"lg_{name}_{key}"
+        IO.create_table(t.spark, table, df, "code", buckets, part)
+        out.append(IO.load_table(t.spark, table, df, "code", buckets))
+    return tuple(out)
+
+
+@query("catalog_facts_join", sql_with(["fin_fact", "fin_company"], """
+SELECT f.code, c.name, c.sector, COUNT(*) AS n_facts, CAST(SUM(f.value) AS BIGINT) AS total FROM fin_fact f
+JOIN fin_company c ON c.code = f.code GROUP BY f.code, c.name, c.sector"""))
+def catalog_facts_join(t):
+    """SNK1: facts and companies as bucketed catalog tables; their join and the aggregate by company need no exchange."""
+    f, c = catalog_tables(t)
+    j = f.hint("merge").join(c, "code")
+    return j.groupBy("code", "name", "sector").agg(F.count(F.lit(1)).alias("n_facts"), F.sum("value").alias("total"))
+
+
+def _in_loads(t, df, first, keys, name):
+    """A first load of a part, a second of everything, and the second again; ids as the registry has them."""
+    path = IO.scratch_path(t.spark, "registry")
+    KY.append_keys(df.filter(first), keys, path, name)
+    KY.append_keys(df, keys, path, name)
+    return KY.append_keys(df, keys, path, name)
+
+
+@query("company_append_ids", sql_with(["fin_company"], """
+SELECT ROW_NUMBER() OVER (ORDER BY CASE WHEN sector < 'F' THEN 0 ELSE 1 END, code) AS c_id, code, name, sector FROM fin_company"""))
+def company_append_ids(t):
+    """SNK2: companies loaded in two batches and once more: the second continues the numbering, the repeat adds nothing."""
+    return _in_loads(t, t.fin_company, F.col("sector") < "F", ["code"], "c_id").select("c_id", "code", "name", "sector")
+
+
+@query("facts_append_ids", sql_with(["fin_fact"], """
+SELECT ROW_NUMBER() OVER (ORDER BY CASE WHEN bsns_year <= 1995 THEN 0 ELSE 1 END, code, bsns_year, quarter, account) AS fact_id,
+       code, bsns_year, quarter, account, value FROM fin_fact"""))
+def facts_append_ids(t):
+    """SNK3: facts loaded up to a year, then all, then again; the ids are those of the loads in order."""
+    f = t.fin_fact.select("code", "bsns_year", "quarter", "account", "value")
+    out = _in_loads(t, f, F.col("bsns_year") <= 1995, ["code", "bsns_year", "quarter", "account"], "fact_id")
+    return out.select("fact_id", "code", "bsns_year", "quarter", "account", "value")
+
+
 @query("exists_flag", sql_with(["fin_fact"], """
 SELECT 'fin_fact' AS name, COUNT(*) > 0 AS present FROM fin_fact
 UNION ALL SELECT 'lineitem', COUNT(*) > 0 FROM lineitem"""))
