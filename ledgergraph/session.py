@@ -6,7 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 TUNING = {
     "spark.sql.adaptive.enabled": "true",
@@ -64,3 +64,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="lg-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of an input of fewer partitions than cores over all cores; a large input is left where it lies.
+
+    For work that multiplies rows right after a scan (a small table in one row group is one task otherwise).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
