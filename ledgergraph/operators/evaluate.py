@@ -122,14 +122,74 @@ def ratios(values: DataFrame, defs: DataFrame, keys: list[str] = KEYS) -> DataFr
                                                    F.col("den_value")).alias("value"))
 
 
+#: Rows of each plan table (scenarios, coefficients, parts) up to which a plan is compiled into columns.
+PLAN_ROWS = 20_000
+
+
+def leaves_by_node(coef: list) -> dict[str, dict[str, int]]:
+    """ancestor -> {leaf: coefficient}; an account that is not there is a leaf of its own."""
+    out: dict[str, dict[str, int]] = {}
+    for r in coef:
+        if r["ancestor"] != r["leaf"]:
+            out.setdefault(r["ancestor"], {})[r["leaf"]] = int(r["coef"])
+    return out
+
+
+def wide_leaves(facts: DataFrame, accounts: list[str], keys: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """One row per key with a column per account (null where there is no fact), and the columns' names: one shuffle."""
+    col = {x: f"leaf_{i}" for i, x in enumerate(sorted(accounts))}
+    return facts.filter(F.col("account").isin(list(col))).groupBy(*keys).agg(
+        *[F.sum(F.when(F.col("account") == x, F.col("value"))).alias(c) for x, c in col.items()]), col
+
+
+def known_ratios(facts: DataFrame, coef: DataFrame, defs: DataFrame, keys: list[str] = KEYS,
+                 sums: bool = False) -> DataFrame:
+    """(keys, account, value): every ratio whose numerator and denominator are complete, null where the latter is 0.
+
+    With ``sums`` the accounts that are signed sums of ratios instead, where all their ratios have a value.  Coefficients and
+    definitions are of the ontology's size: they are counted, and become columns over one wide row per key, so the facts are
+    read and shuffled once; larger ones are joined.
+    """
+    small = [df.limit(PLAN_ROWS + 1).collect() for df in (coef.select("ancestor", "leaf", "coef"), defs)]
+    if any(len(rows) > PLAN_ROWS for rows in small):
+        f = facts.select(*keys, "account", F.col("value").cast("double").alias("value"))
+        r = ratios(f.unionByName(rollup(facts, coef, keys).select(*keys, "account", F.col("value").cast("double").alias("value"))),
+                   defs, keys)
+        if not sums:
+            return r
+        higher = coef.join(defs.select(F.col("account").alias("leaf")), "leaf", "left_semi").select("ancestor").distinct()
+        rc = coef.join(higher, "ancestor", "left_semi").withColumn("coef", F.col("coef").cast("double"))
+        return rollup(r.filter(F.col("value").isNotNull()), rc, keys).select(*keys, "account", "value")
+    leaves = leaves_by_node(small[0])
+    by_account = {r["account"]: r for r in small[1]}
+
+    def of(node: str) -> dict[str, int]:
+        return leaves.get(node, {node: 1})
+    wide, col = wide_leaves(facts, sorted({x for r in small[1] for n in (r["num"], r["den"]) for x in of(n)}), keys)
+
+    def node(n: str) -> Column:
+        return reduce(lambda x, y: x + y, [F.col(col[x]) * F.lit(c).cast("long") for x, c in of(n).items()])
+
+    def ratio(r) -> Column:
+        return F.try_divide(F.lit(float(r["scale"])) * node(r["num"]).cast("double"), node(r["den"]).cast("double"))
+    if sums:
+        targets = [a for a, ls in leaves.items() if set(ls) <= set(by_account)]
+        each = [F.struct(F.lit(a).alias("account"), F.lit(True).alias("known"),
+                         reduce(lambda x, y: x + y, [F.lit(float(c)) * ratio(by_account[x]) for x, c in leaves[a].items()]).alias("value"))
+                for a in targets]
+    else:
+        each = [F.struct(F.lit(a).alias("account"), (node(r["num"]).isNotNull() & node(r["den"]).isNotNull()).alias("known"),
+                         ratio(r).alias("value")) for a, r in by_account.items()]
+    if not each:
+        return wide.select(*keys, F.lit("").alias("account"), F.lit(0.0).alias("value")).limit(0)
+    out = wide.select(*keys, F.explode(F.array(*each)).alias("r")).select(*keys, "r.*").filter("known").drop("known")
+    return out.filter(F.col("value").isNotNull()) if sums else out
+
+
 # ---------------------------------------------------------------------------
 # What-if
 # ---------------------------------------------------------------------------
 
-#: Rows of each plan table (scenarios, coefficients, parts) up to which a what-if is compiled into columns.
-PLAN_ROWS = 20_000
-
-
 def _shown(out: DataFrame, ids, keys: list[str]) -> DataFrame:
     """(ids, keys, baseline, scenario_value, delta, pct_change) of (b, x, change, is_value)."""
     def shown(x: Column, exact: Column) -> Column:
@@ -170,10 +230,7 @@ def whatif(facts: DataFrame, coef: DataFrame, scenarios: DataFrame, keys: list[s
 def whatif_by_row(facts: DataFrame, coef: list, scenarios: list, subject_leaves: list | None, plan: list | None,
                   keys: list[str] = KEYS) -> DataFrame:
     """``whatif`` with plan tables as rows in the driver: node sums are columns of one row per key."""
-    leaves: dict[str, dict[str, int]] = {}
-    for r in coef:
-        if r["ancestor"] != r["leaf"]:
-            leaves.setdefault(r["ancestor"], {})[r["leaf"]] = int(r["coef"])
+    leaves = leaves_by_node(coef)
     given: dict[str, set[str]] = {}
     for r in subject_leaves or []:
         given.setdefault(r["subject"], set()).add(r["leaf"])
@@ -204,10 +261,7 @@ def whatif_by_row(facts: DataFrame, coef: list, scenarios: list, subject_leaves:
             u[role], u[role + "_share"] = sum_of(node), sum_of(node, r["subject"])
         compiled.append({"scenario_id": r["scenario_id"], "target": r["target"], "subject": r["subject"], "pct": r["pct"],
                          "is_value": r["target"] not in parts, "units": list(units.values())})
-    used = sorted({x for node, _ in place for x in of(node)})
-    col = {x: f"leaf_{i}" for i, x in enumerate(used)}
-    wide = facts.filter(F.col("account").isin(used)).groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("account") == x, F.col("value"))).alias(c) for x, c in col.items()])
+    wide, col = wide_leaves(facts, sorted({x for node, _ in place for x in of(node)}), keys)
 
     def column(node: str, subject: str) -> Column:
         """A missing leaf makes the sum null."""

@@ -57,19 +57,13 @@ def eval_rollup_complete_only(t):
     return EV.rollup(t.fin_fact, coef, complete_only=True).select(*K, "account", "value")
 
 
-def _known(t, coef):
-    f = t.fin_fact.select(*K, "account", F.col("value").cast("double").alias("value"))
-    r = EV.rollup(t.fin_fact, coef).select(*K, "account", F.col("value").cast("double").alias("value"))
-    return f.unionByName(r)
-
-
 @query("eval_ratio", sql_with(["fin_ratio"],
        "SELECT code, bsns_year, quarter, account, ROUND(value, 6) AS value FROM fin_ratio WHERE scale = 1.0"))
 def eval_ratio(t):
     """EVA5: num / den of every (non-turnover) ratio account, per company and period."""
     e, _, coef = _onto(t)
     defs = EV.ratio_definitions(e).filter(F.col("scale") == 1.0)
-    r = EV.ratios(_known(t, coef), defs)
+    r = EV.known_ratios(t.fin_fact, coef, defs)
     return r.select(*K, "account", F.round("value", 6).alias("value"))
 
 
@@ -79,7 +73,7 @@ def eval_turnover_days(t):
     """EVA6: 365 · balance-sheet numerator / revenue."""
     e, _, coef = _onto(t)
     defs = EV.ratio_definitions(e).filter(F.col("scale") == 365.0)
-    r = EV.ratios(_known(t, coef), defs)
+    r = EV.known_ratios(t.fin_fact, coef, defs)
     return r.select(*K, "account", F.round("value", 6).alias("value"))
 
 
@@ -93,12 +87,7 @@ GROUP BY r.code, r.bsns_year, r.quarter, c.ancestor, n.need HAVING COUNT(*) = n.
 def eval_ratio_sum(t):
     """EVA7: partOf parents over ratio accounts (e.g. cost-of-sales + SG&A ratio)."""
     e, _, coef = _onto(t)
-    defs = EV.ratio_definitions(e)
-    r = EV.ratios(_known(t, coef), defs).filter(F.col("value").isNotNull())
-    higher = coef.join(F.broadcast(defs.select(F.col("account").alias("leaf"))), "leaf", "left_semi") \
-        .select("ancestor").distinct()
-    rc = coef.join(higher, "ancestor", "left_semi").withColumn("coef", F.col("coef").cast("double"))
-    out = EV.rollup(r, rc)
+    out = EV.known_ratios(t.fin_fact, coef, EV.ratio_definitions(e), sums=True)
     return out.select(*K, "account", F.round("value", 6).alias("value"))
 
 

@@ -106,3 +106,16 @@ def test_whatif_shuffles_facts_by_key_only(spark, tables):
     plan = w._jdf.queryExecution().executedPlan().toString()
     before = tables.fin_fact._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == before.count("Exchange hashpartitioning")
+
+
+def test_ratios_by_row_are_ratios_by_joins(spark, tables, monkeypatch):
+    coef, defs = O.coef_df(spark), EV.ratio_definitions(O.edges(spark))
+    for sums in (False, True):
+        a = EV.known_ratios(tables.fin_fact, coef, defs, sums=sums)
+        shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        assert shuffles(a) == shuffles(tables.fin_fact)
+        monkeypatch.setattr(EV, "PLAN_ROWS", 0)
+        b = EV.known_ratios(tables.fin_fact, coef, defs, sums=sums)
+        monkeypatch.setattr(EV, "PLAN_ROWS", 20_000)
+        r = [df.withColumn("value", F.round("value", 6)) for df in (a, b)]
+        assert r[0].count() > 0 and r[0].exceptAll(r[1]).count() == 0 and r[1].exceptAll(r[0]).count() == 0
