@@ -10,7 +10,7 @@ from ..operators import evaluate as EV
 from ..operators import quality as DQ
 from ..sources import ontology as O
 from ..sources import reference_values as RV
-from ..sources.fixtures import sql_with
+from ..sources.fixtures import account_columns, sql_with
 from . import sqlviews  # noqa: F401
 from .q_eval import _onto
 from .registry import query
@@ -48,9 +48,8 @@ def statement_view_bs(t):
        "SELECT code, value FROM fin_fact WHERE bsns_year = 1997 AND quarter = '2Q' AND account = 'Revenue'"))
 def point_lookup(t):
     """PF4: (year, quarter, account) equality predicate for every company."""
-    f = t.fin_fact
-    return f.filter((F.col("bsns_year") == 1997) & (F.col("quarter") == "2Q") & (F.col("account") == "Revenue")) \
-        .select("code", "value")
+    f = account_columns(t, "Revenue").filter((F.col("bsns_year") == 1997) & (F.col("quarter") == "2Q"))
+    return f.filter(F.col("Revenue").isNotNull()).select("code", F.col("Revenue").alias("value"))
 
 
 @query("scalar_cross_join", sql_with(["fin_fact"], """
@@ -58,11 +57,10 @@ SELECT a.code, a.bsns_year, a.quarter, a.value AS revenue, b.value AS cost_of_sa
 FROM fin_fact a JOIN fin_fact b ON a.code = b.code AND a.bsns_year = b.bsns_year AND a.quarter = b.quarter
 WHERE a.account = 'Revenue' AND b.account = 'CostOfSales'"""))
 def scalar_cross_join(t):
-    """JN3: two single-account frames joined on the period key (re-aimed from ON 1=1)."""
-    f = t.fin_fact
-    a = f.filter(F.col("account") == "Revenue").select(*K, F.col("value").alias("revenue"))
-    b = f.filter(F.col("account") == "CostOfSales").select(*K, F.col("value").alias("cost_of_sales"))
-    return a.join(b, K)
+    """JN3: two accounts side by side per period (one aggregate instead of two frames joined ON 1=1)."""
+    # both are sums of the same filing's lines: one aggregate has them side by side, with no join left to do
+    f = account_columns(t, "Revenue", "CostOfSales").filter("Revenue IS NOT NULL AND CostOfSales IS NOT NULL")
+    return f.select(*K, F.col("Revenue").alias("revenue"), F.col("CostOfSales").alias("cost_of_sales"))
 
 
 @query("accounts_without_structural", sql_with(["fin_rollup"],
@@ -238,7 +236,7 @@ SELECT code, arg_max(bsns_year * 10 + CAST(substr(quarter, 1, 1) AS INTEGER), bs
 FROM fin_fact WHERE account = 'Revenue' GROUP BY code"""))
 def latest_period(t):
     """ST7: the latest period per company (max_by, an aggregate rather than a sort)."""
-    f = t.fin_fact.filter(F.col("account") == "Revenue")
+    f = account_columns(t, "Revenue").filter("Revenue IS NOT NULL").withColumnRenamed("Revenue", "value")
     pk = F.col("bsns_year") * 10 + F.substring("quarter", 1, 1).cast("int")
     return f.groupBy("code").agg(F.max(pk).alias("period_key"), F.max_by("value", pk).alias("value"))
 

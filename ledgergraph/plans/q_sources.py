@@ -170,9 +170,9 @@ def scan_account_master(t):
        "FROM fin_nation_fact WHERE account = 'Revenue'"))
 def scan_series(t):
     """SRC4: quarterly series indexed by 'YYYY-nQ' with the value renamed to ``actual``."""
-    f = t.fin_nation_fact.filter(F.col("account") == "Revenue")
+    f = t.fin_nation_wide.filter(F.col("Revenue").isNotNull())
     return f.select("code", F.concat_ws("-", F.col("bsns_year").cast("string"), "quarter").alias("date"),
-                    F.col("value").alias("actual"))
+                    F.col("Revenue").alias("actual"))
 
 
 @query("company_insert_ids", """

@@ -85,6 +85,10 @@ class Tables:
     def fin_filing(self) -> DataFrame:
         return fin_filing(self)
 
+    @cached_property
+    def fin_nation_wide(self) -> DataFrame:
+        return fin_nation_wide(self)
+
     @cached_property
     def fin_nation_fact(self) -> DataFrame:
         return fin_nation_fact(self)
@@ -170,19 +174,28 @@ def fin_fact(t: Tables) -> DataFrame:
                        "bsns_year", "quarter", "statement", "account", "value")
 
 
+def account_columns(t: Tables, *accounts: str) -> DataFrame:
+    """(code, bsns_year, quarter, <the asked leaf sums>): the other sums are never computed, nor what only they read."""
+    return t.fin_fact_wide.select("code", "bsns_year", "quarter", *accounts)
+
+
 def fin_filing(t: Tables) -> DataFrame:
     w = t.fin_fact_wide
     return w.select("code", rpid_col(F.col("code"), F.col("bsns_year"), F.col("quarter")).alias("rpid"),
                     "bsns_year", "quarter")
 
 
-def fin_nation_fact(t: Tables) -> DataFrame:
-    """Leaf facts per customer nation: a dense quarterly series (25 codes)."""
+def fin_nation_wide(t: Tables) -> DataFrame:
+    """Leaf sums per customer nation: a dense quarterly series (25 codes)."""
     cust = t.customer.select(F.col("c_custkey").cast("string").alias("code"), "c_nationkey")
     j = t.fin_fact_wide.join(cust, "code")
     wide = (j.groupBy(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("code"), "bsns_year", "quarter")
             .agg(*_sum_leaves()))
-    long = wide_to_long(wide, ["code", "bsns_year", "quarter"])
+    return wide
+
+
+def fin_nation_fact(t: Tables) -> DataFrame:
+    long = wide_to_long(t.fin_nation_wide, ["code", "bsns_year", "quarter"])
     return long.select("code", "bsns_year", "quarter", "statement", "account", "value")
 
 
