@@ -17,10 +17,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def orphan_counts(checks: list[tuple[str, DataFrame, DataFrame, list[str], list[str]]]) -> DataFrame:
-    """FOREIGN KEY: (check_name, n) = rows of ``child`` with no match in ``parent``."""
+    """FOREIGN KEY: (check_name, n) = rows of ``child`` with no match in ``parent`` (whose keys may repeat)."""
     out = []
     for name, child, parent, ck, pk in checks:
-        p = parent.select(*[F.col(a).alias(b) for a, b in zip(pk, ck)]).distinct()
+        p = parent.select(*[F.col(a).alias(b) for a, b in zip(pk, ck)])
         n = child.select(*ck).join(p, ck, "left_anti").agg(F.count(F.lit(1)).alias("n"))
         out.append(n.select(F.lit(name).alias("check_name"), "n"))
     return _union(out)
@@ -52,13 +52,23 @@ def cascade_counts(delete_set: DataFrame, children: list[tuple[str, DataFrame]],
 
 
 def predicate_counts(checks: list[tuple[str, DataFrame, Column]]) -> DataFrame:
-    """Domain checks: (check_name, n) rows violating each predicate."""
-    out = [df.agg(F.sum(F.when(pred, 1).otherwise(0)).cast("long").alias("n"))
-           .select(F.lit(name).alias("check_name"), F.coalesce("n", F.lit(0)).alias("n"))
-           for name, df, pred in checks]
+    """Domain checks: (check_name, n) rows violating each predicate; checks that share a frame share one pass of it."""
+    frames: dict[int, tuple[DataFrame, list[tuple[str, Column]]]] = {}
+    for name, df, pred in checks:
+        frames.setdefault(id(df), (df, []))[1].append((name, pred))
+    out = []
+    for df, preds in frames.values():
+        counts = df.agg(*[F.count_if(p).alias(name) for name, p in preds])
+        stack = ", ".join(f"'{name}', `{name}`" for name, _ in preds)
+        out.append(counts.selectExpr(f"stack({len(preds)}, {stack}) AS (check_name, n)"))
     return _union(out)
 
 
+def outside_bigint(amount: Column) -> Column:
+    """An amount given as text that is no BIGINT: beyond its range, with a fraction, or no number."""
+    return amount.isNotNull() & (~amount.rlike(r"^\s*[+-]?[0-9]+\s*$") | amount.try_cast("bigint").isNull())
+
+
 def identity_check(values: DataFrame, left: str, right: str, keys: list[str], left_name: str,
                    right_name: str) -> DataFrame:
     """Rows where account ``left`` ≠ account ``right`` for the same key (either may be missing)."""

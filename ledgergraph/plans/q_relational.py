@@ -10,7 +10,8 @@ from ..operators import evaluate as EV
 from ..operators import quality as DQ
 from ..sources import ontology as O
 from ..sources import reference_values as RV
-from ..sources.fixtures import account_columns, sql_with
+from ..sources.fixtures import (account_columns, fin_fact, fin_fact_wide, fin_filing, fin_raw, sql_with, stored_facts,
+                                wide_to_long)
 from . import sqlviews  # noqa: F401
 from .q_eval import _onto
 from .registry import query
@@ -19,10 +20,10 @@ K = ["code", "bsns_year", "quarter"]
 YEAR_FROM, YEAR_TO = 1996, 2000
 
 
-def _statement_view(t, statement):
-    f = t.fin_fact.filter((F.col("statement") == statement) & F.col("bsns_year").between(YEAR_FROM, YEAR_TO))
-    j = f.join(t.fin_company, "code").join(t.fin_filing.select("code", "rpid"), ["code", "rpid"])
-    return j.select("code", "name", "bsns_year", "quarter", "account", "value")
+def _statement_view(t, statement, years=(YEAR_FROM, YEAR_TO)):
+    # a filing is a row of the wide facts, so facts need no second read of the lines to meet their filing
+    f = wide_to_long(fin_fact_wide(t, years), K, statement)
+    return f.join(t.fin_company, "code").select("code", "name", "bsns_year", "quarter", "account", "value")
 
 
 def _statement_view_sql(statement):
@@ -81,10 +82,12 @@ UNION ALL SELECT 'order_customer', COUNT(*) FROM orders o WHERE NOT EXISTS (SELE
 UNION ALL SELECT 'line_order', COUNT(*) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)"""))
 def fk_orphans(t):
     """DQ1: foreign keys as left-anti orphan counts."""
+    wide = stored_facts(t)
+    facts, filings = fin_fact(t, wide), fin_filing(t, wide)
     return DQ.orphan_counts([
-        ("fact_company", t.fin_fact, t.fin_company, ["code"], ["code"]),
-        ("fact_filing", t.fin_fact, t.fin_filing, ["code", "rpid"], ["code", "rpid"]),
-        ("filing_company", t.fin_filing, t.fin_company, ["code"], ["code"]),
+        ("fact_company", facts, t.fin_company, ["code"], ["code"]),
+        ("fact_filing", facts, filings, ["code", "rpid"], ["code", "rpid"]),
+        ("filing_company", filings, t.fin_company, ["code"], ["code"]),
         ("order_customer", t.orders, t.customer, ["o_custkey"], ["c_custkey"]),
         ("line_order", t.lineitem, t.orders, ["l_orderkey"], ["o_orderkey"]),
     ])
@@ -131,22 +134,31 @@ def cascade_delete_preview(t):
     return DQ.cascade_counts(gone, [("company", t.fin_company), ("filing", t.fin_filing), ("fact", t.fin_fact)], "code")
 
 
-@query("domain_violations", sql_with(["fin_company", "fin_filing", "fin_fact"], """
+@query("domain_violations", sql_with(["fin_company", "fin_filing", "fin_fact", "fin_raw"], """
 SELECT 'code_len_10' AS check_name, COUNT(*) AS n FROM fin_company WHERE length(code) > 10
 UNION ALL SELECT 'name_len_18', COUNT(*) FROM fin_company WHERE length(name) > 18
 UNION ALL SELECT 'rpid_len_30', COUNT(*) FROM fin_filing WHERE length(rpid) > 30
 UNION ALL SELECT 'rpid_len_12', COUNT(*) FROM fin_filing WHERE length(rpid) > 12
 UNION ALL SELECT 'account_len_255', COUNT(*) FROM fin_fact WHERE length(account) > 255
-UNION ALL SELECT 'value_negative', COUNT(*) FROM fin_fact WHERE value < 0"""))
+UNION ALL SELECT 'value_negative', COUNT(*) FROM fin_fact WHERE value < 0
+UNION ALL SELECT 'amount_bigint', COUNT(*) FROM fin_raw WHERE thstrm_amount IS NOT NULL AND TRY_CAST(thstrm_amount AS BIGINT) IS NULL
+UNION ALL SELECT 'amount_1e7_bigint', COUNT(*) FROM fin_raw WHERE thstrm_amount IS NOT NULL AND TRY_CAST(thstrm_amount || '0000000' AS BIGINT) IS NULL"""))
 def domain_violations(t):
-    """DQ5: length limits and value domain checks as filtered counts."""
+    """DQ5: length limits, value domain and BIGINT range as counts, one pass per table.
+
+    Amounts are checked as filed and with seven more digits, where large ones leave BIGINT.
+    """
+    wide = stored_facts(t)
+    company, filing, fact, raw = t.fin_company, fin_filing(t, wide), fin_fact(t, wide), fin_raw(t, wide)
     return DQ.predicate_counts([
-        ("code_len_10", t.fin_company, F.length("code") > 10),
-        ("name_len_18", t.fin_company, F.length("name") > 18),
-        ("rpid_len_30", t.fin_filing, F.length("rpid") > 30),
-        ("rpid_len_12", t.fin_filing, F.length("rpid") > 12),
-        ("account_len_255", t.fin_fact, F.length("account") > 255),
-        ("value_negative", t.fin_fact, F.col("value") < 0),
+        ("code_len_10", company, F.length("code") > 10),
+        ("name_len_18", company, F.length("name") > 18),
+        ("rpid_len_30", filing, F.length("rpid") > 30),
+        ("rpid_len_12", filing, F.length("rpid") > 12),
+        ("account_len_255", fact, F.length("account") > 255),
+        ("value_negative", fact, F.col("value") < 0),
+        ("amount_bigint", raw, DQ.outside_bigint(F.col("thstrm_amount"))),
+        ("amount_1e7_bigint", raw, DQ.outside_bigint(F.concat("thstrm_amount", F.lit("0000000")))),
     ])
 
 
@@ -256,12 +268,12 @@ def master_vs_graph_diff(t):
 
 
 @query("facts_rollup_cube", sql_with(["fin_fact"], """
-SELECT statement, bsns_year, quarter, CAST(SUM(value) AS BIGINT) AS total, COUNT(*) AS n,
+SELECT statement, bsns_year, quarter, CAST(SUM(value) AS DECIMAL(38, 0)) AS total, COUNT(*) AS n,
        CAST(GROUPING(statement) * 4 + GROUPING(bsns_year) * 2 + GROUPING(quarter) AS INTEGER) AS grouping_id
 FROM fin_fact GROUP BY CUBE (statement, bsns_year, quarter)"""))
 def facts_rollup_cube(t):
-    """Statement × year × quarter totals with every subtotal (one CUBE aggregate)."""
-    f = t.fin_fact
+    """Statement × year × quarter totals with every subtotal (one CUBE aggregate); totals of all companies pass BIGINT."""
+    f = t.fin_fact.withColumn("value", F.col("value").cast("decimal(19, 0)"))
     return f.cube("statement", "bsns_year", "quarter").agg(
-        F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"),
+        F.sum("value").cast("decimal(38, 0)").alias("total"), F.count(F.lit(1)).alias("n"),
         F.grouping_id("statement", "bsns_year", "quarter").cast("int").alias("grouping_id"))

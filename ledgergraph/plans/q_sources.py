@@ -69,21 +69,13 @@ FROM fin_raw r LEFT JOIN (
   {_labels_sql()}) lb
 ON lb.bsns_year = r.bsns_year AND lb.reprt_code = r.reprt_code AND lb.label = r.thstrm_nm"""))
 def period_label_to_quarter(t):
-    """SC1: period label -> quarter per report code (label table broadcast-joined; NULL on no match)."""
-    r = t.fin_raw
-    years = r.select("bsns_year").distinct().withColumn("base", term_label(F.col("bsns_year")))
-    rows = []
+    """SC1: period label -> quarter per report code, an expression over the filing's own year (NULL on no match)."""
+    label, quarter = F.col("thstrm_nm"), None
     for code, word, q in RV.REPORT_CODES:
-        rows.append((code, word, q))
-        if code != "11011":
-            rows.append((code, word + RV.PERIOD_LABEL_END, q))
-    codes = F.array(*[F.struct(F.lit(c).alias("reprt_code"), F.lit(w).alias("word"), F.lit(q).alias("quarter"))
-                      for c, w, q in rows])
-    labels = years.select("bsns_year", "base", F.explode(codes).alias("c")).select(  # #years × 7 rows
-        "bsns_year", "c.reprt_code", F.concat("base", "c.word").alias("label"), "c.quarter")
-    j = r.join(F.broadcast(labels), (r.bsns_year == labels.bsns_year) & (r.reprt_code == labels.reprt_code)
-               & (r.thstrm_nm == labels.label), "left")
-    return j.select("rcept_no", "sj_div", "account_nm", "thstrm_nm", "quarter")
+        full = F.concat(term_label(F.col("bsns_year")), F.lit(word))
+        fits = (label == full) if code == "11011" else label.isin(full, F.concat(full, F.lit(RV.PERIOD_LABEL_END)))
+        quarter = (F if quarter is None else quarter).when((F.col("reprt_code") == code) & fits, F.lit(q))
+    return t.fin_raw.select("rcept_no", "sj_div", "account_nm", "thstrm_nm", quarter.alias("quarter"))
 
 
 def _name_map(t):
@@ -248,7 +240,7 @@ def facts_append_ids(t):
 SELECT 'fin_fact' AS name, COUNT(*) > 0 AS present FROM fin_fact
 UNION ALL SELECT 'lineitem', COUNT(*) > 0 FROM lineitem"""))
 def exists_flag(t):
-    """AG5: existence of a named object as a query (count(*) > 0)."""
-    a = t.fin_fact.agg((F.count(F.lit(1)) > 0).alias("present")).select(F.lit("fin_fact").alias("name"), "present")
-    b = t.lineitem.agg((F.count(F.lit(1)) > 0).alias("present")).select(F.lit("lineitem").alias("name"), "present")
-    return a.unionByName(b)
+    """AG5: existence of rows of a named object; one row is enough, so a plain table ends with its first row."""
+    def one(name, df):
+        return df.limit(1).agg((F.count(F.lit(1)) > 0).alias("present")).select(F.lit(name).alias("name"), "present")
+    return one("fin_fact", t.fin_fact).unionByName(one("lineitem", t.lineitem))

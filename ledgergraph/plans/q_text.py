@@ -22,8 +22,13 @@ def _pairs(t):
 
 
 def corpus(t, complex_tags: bool = False):
-    return t.derived(f"corpus{complex_tags}", lambda: C.build(t.fin_filing, t.spark, _pairs(t), complex_tags),
-                     checkpoint=True)
+    """The corpus written once, for queries that read it several times."""
+    return t.derived(f"corpus{complex_tags}", lambda: corpus_once(t, complex_tags), checkpoint=True)
+
+
+def corpus_once(t, complex_tags: bool = False):
+    """The corpus for one pass: not stored, so a query's filter and columns reach into its generation."""
+    return C.build(t.fin_filing, t.spark, _pairs(t), complex_tags)
 
 
 # ------------------------------------------------------------------------------------------ SQL twin
@@ -140,27 +145,27 @@ def _corpus_out(df, intent):
                                          "WHERE intent = 'PAST.value'"))
 def corpus_past(t):
     """CG1: 'what is X in <time>' questions (non-FUTURE time words), intent PAST.value."""
-    return _corpus_out(corpus(t), "PAST.value")
+    return _corpus_out(corpus_once(t), "PAST.value")
 
 
 @query("corpus_whatif", csql(["c_corpus"], "SELECT question_id, code, text, entities_str AS entities, intent FROM c_corpus "
                                            "WHERE intent = 'IF.fact'"))
 def corpus_whatif(t):
     """CG2: what-if questions over (target, descendant) pairs with apply word and 1–98 percent."""
-    return _corpus_out(corpus(t), "IF.fact")
+    return _corpus_out(corpus_once(t), "IF.fact")
 
 
 @query("corpus_forecast", csql(["c_corpus"], "SELECT question_id, code, text, entities_str AS entities, intent FROM c_corpus "
                                              "WHERE intent = 'IF.forecast'"))
 def corpus_forecast(t):
     """CG3: forecast questions (non-PAST time words), intent IF.forecast."""
-    return _corpus_out(corpus(t), "IF.forecast")
+    return _corpus_out(corpus_once(t), "IF.forecast")
 
 
 @query("corpus_distinct", csql(["c_corpus"], "SELECT DISTINCT text, entities_str AS entities, intent FROM c_corpus"))
 def corpus_distinct(t):
     """SO3: distinct on the nested record (text, entities, intent) — a hash aggregate, not a quadratic scan."""
-    c = corpus(t)
+    c = corpus_once(t)
     return c.select("text", "entities", "intent").dropDuplicates().select(
         "text", C.entities_string(F.col("entities")).alias("entities"), "intent")
 
@@ -196,7 +201,7 @@ SELECT e.question_id, e.i AS ordinal, e.start, e."end", e.tag, substr(c.text, e.
 FROM c_ent e JOIN c_corpus c ON c.question_id = e.question_id"""))
 def entity_marker_shift(t):
     """CG5/SC5: strip markers, shift spans by ordinal × 7 and check the span text equals the entity."""
-    c = corpus(t)
+    c = corpus_once(t)
     e = c.select("question_id", "text", "marked_text", F.posexplode("entities").alias("ordinal", "e"),
                  F.col("marked_entities"))
     span = F.expr("substring(text, e.start + 1, e.`end` - e.start)")
@@ -210,7 +215,7 @@ def entity_marker_shift(t):
 @query("marker_strip", csql(["c_corpus"], "SELECT question_id, text FROM c_corpus"))
 def marker_strip(t):
     """SC6: remove the entity markers from the text."""
-    return corpus(t).select("question_id", "text")
+    return corpus_once(t).select("question_id", "text")
 
 
 @query("span_text", csql(["c_ent", "c_corpus"], """
@@ -218,7 +223,7 @@ SELECT e.question_id, e.i AS ordinal, substr(c.text, e.start + 1, e."end" - e.st
 FROM c_ent e JOIN c_corpus c ON c.question_id = e.question_id"""))
 def span_text(t):
     """SC5: slice the text by a half-open 0-based span."""
-    e = corpus(t).select("question_id", "text", F.posexplode("entities").alias("ordinal", "e"))
+    e = corpus_once(t).select("question_id", "text", F.posexplode("entities").alias("ordinal", "e"))
     return e.select("question_id", F.col("ordinal").cast("int").alias("ordinal"),
                     F.expr("substring(text, e.start + 1, e.`end` - e.start)").alias("span"))
 
@@ -240,7 +245,7 @@ SELECT question_id, string_agg(tag || '@' || CAST(start AS VARCHAR), ';' ORDER B
 FROM c_ent WHERE tag IN ('IS', 'BS') GROUP BY question_id"""))
 def entity_filter_hof(t):
     """PF8: keep only IS/BS entity spans with a higher-order ``filter`` on the array (no explode)."""
-    c = corpus(t)
+    c = corpus_once(t)
     f = F.filter("entities", lambda e: e.tag.isin("IS", "BS"))
     return c.select("question_id", F.array_join(F.transform(f, lambda e: F.concat(e.tag, F.lit("@"), e.start.cast("string"))),
                                                 ";").alias("account_entities"))
@@ -315,7 +320,7 @@ def class_counts_account(t):
 @query("utterances_to_json", csql(["c_corpus"], "SELECT text, entities_str AS entities, intent FROM c_corpus"))
 def utterances_to_json(t):
     """SNK5/SRC5: write the corpus as JSON lines (entities as mixed arrays) and read it back typed."""
-    c = corpus(t).select("text", "entities", "intent")
+    c = corpus_once(t).select("text", "entities", "intent")
     path = IO.scratch_path(t.spark, "utterances")
     IO.write_utterances_json(c, path)
     return IO.read_utterances_json(t.spark, path).select("text", C.entities_string(F.col("entities")).alias("entities"),

@@ -11,7 +11,7 @@ from ..operators import dialog as DL
 from ..sources import ontology as O
 from ..sources import reference_values as RV
 from ..sources.fixtures import sql_with
-from .q_text import CORPUS_VIEWS, corpus
+from .q_text import CORPUS_VIEWS, corpus_once
 from .registry import query
 
 NS = "http://example.org/"
@@ -126,7 +126,7 @@ FROM c_slots s LEFT JOIN onto_lexicon l ON l.kind = split_part(s.time_phrase, '
  AND l.word = split_part(s.time_phrase, ' ', 1)""", extra=CORPUS_VIEWS))
 def lexicon_lookup(t):
     """JN7/Q10: time word -> description, keyed by (unit, word) so a word listed per unit resolves per unit."""
-    c = corpus(t).select("question_id", F.split("time_phrase", " ").alias("w"))
+    c = corpus_once(t).select("question_id", F.split("time_phrase", " ").alias("w"))
     c = c.select("question_id", F.col("w")[0].alias("word"), F.col("w")[1].alias("unit"))
     lex = O.lexicon(t.spark).select(F.col("kind").alias("unit"), "word", "word_desc")
     return c.join(F.broadcast(lex), ["unit", "word"], "left").select("question_id", "word", "unit", "word_desc")
@@ -138,7 +138,7 @@ SELECT question_id, split_part(time_phrase, ' ', 1) AS word, CASE """ + " ".join
 FROM c_slots WHERE split_part(time_phrase, ' ', 2) = 'quarter'""", extra=CORPUS_VIEWS))
 def ordinal_to_quarter(t):
     """SC10/Q11: ordinal word -> quarter number (no match -> 4) for every quarter phrase asked."""
-    c = corpus(t).filter(F.split("time_phrase", " ")[1] == "quarter")
+    c = corpus_once(t).filter(F.split("time_phrase", " ")[1] == "quarter")
     w = F.split("time_phrase", " ")[0]
     return c.select("question_id", w.alias("word"), DL.ordinal_to_quarter(w).alias("qnum"))
 

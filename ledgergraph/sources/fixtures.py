@@ -146,15 +146,20 @@ def _sum_leaves() -> list[Column]:
     return [F.sum(a).alias(a) for a, _ in LEAF_ACCOUNTS]
 
 
-def fin_fact_wide(t: Tables) -> DataFrame:
+def fin_fact_wide(t: Tables, years: tuple[int, int] | None = None) -> DataFrame:
     """(code, bsns_year, quarter, <nine leaf sums>) — one row per filing.
 
     Lines are summed per order first: the partial aggregate is hash-partitioned
     on the order key, so the join with ``orders`` shuffles only ``orders`` and
     the big side crosses the network once as partial sums (≈4 lines/order).
+    ``years`` (first and last) is a range of order dates at the scan of ``orders``;
+    over a large ``lineitem`` Spark then adds its runtime filter on the order key.
     """
     per_order = line_amounts(t).groupBy("l_orderkey").agg(*_sum_leaves())
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    if years:
+        first, end = (F.lit(f"{y}-01-01").cast(o.schema["o_orderdate"].dataType) for y in (years[0], years[1] + 1))
+        o = o.filter((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < end))
     year, quarter = period_cols(F.col("o_orderdate"))
     j = per_order.join(o, per_order.l_orderkey == o.o_orderkey)
     return (j.groupBy(F.col("o_custkey").cast("string").alias("code"), year.alias("bsns_year"),
@@ -162,25 +167,32 @@ def fin_fact_wide(t: Tables) -> DataFrame:
             .agg(*_sum_leaves()))
 
 
-def wide_to_long(wide: DataFrame, keys: list[str]) -> DataFrame:
-    stack = ", ".join(f"'{a}', '{s}', `{a}`" for a, s in LEAF_ACCOUNTS)
-    long = wide.selectExpr(*keys, f"stack({len(LEAF_ACCOUNTS)}, {stack}) AS (account, statement, value)")
+def wide_to_long(wide: DataFrame, keys: list[str], statement: str | None = None) -> DataFrame:
+    """One row per account that has a value; of one ``statement`` only, the other sums are never computed."""
+    accounts = [(a, s) for a, s in LEAF_ACCOUNTS if statement in (None, s)]
+    stack = ", ".join(f"'{a}', '{s}', `{a}`" for a, s in accounts)
+    long = wide.selectExpr(*keys, f"stack({len(accounts)}, {stack}) AS (account, statement, value)")
     return long.filter(F.col("value").isNotNull())
 
 
-def fin_fact(t: Tables) -> DataFrame:
-    long = wide_to_long(t.fin_fact_wide, ["code", "bsns_year", "quarter"])
+def fin_fact(t: Tables, wide: DataFrame | None = None) -> DataFrame:
+    long = wide_to_long(t.fin_fact_wide if wide is None else wide, ["code", "bsns_year", "quarter"])
     return long.select("code", rpid_col(F.col("code"), F.col("bsns_year"), F.col("quarter")).alias("rpid"),
                        "bsns_year", "quarter", "statement", "account", "value")
 
 
+def stored_facts(t: Tables) -> DataFrame:
+    """The wide facts written once, for checks that read facts and filings several times."""
+    return t.derived("fin_fact_wide_stored", lambda: t.fin_fact_wide, checkpoint=True)
+
+
 def account_columns(t: Tables, *accounts: str) -> DataFrame:
     """(code, bsns_year, quarter, <the asked leaf sums>): the other sums are never computed, nor what only they read."""
     return t.fin_fact_wide.select("code", "bsns_year", "quarter", *accounts)
 
 
-def fin_filing(t: Tables) -> DataFrame:
-    w = t.fin_fact_wide
+def fin_filing(t: Tables, wide: DataFrame | None = None) -> DataFrame:
+    w = t.fin_fact_wide if wide is None else wide
     return w.select("code", rpid_col(F.col("code"), F.col("bsns_year"), F.col("quarter")).alias("rpid"),
                     "bsns_year", "quarter")
 
@@ -374,17 +386,19 @@ def term_label(year: Column) -> Column:
     return F.concat(F.lit(RV.PERIOD_LABEL_PREFIX), term.cast("string"), F.lit(RV.PERIOD_LABEL_SUFFIX))
 
 
-def fin_raw(t: Tables) -> DataFrame:
+def fin_raw(t: Tables, wide: DataFrame | None = None) -> DataFrame:
+    """Raw filing lines; a filing's leaves and its unmapped line come from its one wide row, so facts are read once."""
     from . import ontology as O
     from . import reference_values as RV
-    names = O.master_raw(t.spark).select(F.col("acc").alias("account"), F.col("name_local").alias("account_nm"))
+    names = O.master_raw(t.spark).select(F.col("acc").alias("account"), F.col("name_local").alias("name_local"))
     seg = t.customer.select(F.col("c_custkey").cast("string").alias("code"), F.col("c_mktsegment").alias("seg"))
-    f = t.fin_fact.select("code", "bsns_year", "quarter", "statement", "account", "value")
-    other = t.fin_fact_wide.filter(F.col("Revenue").isNotNull()).select(
-        "code", "bsns_year", "quarter", F.lit("IS").alias("statement"), F.lit(None).cast("string").alias("account"),
-        F.floor(F.col("Revenue") / 100).cast("bigint").alias("value"))
-    lines = f.join(F.broadcast(names), "account", "left").unionByName(
-        other.withColumn("account_nm", F.lit(UNMAPPED_ACCOUNT_NAME)))
+    stack = ", ".join(f"'{a}', '{s}', `{a}`" for a, s in LEAF_ACCOUNTS)
+    f = (t.fin_fact_wide if wide is None else wide).selectExpr(
+        "code", "bsns_year", "quarter",
+        f"stack({len(LEAF_ACCOUNTS) + 1}, {stack}, CAST(NULL AS STRING), 'IS', CAST(floor(Revenue / 100) AS BIGINT)) "
+        "AS (account, statement, value)").filter(F.col("value").isNotNull())
+    lines = f.join(F.broadcast(names), "account", "left").withColumn(
+        "account_nm", F.when(F.col("account").isNull(), F.lit(UNMAPPED_ACCOUNT_NAME)).otherwise(F.col("name_local")))
     j = lines.join(seg, "code").withColumn("sj_div", F.explode(F.array(F.lit("BS"), F.lit("IS"), F.lit("CIS"))))
     keep = (((F.col("statement") == "BS") & (F.col("sj_div") == "BS"))
             | ((F.col("statement") == "IS") & (((F.col("sj_div") == "IS") & (F.col("seg") != "BUILDING"))
