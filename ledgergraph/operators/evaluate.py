@@ -186,6 +186,17 @@ def known_ratios(facts: DataFrame, coef: DataFrame, defs: DataFrame, keys: list[
     return out.filter(F.col("value").isNotNull()) if sums else out
 
 
+def shown_values(facts: DataFrame, coef: DataFrame, defs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, account, value): every account that has a value, as an answer shows it.
+
+    Leaves and complete rollups in their own unit, ratios and sums of ratios rounded to 6 digits.
+    """
+    money = facts.select(*keys, "account", "value").unionByName(rollup(facts, coef, keys).select(*keys, "account", "value"))
+    ratio = known_ratios(facts, coef, defs, keys).unionByName(known_ratios(facts, coef, defs, keys, sums=True))
+    return money.withColumn("value", F.col("value").cast("double")).unionByName(
+        ratio.filter(F.col("value").isNotNull()).withColumn("value", F.round("value", 6)))
+
+
 # ---------------------------------------------------------------------------
 # What-if
 # ---------------------------------------------------------------------------

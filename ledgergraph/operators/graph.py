@@ -24,6 +24,8 @@ from ..session import ensure_checkpoint_dir
 CLOSURE_COLS = ["ancestor", "descendant", "n_paths", "weight", "min_depth", "max_depth"]
 #: Rows (two names and a number each) up to which a join side is broadcast.
 BROADCAST_ROWS = 200_000
+#: A node at more than one edge in this many is hot: there are fewer of them than this, whatever the size of the graph.
+HOT_NODES = 10_000
 
 
 def _step_agg(df: DataFrame) -> DataFrame:
@@ -137,6 +139,30 @@ def inverse_edges(edges: DataFrame, inverse_map: DataFrame) -> DataFrame:
         F.col("parent").alias("child"), F.col("child").alias("parent"), F.col("inverse").alias("role"))
 
 
+def subset_edges(edges: DataFrame, subset: DataFrame) -> DataFrame:
+    """(knowledge, child, parent, role): the edges with both ends in a named subset, once for each (knowledge, node) set."""
+    a = subset.select("knowledge", F.col("node").alias("child"))
+    b = subset.select("knowledge", F.col("node").alias("parent"))
+    return edges.join(a, "child").join(b, ["knowledge", "parent"]).select("knowledge", "child", "parent", "role")
+
+
+def end_attributes(edges: DataFrame, attrs: DataFrame, end: str, prefix: str, hot_nodes: int = HOT_NODES) -> DataFrame:
+    """The edges with the attributes of the node at their ``end`` as columns ``<prefix>_<attribute>``, null where it has none.
+
+    ``attrs``: (node, attributes), one row per node.  A node at more than one edge in ``hot_nodes`` would send all its edges
+    to one task; there are fewer than ``hot_nodes`` such nodes by that count, so their attributes are broadcast and only the
+    other edges are shuffled.  Edges without that end stay, with nulls.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+    a = attrs.select(F.col("node").alias(end), *[F.col(c).alias(f"{prefix}_{c}") for c in attrs.columns if c != "node"])
+    total = edges.count()
+    hot = edges.filter(F.col(end).isNotNull()).groupBy(end).agg(F.count(F.lit(1)).alias("n")) \
+        .filter(F.col("n") * F.lit(hot_nodes) > F.lit(total)).select(end).checkpoint()
+    warm = edges.join(F.broadcast(hot.join(a, end, "left")), end)
+    cold = edges.join(F.broadcast(hot), end, "left_anti").join(a, end, "left")
+    return warm.unionByName(cold).select(*edges.columns, *a.columns[1:])
+
+
 def subtree_nodes(edges: DataFrame) -> DataFrame:
     """All nodes mentioned by an adjacency table (parent ∪ children)."""
     return edges.select(F.col("parent").alias("node")).union(edges.select(F.col("child").alias("node"))).distinct()

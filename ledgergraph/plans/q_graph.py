@@ -147,24 +147,39 @@ def graph_subtree_relations(t):
     return e.join(sub, "parent", "left_semi").filter(F.col("child").startswith("C")).select("child", "parent", "role")
 
 
-@query("graph_subset_edges", sql_with(["big_closure", "big_edges"], """
+_SUBSET_SQL = """
 SELECT s.knowledge, e.child, e.parent, e.role
 FROM (SELECT ancestor AS knowledge, descendant AS node FROM big_closure WHERE ancestor LIKE 'R%'
       UNION SELECT 'R' || CAST(r_regionkey AS VARCHAR), 'R' || CAST(r_regionkey AS VARCHAR) FROM region) s
 JOIN big_edges e ON e.child = s.node
 JOIN (SELECT ancestor AS knowledge, descendant AS node FROM big_closure WHERE ancestor LIKE 'R%'
       UNION SELECT 'R' || CAST(r_regionkey AS VARCHAR), 'R' || CAST(r_regionkey AS VARCHAR) FROM region) s2
-  ON s2.knowledge = s.knowledge AND s2.node = e.parent""", extra=_PATHS))
-def graph_subset_edges(t):
-    """GR1: named knowledge subsets (one per region) and the edges with both ends inside."""
+  ON s2.knowledge = s.knowledge AND s2.node = e.parent"""
+
+
+def _region_edges(t):
     roots = t.region.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("knowledge"))
     clos = G.closure(big_edges(t), above=roots.select(F.col("knowledge").alias("node")))
     subset = clos.select(F.col("ancestor").alias("knowledge"), F.col("descendant").alias("node")).union(
         roots.select("knowledge", F.col("knowledge").alias("node")))
-    e = big_edges(t)
-    a = subset.select("knowledge", F.col("node").alias("child"))
-    b = subset.select("knowledge", F.col("node").alias("parent"))
-    return e.join(a, "child").join(b, ["knowledge", "parent"]).select("knowledge", "child", "parent", "role")
+    return G.subset_edges(big_edges(t), subset)
+
+
+@query("graph_subset_edges", sql_with(["big_closure", "big_edges"], _SUBSET_SQL, extra=_PATHS))
+def graph_subset_edges(t):
+    """GR1: named knowledge subsets (one per region) and the edges with both ends inside."""
+    return _region_edges(t)
+
+
+@query("graph_subset_inverse_edges", sql_with(["big_closure", "big_edges"], f"""
+SELECT x.knowledge || 'R' AS knowledge, x.parent AS child, x.child AS parent, 'hasPart' AS role FROM ({_SUBSET_SQL}) x""",
+       extra=_PATHS))
+def graph_subset_inverse_edges(t):
+    """GR1: the inverse subsets, named with an R at the end: the same nodes by the inverse roles, parent to child."""
+    inv = t.spark.createDataFrame([("partOf", "hasPart")], "role string, inverse string")
+    e = _region_edges(t).join(F.broadcast(inv), "role")
+    return e.select(F.concat("knowledge", F.lit("R")).alias("knowledge"), F.col("parent").alias("child"),
+                    F.col("child").alias("parent"), F.col("inverse").alias("role"))
 
 
 _NS = [("O", "http://example.org/order#"), ("C", "http://example.org/customer#"),
@@ -199,13 +214,16 @@ def _size_case(col: str) -> str:
     return "CASE " + " ".join(f"WHEN {col} = {lv} THEN {sz}" for lv, sz in LEVEL_NODE_SIZE) + " ELSE 10 END"
 
 
-@query("graph_export_nodes", sql_with(["big_closure", "big_edges"], f"""
+_NODES_SQL = f"""
 SELECT n.node AS id, n.node AS label, CASE WHEN substr(n.node, 2, 1) = ':' THEN substr(n.node, 1, 1)
        WHEN n.node IN ('WORLD', 'PARTS') THEN n.node ELSE substr(n.node, 1, 1) END AS grp,
        {_size_case('COALESCE(d.depth, 0)')} AS size, 'depth ' || CAST(COALESCE(d.depth, 0) AS VARCHAR) AS title
 FROM (SELECT child AS node FROM big_edges UNION SELECT parent FROM big_edges) n
 LEFT JOIN (SELECT descendant, MIN(min_depth) AS depth FROM big_closure WHERE ancestor IN ('WORLD', 'PARTS') GROUP BY 1) d
-  ON d.descendant = n.node""", extra=_PATHS))
+  ON d.descendant = n.node"""
+
+
+@query("graph_export_nodes", sql_with(["big_closure", "big_edges"], _NODES_SQL, extra=_PATHS))
 def graph_export_nodes(t):
     """GR11: node rows for drawing (id, label, group, size by depth from the root, title), deduplicated."""
     from ..sources.reference_values import LEVEL_NODE_SIZE
@@ -230,3 +248,15 @@ def graph_export_edges(t):
     """GR11/GR12: edge rows for drawing (from, to, title = role, weight)."""
     return big_edges(t).select(F.col("child").alias("from"), F.col("parent").alias("to"), F.col("role").alias("title"),
                                F.lit(2).alias("weight"))
+
+
+@query("graph_export_edge_ends", sql_with(["big_closure", "big_edges"], """
+SELECT e.child AS "from", e.parent AS "to", e.role AS title, 2 AS weight, a.label AS from_label, a.grp AS from_grp,
+       a.size AS from_size, a.title AS from_title, b.label AS to_label, b.grp AS to_grp, b.size AS to_size, b.title AS to_title
+FROM big_edges e LEFT JOIN drawn a ON a.id = e.child LEFT JOIN drawn b ON b.id = e.parent""",
+       extra={**_PATHS, "drawn": (_NODES_SQL, ["big_closure", "big_edges"])}))
+def graph_export_edge_ends(t):
+    """JN11/GR11: edge rows for drawing with the label, group, size and title of the nodes at both ends."""
+    attrs = t.derived("drawn_nodes", lambda: graph_export_nodes(t).withColumnRenamed("id", "node"), checkpoint=True)
+    e = G.end_attributes(graph_export_edges(t), attrs, "from", "from")
+    return G.end_attributes(e, attrs, "to", "to")

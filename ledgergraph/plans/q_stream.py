@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import evaluate as EV
+from ..sources import io as IO
 from ..sources.io import scratch_path
 from ..streaming import streams as ST
-from .q_qa import answer_questions, qsql
+from .q_eval import _onto
+from .q_qa import _facts_ckpt, _valid, answer_questions, qsql
 from .q_text import corpus
 from .registry import query
 
@@ -62,3 +67,30 @@ def stream_qa(t):
     corpus(t).select("question_id", "code", "bsns_year", "text").write.mode("overwrite").parquet(path)
     return ST.answer_stream(t.spark, path, "question_id string, code string, bsns_year int, text string",
                             lambda batch: answer_questions(t, batch))
+
+
+VALUE_KEYS = ["code", "bsns_year", "quarter", "account"]
+
+
+def value_table(t, buckets: int = 8):
+    """The evaluated accounts as a catalog table bucketed by what a question names."""
+    e, _, coef = _onto(t)
+    values = EV.shown_values(_facts_ckpt(t), coef, EV.ratio_definitions(e)).select(*VALUE_KEYS, "value")
+    name = f"lg_value_{uuid.uuid5(uuid.NAMESPACE_URL, t.sf_dir).hex[:12]}"
+    IO.create_table(t.spark, name, values, VALUE_KEYS, buckets)
+    return IO.load_table(t.spark, name, values, VALUE_KEYS, buckets)
+
+
+@query("stream_static_values", qsql(["qa_answers"], """
+SELECT question_id, target_account, year, quarter, answer, error_code FROM qa_answers
+WHERE intent = 'PAST.value' AND (error_code IS NULL OR error_code = 'NO_DATA')"""))
+def stream_static_values(t):
+    """SM2: read questions stream in and meet the bucketed table of evaluated accounts in a stream-static join."""
+    path = scratch_path(t.spark, "read-questions")
+    asked = _valid(t).filter((F.col("intent") == "PAST.value") & F.col("error_code").isNull())
+    asked.select("question_id", "code", F.col("year").alias("bsns_year"), "quarter", F.col("target_account").alias("account")) \
+        .write.parquet(path)
+    out = ST.lookup_stream(t.spark, path, "question_id string, code string, bsns_year int, quarter string, account string",
+                           value_table(t), VALUE_KEYS)
+    return out.select("question_id", F.col("account").alias("target_account"), F.col("bsns_year").alias("year"), "quarter",
+                      F.col("value").alias("answer"), F.when(F.col("value").isNull(), F.lit("NO_DATA")).alias("error_code"))

@@ -41,26 +41,31 @@ def read_utterances_json(spark: SparkSession, path: str) -> DataFrame:
         "intent")
 
 
-def create_table(spark: SparkSession, name: str, df: DataFrame, bucket_by: str, buckets: int,
+def create_table(spark: SparkSession, name: str, df: DataFrame, bucket_by: str | list[str], buckets: int,
                  partition_by: str | None = None) -> None:
     """CREATE TABLE IF NOT EXISTS with the frame's columns, bucketed (and partitioned), in the shared folder."""
+    by = ", ".join(f"`{c}`" for c in _names(bucket_by))
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     part = f"PARTITIONED BY (`{partition_by}`) " if partition_by else ""
     place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"
     spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}` ({cols}) USING parquet {part}"
-              f"CLUSTERED BY (`{bucket_by}`) INTO {int(buckets)} BUCKETS LOCATION '{place}'")
+              f"CLUSTERED BY ({by}) INTO {int(buckets)} BUCKETS LOCATION '{place}'")
 
 
-def load_table(spark: SparkSession, name: str, df: DataFrame, bucket_by: str, buckets: int) -> DataFrame:
+def _names(columns: str | list[str]) -> list[str]:
+    return [columns] if isinstance(columns, str) else columns
+
+
+def load_table(spark: SparkSession, name: str, df: DataFrame, bucket_by: str | list[str], buckets: int) -> DataFrame:
     """Replace the table's rows (of the partitions that ``df`` has, if it is partitioned) and return the table.
 
-    Rows are dealt by the bucket column first, so that a bucket of a partition is one file.
+    Rows are dealt by the bucket columns first, so that a bucket of a partition is one file.
     """
     mode = "spark.sql.sources.partitionOverwriteMode"
     was = spark.conf.get(mode)
     spark.conf.set(mode, "dynamic")
     try:
-        df.select(*spark.table(name).columns).repartition(buckets, bucket_by).write.insertInto(name, overwrite=True)
+        df.select(*spark.table(name).columns).repartition(buckets, *_names(bucket_by)).write.insertInto(name, overwrite=True)
     finally:
         spark.conf.set(mode, was)
     return spark.table(name)

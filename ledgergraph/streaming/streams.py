@@ -8,6 +8,8 @@
   written once, when those before it have come.
 * ``answer_stream``  — questions arriving as a stream, answered per micro-batch
   against the static fact tables (stream–static processing in ``foreachBatch``).
+* ``lookup_stream``  — a stream–static join: each record takes its rows of a static table, in one streaming plan with
+  an append sink.
 
 All run with ``trigger(availableNow=True)`` so a test drives them to
 completion; sinks and checkpoints live under ``spark.checkpoint.dir``.
@@ -208,3 +210,26 @@ def answer_stream(spark: SparkSession, path: str, schema: str, answer: Callable[
     sink = scratch_path(spark, "stream-qa")
     _run_to_sink(s, sink, batch_fn=answer)
     return spark.read.parquet(sink).drop("epoch")
+
+
+def lookup_plan(stream: DataFrame, static: DataFrame, keys: list[str]) -> DataFrame:
+    """The streaming plan: every record of the stream with its static rows; one that has none stays, with nulls.
+
+    No state is kept.  Where ``static`` is a table bucketed by ``keys``, a micro-batch is shuffled to the table's buckets and
+    the table stays where it is; a table below the session's broadcast threshold is broadcast by its size.
+    """
+    return stream.join(static, keys, "left")
+
+
+def lookup_stream(spark: SparkSession, path: str, schema: str, static: DataFrame, keys: list[str],
+                  files_per_trigger: int = 1000) -> DataFrame:
+    """SM2: the records that land under ``path``, joined with ``static`` by ``keys`` as they come.
+
+    The file sink commits each micro-batch once, so a replayed one adds nothing.
+    """
+    sink = scratch_path(spark, "stream-lookup")
+    q = lookup_plan(read_stream(spark, path, schema, files_per_trigger), static, keys).writeStream.format("parquet") \
+        .option("path", sink).option("checkpointLocation", scratch_path(spark, "stream-ckpt")) \
+        .outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(sink)
