@@ -186,6 +186,18 @@ def known_ratios(facts: DataFrame, coef: DataFrame, defs: DataFrame, keys: list[
     return out.filter(F.col("value").isNotNull()) if sums else out
 
 
+#: The quarter of a fact that stands for its whole year.
+WHOLE_YEAR = "ALL"
+
+
+def yearly_facts(facts: DataFrame) -> DataFrame:
+    """Facts of whole years: income lines summed over the year's quarters, balances as they were in its last one."""
+    out = facts.groupBy("code", "bsns_year", "statement", "account").agg(F.sum("value").alias("total"),
+                                                                         F.max_by("value", "quarter").alias("closing"))
+    value = F.when(F.col("statement") == "IS", F.col("total")).otherwise(F.col("closing"))
+    return out.select("code", "bsns_year", F.lit(WHOLE_YEAR).alias("quarter"), "statement", "account", value.alias("value"))
+
+
 def shown_values(facts: DataFrame, coef: DataFrame, defs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, account, value): every account that has a value, as an answer shows it.
 

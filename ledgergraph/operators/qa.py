@@ -24,11 +24,14 @@ from . import series as S
 QK = ["question_id", "variant"]
 
 
-def validate(questions: DataFrame, slots: DataFrame, pairs: DataFrame, spark: SparkSession) -> DataFrame:
+def validate(questions: DataFrame, slots: DataFrame, pairs: DataFrame, spark: SparkSession,
+             quarter_policy: str = "last") -> DataFrame:
     """QA1: intent-specific slot rules -> (question_id, code, intent, target, subject, pct, year, quarter, error_code, message).
 
     ``questions``: (question_id, code, bsns_year, predicted intent); the
-    'today' of a question is 15 March of the year after its filing.
+    'today' of a question is 15 March of the year after its filing.  Where a
+    question names no quarter, ``quarter_policy`` 'last' asks for the fourth and
+    'sum' for the whole year (``evaluate.WHOLE_YEAR``).
     """
     names = {n for _, _, n, _, _ in account_rows()}
     name_map = spark.createDataFrame(
@@ -89,6 +92,9 @@ def validate(questions: DataFrame, slots: DataFrame, pairs: DataFrame, spark: Sp
               .otherwise(F.col("acc1")))
     subject = F.when(is_fact, F.when(F.col("fwd"), F.col("acc2")).when(F.col("rev"), F.col("acc1")))
     quarter = F.coalesce(F.concat(tr["quarter"].cast("string"), F.lit("Q")), F.lit("4Q"))
+    if quarter_policy == "sum":
+        named = F.coalesce(F.instr("time", "quarter") > 0, F.lit(False))
+        quarter = F.when(named, quarter).otherwise(F.lit(EV.WHOLE_YEAR))
     return q.select("question_id", "code", "intent", target.alias("target_account"), subject.alias("subject_account"),
                     F.when(is_fact, sign * pct_n).alias("pct"), tr["year"].alias("year"),
                     F.when(tr["error"].isNull(), quarter).alias("quarter"), "error_code",

@@ -44,6 +44,16 @@ def null_counts(tables: dict[str, DataFrame], columns: dict[str, list[str]]) ->
     return _union(out)
 
 
+def last_filed(lines: DataFrame, keys: list[str], receipt: str, values: list[str]) -> DataFrame:
+    """(keys, receipt, values, n_filed): of lines filed more than once under a key, those of the last receipt.
+
+    Receipts compare as text; under one receipt the greatest values count.  One aggregate, combined before the shuffle, so a
+    key may be filed any number of times; null key values are a key.
+    """
+    last = lines.groupBy(*keys).agg(F.max(F.struct(receipt, *values)).alias("last"), F.count(F.lit(1)).alias("n_filed"))
+    return last.select(*keys, f"last.{receipt}", *[f"last.{v}" for v in values], "n_filed")
+
+
 def cascade_counts(delete_set: DataFrame, children: list[tuple[str, DataFrame]], key: str) -> DataFrame:
     """ON DELETE CASCADE preview: rows of each table that a delete of ``delete_set`` would remove."""
     out = [df.join(delete_set, key, "left_semi").agg(F.count(F.lit(1)).alias("n"))

@@ -30,14 +30,14 @@ def _build_valid(t):
     return _validate_questions(t, corpus(t))
 
 
-def _validate_questions(t, questions):
+def _validate_questions(t, questions, quarter_policy="last"):
     """Slots per question (dictionary tagging), rule intent, then the slot rules (broadcast lookups only)."""
     sl = NLU.question_slots_rows(questions, "question_id", "text", keep=["code", "bsns_year"])
     n_acc = F.size("acc_arr")
     intent = (F.when((n_acc >= 2) & (F.col("n_apply") > 0) & (F.col("n_pct") > 0), "IF.fact")
               .when((n_acc == 1) & F.col("has_will"), "IF.forecast")
               .when(n_acc == 1, "PAST.value").otherwise("None"))
-    return QA.validate(sl.withColumn("intent", intent), None, _pairs(t), t.spark)
+    return QA.validate(sl.withColumn("intent", intent), None, _pairs(t), t.spark, quarter_policy)
 
 
 def _yl():
@@ -199,3 +199,32 @@ def answer_questions(t, questions):
     valid = _validate_questions(t, questions).checkpoint(eager=True)  # cut lineage per micro-batch
     e, n, coef = _onto(t)
     return QA.answer_all(valid, _facts_ckpt(t), coef, EV.ratio_definitions(e), n)
+
+
+_BODY = QA_VIEWS["qa_valid"][0]
+_LAST = "COALESCE(CAST(quarter AS VARCHAR) || 'Q', '4Q')"
+YEAR_VIEWS = {
+    **QA_VIEWS,
+    "qa_valid": (_BODY.replace(_LAST, f"CASE WHEN strpos(COALESCE(phrase, ''), 'quarter') = 0 THEN 'ALL' ELSE {_LAST} END"),
+                 ["qa_time"]),
+    "qa_year_fact": ("""
+SELECT code, bsns_year, quarter, account, value FROM fin_fact
+UNION ALL SELECT code, bsns_year, 'ALL', account, CAST(CASE WHEN statement = 'IS' THEN SUM(value) ELSE arg_max(value, quarter) END AS BIGINT)
+FROM fin_fact GROUP BY code, bsns_year, statement, account""", ["fin_fact"]),
+    "qa_fq": (QA_VIEWS["qa_fq"][0].replace("JOIN fin_fact f", "JOIN qa_year_fact f"), ["qa_valid", "qa_year_fact", "onto_coef"]),
+}
+
+
+@query("qa_whole_year", sql_with(["qa_fa", "qa_valid"], """
+SELECT v.question_id, v.intent, v.target_account, v.subject_account, v.year, v.quarter, fa.baseline, fa.scenario
+FROM qa_valid v LEFT JOIN qa_fa fa ON fa.question_id = v.question_id
+WHERE v.error_code IS NULL AND v.intent IN ('PAST.value', 'IF.fact')""", extra=YEAR_VIEWS))
+def qa_whole_year(t):
+    """QA2/QA3 by Q23's 'sum' policy: a question that names no quarter is answered for the whole year."""
+    valid = t.derived("qa_valid_year", lambda: _validate_questions(t, corpus(t), "sum"), checkpoint=True)
+    e, n, coef = _onto(t)
+    f = _facts_ckpt(t)
+    a = QA.answer_facts(valid, f.unionByName(EV.yearly_facts(f), allowMissingColumns=True), coef, EV.ratio_definitions(e), n)
+    asked = valid.filter(F.col("error_code").isNull() & F.col("intent").isin("PAST.value", "IF.fact"))
+    return asked.join(a, "question_id", "left").select("question_id", "intent", "target_account", "subject_account", "year",
+                                                       "quarter", "baseline", "scenario")

@@ -57,14 +57,14 @@ def _ordinal_sql(col: str) -> str:
 _UNSPEC = ", ".join(f"'{w}'" for w in RV.UNSPECIFIC_QUARTER_WORDS)
 
 
-def time_resolve_sql(src: str, phrase: str, as_of: str, ydesc: str, qdesc: str) -> str:
+def time_resolve_sql(src: str, phrase: str, as_of: str, ydesc: str, qdesc: str, availability: str = "reference") -> str:
     """SQL twin of :func:`ledgergraph.operators.dialog.resolve_time` (oracle only)."""
     return f"""
 SELECT *, CASE WHEN error IS NULL THEN CASE WHEN dropy THEN ref_year - 1 ELSE ref_year END END AS year,
        CASE WHEN error IS NULL THEN ref_q END AS quarter,
        CASE WHEN error IS NULL AND dropy THEN printf('{DL.NOT_YET}', ref_year - 1, ref_year, y) END AS warning
 FROM (
-  SELECT *, (chk AND month({as_of}) <> 3) AS dropy FROM (
+  SELECT *, {f"(chk AND month({as_of}) <> 3)" if availability == "reference" else "FALSE"} AS dropy FROM (
     SELECT *,
       CASE WHEN {phrase} IS NULL THEN y
            WHEN has_year THEN CASE WHEN {ydesc} = 'PAST' THEN y - 1 WHEN {ydesc} = 'FUTURE' THEN y + 1 ELSE y END
@@ -91,24 +91,38 @@ FROM (
 _NPH = len(phrase_rows())
 
 
-@query("time_phrase_resolve", f"""
+def _resolve_sql(availability):
+    return f"""
 WITH ph AS ({_phrase_sql()}), yl AS ({_lexicon_unit_sql('year')}), ql AS ({_lexicon_unit_sql('quarter')}),
 src AS (
   SELECT o.o_orderkey, CAST(o.o_orderdate AS DATE) AS as_of, ph.phrase, yl.word_desc AS year_desc, ql.word_desc AS quarter_desc
   FROM orders o JOIN ph ON ph.idx = o.o_orderkey % {_NPH}
   LEFT JOIN yl ON yl.word = split_part(ph.phrase, ' ', 1)
   LEFT JOIN ql ON ql.word = split_part(ph.phrase, ' ', 1))
-SELECT o_orderkey, CAST(as_of AS VARCHAR) AS as_of, phrase, year, quarter, error, warning FROM ({time_resolve_sql('src', 'phrase', 'as_of', 'year_desc', 'quarter_desc')}) r""")
-def time_phrase_resolve(t):
-    """SC9-SC11/SC17, JN7: relative time phrase -> (year, quarter, error, warning) with each order date as 'today'."""
+SELECT o_orderkey, CAST(as_of AS VARCHAR) AS as_of, phrase, year, quarter, error, warning FROM ({time_resolve_sql('src', 'phrase', 'as_of', 'year_desc', 'quarter_desc', availability)}) r"""
+
+
+def _resolve(t, availability):
     ph = time_phrase_table(t.spark)
     o = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("as_of"),
                         (F.col("o_orderkey") % _NPH).cast("int").alias("idx"))
-    j = DL.resolve_time(o.join(F.broadcast(ph), "idx"), "phrase", "as_of", "year_desc", "quarter_desc")
+    j = DL.resolve_time(o.join(F.broadcast(ph), "idx"), "phrase", "as_of", "year_desc", "quarter_desc", availability)
     return j.select("o_orderkey", F.col("as_of").cast("string").alias("as_of"), "phrase", F.col("t_year").alias("year"),
                     F.col("t_quarter").alias("quarter"), F.col("t_error").alias("error"), F.col("t_warning").alias("warning"))
 
 
+@query("time_phrase_resolve", _resolve_sql("reference"))
+def time_phrase_resolve(t):
+    """SC9-SC11/SC17, JN7: relative time phrase -> (year, quarter, error, warning) with each order date as 'today'."""
+    return _resolve(t, "reference")
+
+
+@query("time_phrase_resolve_intended", _resolve_sql("intended"))
+def time_phrase_resolve_intended(t):
+    """SC11/Q9: the same where a year once asked for is never taken back for want of a report (availability='intended')."""
+    return _resolve(t, "intended")
+
+
 @query("report_availability", """
 SELECT o_orderkey, CAST(o_orderdate AS DATE) BETWEEN make_date(CAST(year(o_orderdate) AS INTEGER), 3, 1)
        AND make_date(CAST(year(o_orderdate) AS INTEGER), 3, 31) AS annual_report_out FROM orders""")

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import keys as KY
+from ..operators import quality as DQ
 from ..sources import ontology as O
 from ..sources import reference_values as RV
 from ..sources import io as IO
@@ -244,3 +245,29 @@ def exists_flag(t):
     def one(name, df):
         return df.limit(1).agg((F.count(F.lit(1)) > 0).alias("present")).select(F.lit(name).alias("name"), "present")
     return one("fin_fact", t.fin_fact).unionByName(one("lineitem", t.lineitem))
+
+
+_AMENDED_SQL = """
+SELECT rcept_no, corp, bsns_year, reprt_code, sj_div, account_nm, thstrm_amount FROM fin_raw
+UNION ALL SELECT rcept_no || '-2', corp, bsns_year, reprt_code, sj_div, account_nm, CAST(CAST(thstrm_amount AS BIGINT) - 5 AS VARCHAR)
+FROM fin_raw WHERE sj_div <> 'BS' AND CAST(corp AS BIGINT) % 3 = 0
+UNION ALL SELECT rcept_no || '-3', corp, bsns_year, reprt_code, sj_div, account_nm, CAST(CAST(thstrm_amount AS BIGINT) + 7 AS VARCHAR)
+FROM fin_raw WHERE sj_div <> 'IS' AND CAST(corp AS BIGINT) % 6 = 0"""
+
+
+@query("facts_last_filing", sql_with(["fin_raw"], f"""
+SELECT corp, bsns_year, reprt_code, sj_div, account_nm, rcept_no, thstrm_amount, n_filed FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY corp, bsns_year, reprt_code, sj_div, account_nm
+                               ORDER BY rcept_no DESC, thstrm_amount DESC) AS r,
+         COUNT(*) OVER (PARTITION BY corp, bsns_year, reprt_code, sj_div, account_nm) AS n_filed FROM ({_AMENDED_SQL}) a) x
+WHERE r = 1"""))
+def facts_last_filing(t):
+    """Q8/DQ2: filings amended once or twice, in part; each line as last filed, with how often it was."""
+    raw, corp = t.fin_raw, F.col("corp").cast("bigint")
+
+    def amended(n, where, change):
+        return raw.filter(where).withColumns({"rcept_no": F.concat("rcept_no", F.lit(f"-{n}")), "thstrm_amount": (
+            F.col("thstrm_amount").cast("bigint") + change).cast("string")})
+    lines = raw.unionByName(amended(2, (F.col("sj_div") != "BS") & (corp % 3 == 0), -5)) \
+        .unionByName(amended(3, (F.col("sj_div") != "IS") & (corp % 6 == 0), 7))
+    return DQ.last_filed(lines, [*FILING, "sj_div", "account_nm"], "rcept_no", ["thstrm_amount"])
