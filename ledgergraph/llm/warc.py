@@ -13,20 +13,24 @@ the record type, so a rerun writes the same ones.  Digests are base32 SHA-1.
 
 ``write`` lays records out as WARC/1.1 files with Spark's text writer (the blank
 lines that end a record are its line separator), ``read`` parses such files
-through Spark's binary reader, so both work on any store Spark reaches.
+through Spark's binary reader, a record at a time, so both work on any store Spark
+reaches.
 
 Defined cases: null html is an empty payload; a null URL leaves out the target
 header; a null id gets the identifier of the empty one; equal rows give equal
 records, all kept; a page without text has an empty conversion; long pages are
-converted whole; an empty table gives no record; extra columns are not read.
+converted whole; an empty table gives no record; extra columns are not read, whatever
+their names.  Records of repeated rows share their identifiers.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,32 +133,78 @@ def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
         "compression", compression).mode("overwrite").text(path)
 
 
+def _line(f: BinaryIO, at: str) -> bytes:
+    line = f.readline()
+    if not line.endswith(b"\n"):
+        raise ValueError(f"the file ends within the header of {at}")
+    return line.rstrip(b"\r\n")
+
+
+def stream_records(f: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an uncompressed WARC stream, one record held at a time.
+
+    White space around a header's value may be missing or more than one; a line that starts with white space continues the
+    one before; of a repeated header the values are joined by ", "; bytes that are no UTF-8 become U+FFFD in headers and
+    stay as they are in blocks.  ValueError where the framing is broken: no version line, a header without a colon, no or a
+    wrong Content-Length, a stream that ends within a record.
+    """
+    n = 0
+    while first := f.readline():
+        n += 1
+        at = f"record {n}"
+        if not first.startswith(b"WARC/") or not first.endswith(b"\n"):
+            raise ValueError(f"no WARC version line at {at}")
+        headers: dict[str, str] = {}
+        name = None
+        while line := _line(f, at):
+            text = line.decode("utf-8", "replace")
+            if text[0] in " \t" and name:
+                headers[name] += " " + text.strip()
+                continue
+            name, colon, value = text.partition(":")
+            if not colon:
+                raise ValueError(f"a header of {at} has no colon")
+            name, value = name.strip(), value.strip()
+            headers[name] = f"{headers[name]}, {value}" if name in headers else value
+        length = next((v for k, v in headers.items() if k.lower() == "content-length"), "")
+        if not (length.isascii() and length.isdigit()):
+            raise ValueError(f"{at} has no Content-Length")
+        block = f.read(int(length))
+        if len(block) != int(length) or f.read(4) != b"\r\n\r\n":
+            raise ValueError(f"{at} does not end where Content-Length says")
+        yield headers, block
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an uncompressed WARC file; raises ValueError where the framing is broken."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")[1:]
-        headers = dict(x.split(": ", 1) for x in lines)
-        begin = end + 4
-        stop = begin + int(headers["Content-Length"])
-        if data[stop: stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} does not end where Content-Length says")
-        yield headers, data[begin:stop]
-        at = stop + 4
+    """:func:`stream_records` over bytes in memory."""
+    return stream_records(io.BytesIO(data))
+
+
+#: Bytes of blocks after which a batch of read records is passed on.
+READ_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(headers map, block binary) of every record under ``path``; a task reads whole files."""
+    """(headers map, block binary) of every record under ``path``.
+
+    A file is one row of Spark's binary source, so it must be below 2 GB as stored; it is unpacked record by record (a gzip
+    file may have a member for each record or one for all) and records go on in batches of about 16 MB.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import gzip
         for f in frames:
             for name, data in zip(f["path"], f["content"]):
-                raw = gzip.decompress(data) if name.endswith(".gz") else data
-                for h, block in parse_records(raw):
-                    yield pd.DataFrame({"headers": [h], "block": [block]})
+                raw = io.BytesIO(data)
+                heads, blocks, size = [], [], 0
+                for h, block in stream_records(gzip.open(raw) if name.endswith(".gz") else raw):
+                    heads.append(h)
+                    blocks.append(block)
+                    size += len(block)
+                    if size >= READ_BYTES or len(heads) >= 1000:
+                        yield pd.DataFrame({"headers": heads, "block": blocks})
+                        heads, blocks, size = [], [], 0
+                if heads:
+                    yield pd.DataFrame({"headers": heads, "block": blocks})
     return files.mapInPandas(records, "headers map<string,string>, block binary")

@@ -1,5 +1,8 @@
 """Minimum-cut text extraction (op1) and WARC derivatives (op9)."""
 
+import base64
+import gzip
+import hashlib
 import itertools
 import random
 
@@ -120,6 +123,55 @@ def test_warc_framing_errors():
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"))
 
 
+def test_warc_headers_as_others_write_them():
+    data = (b"WARC/1.0\r\nWARC-Type:response\r\nWARC-Target-URI:   http://a/?x=1: 2 \r\nX-Note: one\r\n two\r\nX-Note: three\r\n"
+            b"content-length: 5\r\n\r\n\r\n\r\n\xff\r\n\r\nWARC/1.1\r\nX-Raw: \xff\r\nContent-Length:0\r\n\r\n\r\n\r\n")
+    (h, block), (h2, empty) = warc.parse_records(data)
+    assert h["WARC-Type"] == "response" and h["WARC-Target-URI"] == "http://a/?x=1: 2" and h["X-Note"] == "one two, three"
+    assert block == b"\r\n\r\n\xff" and empty == b"" and h2["X-Raw"] == "\ufffd"
+    assert list(warc.parse_records(b"")) == []
+    ok = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert len(list(warc.parse_records(ok * 3))) == 3
+    for cut in range(1, len(ok)):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(ok + ok[:cut]))
+    for bad in (ok.replace(b"Content-Length: 3", b"X: 3"), ok.replace(b"Content-Length: 3", b"Content-Length: -3"),
+                ok.replace(b": 3", b" 3"), ok.replace(b" 3", b" 4"), b"HTTP/1.1 200\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(bad))
+
+
+def test_warc_reads_files_of_one_member_or_many(spark, tmp_path, monkeypatch):
+    def rec(i, block):
+        return f"WARC/1.1\r\nWARC-Record-ID:<{i}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    recs = [rec(i, b"x" * (i * 7 % 5)) for i in range(2500)] + [rec("long", bytes(range(256)) * 80_000)]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in recs[:1200]))
+    (tmp_path / "sub" / "one.warc.gz").write_bytes(gzip.compress(b"".join(recs[1200:])))
+    (tmp_path / "plain.warc").write_bytes(recs[-1] + recs[0])
+    (tmp_path / "none.warc").write_bytes(b"")
+    got = warc.read(spark, f"file://{tmp_path}").select(F.col("headers")["WARC-Record-ID"].alias("id"), F.length("block").alias("n"),
+                                                        F.sha2("block", 256).alias("h"))
+    rows = got.collect()
+    assert len(rows) == len(recs) + 2 and len({r.id for r in rows}) == len(recs)
+    assert {(r.n, r.h) for r in rows if r.id == "<long>"} == {(20_480_000, hashlib.sha256(bytes(range(256)) * 80_000).hexdigest())}
+    assert all(r.n == int(r.id[1:-1]) * 7 % 5 for r in rows if r.id != "<long>")
+
+
+def test_warc_derivatives_of_long_and_repeated_rows_and_clashing_names(spark):
+    long = "<html><body><article><p>" + "word " * 400_000 + "</p></article></body></html>"
+    pages = _pages(spark, [(1, "http://a/", long, "r", "t"), (2, "http://b/", "<p>x</p>", "r", "t"), (2, "http://b/", "<p>x</p>", "r", "t")])
+    clash = pages.withColumns({c: F.lit("other") for c in ("key", "payload", "block", "record_id", "n", "r")})
+    for df in (pages, clash):
+        rows = warc.derive(warc.responses(df)).collect()
+        assert len(rows) == 6  # a repeated row has its records again
+        conv = {r.key: r for r in rows if r.warc_type == "conversion"}
+        assert len(conv[1].block) == 400_000 * 5 - 1 and conv[2].block == "x"
+        assert len({r.record_id for r in rows if r.key == 2}) == 2  # of the same page: the same identifiers
+        raw = conv[1].block.encode()
+        assert conv[1].block_digest == "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
+
+
 def test_op9_covers_all_pages(spark):
     out = queries.op9_warc_derivatives(spark, SF)
     n = spark.read.parquet(f"{SF}/pages.parquet").count()
