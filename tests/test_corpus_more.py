@@ -9,6 +9,7 @@ from ledgergraph.operators import external as EX
 from ledgergraph.operators import intervals as IV
 from ledgergraph.operators import nlu as NLU
 from ledgergraph.operators import text as TX
+from ledgergraph.operators.corpus import account_rows
 
 
 def _slots(spark):
@@ -117,3 +118,21 @@ def test_near_index_is_a_deletion_neighbourhood():
     index = NLU.near_index()
     assert ("evenue", "revenue", "IS") in index and ("revenue", "revenue", "IS") in index
     assert len(index) < 2000  # of the ontology's size
+
+
+def test_phrases_whose_deletions_are_listed_are_few_and_lose_no_name(spark):
+    rnd = random.Random(5)
+    names = sorted({r[2] for r in account_rows() if len(r[2]) >= NLU.NEAR_MIN})
+    typed = set(names)
+    for n in names:
+        for _ in range(12):
+            i, x = rnd.randrange(len(n) + 1), rnd.choice("aeilnrst ")
+            typed |= {n[:i] + n[i + 1:], n[:i] + x + n[i:], n[:i] + x + n[i + 1:], x + n[:i] + n[i + 2:], n[:i]}
+    every = spark.createDataFrame([(x,) for x in sorted(typed)], "phrase string").withColumn("pass", NLU.may_be_near(F.col("phrase")))
+    one = every.crossJoin(spark.createDataFrame([(n,) for n in names], "name string")).filter(F.levenshtein("phrase", "name") == 1)
+    assert one.count() > 300
+    assert one.filter(~F.col("pass")).count() == 0
+    text = "what is the gros profit in the last year and what is the cost of sales ratio of the current assets in this year?"
+    g = NLU.ngrams(spark.createDataFrame([("d", text)], "doc string, t string"), "doc", "t", [])
+    got = [r["phrase"] for r in g.filter(NLU.may_be_near(F.col("phrase"))).collect()]
+    assert "gros profit" in got and len(got) <= 5 < g.count() / 20
