@@ -136,3 +136,42 @@ def test_phrases_whose_deletions_are_listed_are_few_and_lose_no_name(spark):
     g = NLU.ngrams(spark.createDataFrame([("d", text)], "doc string, t string"), "doc", "t", [])
     got = [r["phrase"] for r in g.filter(NLU.may_be_near(F.col("phrase"))).collect()]
     assert "gros profit" in got and len(got) <= 5 < g.count() / 20
+
+
+def test_words_of_a_line_are_extracted_once(spark):
+    docs = spark.createDataFrame([(1, "We met Anna Maria Lopez and 3 Others\n\n  \nNew 12 York"), (2, None), (3, "x")], "doc_id long, text string")
+    ext = EX.from_documents(docs)
+    assert {r["id"]: list(zip(r["tokens"], r["tags"], strict=True)) for r in ext.collect()} == {
+        "1:0": [("We", "O"), ("met", "O"), ("Anna", "B-MISC"), ("Maria", "I-MISC"), ("Lopez", "I-MISC"), ("and", "O"), ("3", "B-NUM"),
+                ("Others", "B-MISC")], "1:3": [("New", "O"), ("12", "B-NUM"), ("York", "B-MISC")], "3:0": [("x", "O")]}
+    plan = EX.merge(ext)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "get(regexp_extract_all" not in plan
+
+
+def test_tags_of_spans_need_no_join_and_equal_brute_force(spark):
+    rnd = random.Random(6)
+    toks, spans, want = [], [], {}
+    for d in map(str, range(25)):
+        at, own = 0, []
+        for pos in range(rnd.randint(1, 30)):
+            n = rnd.randint(1, 6)
+            toks.append((d, pos, "w", at, at + n))
+            at += n + rnd.randint(0, 2)
+        a = 0
+        while (a := a + rnd.randint(0, 9)) < at:
+            z = a + rnd.randint(1, 12)
+            own.append((d, a, z, "X"))
+            a = z
+        spans += own
+        mine = [x for x in toks if x[0] == d]
+        first = {x[1]: next((s for s in own if x[3] < s[2] and s[1] < x[4]), None) for x in mine}
+        for x in mine:
+            s = first[x[1]]
+            group = [y for y in mine if s and first[y[1]] == s]
+            fits = s and group[0][3] == s[1] and group[-1][4] == s[2]
+            want[d, x[1]] = "O" if not s else "-" if not fits else ("U" if len(group) == 1 else "B" if x is group[0]
+                                                                     else "L" if x is group[-1] else "I") + "-X"
+    out = TX.spans_to_biluo(spark.createDataFrame(toks, "doc string, pos int, token string, start int, end int"),
+                            spark.createDataFrame(spans, "doc string, s_start int, s_end int, label string"))
+    assert {(r["doc"], r["pos"]): r["tag"] for r in out.collect()} == want
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
