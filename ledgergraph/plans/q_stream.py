@@ -11,8 +11,7 @@ from ..sources import io as IO
 from ..sources.io import scratch_path
 from ..streaming import streams as ST
 from .q_eval import _onto
-from .q_qa import _facts_ckpt, _valid, answer_questions, qsql
-from .q_text import corpus
+from .q_qa import _facts_ckpt, _questions, _valid, answer_questions, qsql
 from .registry import query
 
 _DIALOG_SQL = """
@@ -64,7 +63,7 @@ def stream_dialog_turns(t):
 def stream_qa(t):
     """SM2: questions arriving as a stream, answered per micro-batch against the static facts."""
     path = scratch_path(t.spark, "questions")
-    corpus(t).select("question_id", "code", "bsns_year", "text").write.mode("overwrite").parquet(path)
+    _questions(t).write.mode("overwrite").parquet(path)
     return ST.answer_stream(t.spark, path, "question_id string, code string, bsns_year int, text string",
                             lambda batch: answer_questions(t, batch))
 

@@ -67,3 +67,32 @@ def test_dense_key_and_split(spark):
     s = TX.stratified_split(df, "g", "k", test=0.05, valid=0.1)
     c = {(r["g"], r["split"]): r["count"] for r in s.groupBy("g", "split").count().collect()}
     assert c[("a", "test")] == 35 and c[("a", "valid")] == 67 and c[("b", "test")] == 15 and c[("b", "valid")] == 29
+
+
+def test_a_text_is_tagged_in_its_own_row(spark):
+    from ledgergraph.operators import nlu as NLU
+    text = "If  revenue rises 10%, what is the gross profit last year?"
+    rows = [("d", text), ("d", "Inventories, inventories."), ("e", None), ("f", ""), (None, "5 percent")]
+    df = spark.createDataFrame(rows, "doc string, t string")
+    m = NLU.match_rows(df, "doc", "t")
+    assert "Exchange" not in m._jdf.queryExecution().executedPlan().toString()  # windows by id once took a shuffle
+    got = {(r["doc"], r["start"], r["end"], r["tag"], r["phrase"]) for r in NLU.match_rows(df, "doc", "t").collect()}
+    low = text.lower()
+
+    def at(doc, words, tag, phrase=None):
+        i = low.index(words)
+        return doc, i, i + len(words), tag, phrase or words
+    assert got == {at("d", "revenue", "IS"), at("d", "10%", "PERCENT", "10 %"), at("d", "gross profit", "IS"), at("d", "profit", "IS"),
+                   at("d", "last year", "TIME"), at("d", "rises", "APPLY", "rise" if "rise" in dict(NLU.gazetteer_rows()) else "rises"),
+                   ("d", 0, 11, "BS", "inventories"), ("d", 13, 24, "BS", "inventories"), (None, 0, 9, "PERCENT", "5 percent")}
+    slots = NLU.question_slots_rows(df, "doc", "t", keep=[]).collect()
+    assert sorted(len(r["acc_arr"]) for r in slots) == [0, 0, 0, 2, 2]  # rows of one id keep their own
+
+
+def test_answers_of_one_intent_are_those_of_all(spark, tables):
+    from ledgergraph.plans import q_qa as Q
+    every, past = Q._answers(tables), Q._answers(tables, "PAST.value")
+    cols = every.columns
+    assert sorted(map(str, past.collect())) == sorted(map(str, every.filter("intent = 'PAST.value'").select(*cols).collect()))
+    plan = past._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # the wide rows; no sums by question, and no forecasts
