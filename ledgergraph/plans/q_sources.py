@@ -12,7 +12,7 @@ from ..operators import quality as DQ
 from ..sources import ontology as O
 from ..sources import reference_values as RV
 from ..sources import io as IO
-from ..sources.fixtures import sql_with, term_label
+from ..sources.fixtures import LEAF_ACCOUNTS, fin_fact, sql_with, stored_facts, term_label
 from .registry import query
 
 FILING = ["corp", "bsns_year", "reprt_code"]
@@ -191,9 +191,17 @@ def sink_roundtrip_facts(t):
     return IO.roundtrip_partitioned(t.fin_fact, "bsns_year")
 
 
-def catalog_tables(t, buckets: int = 8):
-    """(facts, companies) as catalog tables bucketed by company; facts also partitioned by year.  Loading again is the same."""
-    key = uuid.uuid5(uuid.NAMESPACE_URL, t.sf_dir).hex[:12]
+def catalog_tables(t, buckets: int | None = None):
+    """(facts, companies) as catalog tables bucketed by company; facts also partitioned by year.  Loading again is the same.
+
+    ``buckets`` goes by the number of facts if it is not given, and then is part of the tables' name: tables that grew are
+    dealt anew.  An order adds at most one filing, which bounds the facts without a pass over them.
+    """
+    name = t.sf_dir
+    if buckets is None:
+        buckets = IO.buckets_for(t.orders.count() * len(LEAF_ACCOUNTS))
+        name += f"#{buckets}"
+    key = uuid.uuid5(uuid.NAMESPACE_URL, name).hex[:12]
     out = []
     for name, df, part in (("fact", t.fin_fact, "bsns_year"), ("company", t.fin_company, None)):
         table = f"lg_{name}_{key}"
@@ -232,7 +240,7 @@ SELECT ROW_NUMBER() OVER (ORDER BY CASE WHEN bsns_year <= 1995 THEN 0 ELSE 1 END
        code, bsns_year, quarter, account, value FROM fin_fact"""))
 def facts_append_ids(t):
     """SNK3: facts loaded up to a year, then all, then again; the ids are those of the loads in order."""
-    f = t.fin_fact.select("code", "bsns_year", "quarter", "account", "value")
+    f = fin_fact(t, stored_facts(t)).select("code", "bsns_year", "quarter", "account", "value")  # read by every load
     out = _in_loads(t, f, F.col("bsns_year") <= 1995, ["code", "bsns_year", "quarter", "account"], "fact_id")
     return out.select("fact_id", "code", "bsns_year", "quarter", "account", "value")
 

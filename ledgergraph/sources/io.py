@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+#: Rows of a bucket, which one task sorts when a table is loaded or joined.
+BUCKET_ROWS = 1_000_000
 UTTERANCE_READ_SCHEMA = "text string, entities array<array<string>>, intent string"
 
 
@@ -56,6 +58,11 @@ def _names(columns: str | list[str]) -> list[str]:
     return [columns] if isinstance(columns, str) else columns
 
 
+def buckets_for(rows: int, least: int = 8) -> int:
+    """Buckets of a table of so many rows: a bucket stays as large as it is when the table grows."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def load_table(spark: SparkSession, name: str, df: DataFrame, bucket_by: str | list[str], buckets: int) -> DataFrame:
     """Replace the table's rows (of the partitions that ``df`` has, if it is partitioned) and return the table.
 
