@@ -119,3 +119,38 @@ def test_ratios_by_row_are_ratios_by_joins(spark, tables, monkeypatch):
         monkeypatch.setattr(EV, "PLAN_ROWS", 20_000)
         r = [df.withColumn("value", F.round("value", 6)) for df in (a, b)]
         assert r[0].count() > 0 and r[0].exceptAll(r[1]).count() == 0 and r[1].exceptAll(r[0]).count() == 0
+
+
+def test_whatif_calls_no_lambda_for_a_row(spark, tables):
+    plan = spark.createDataFrame(O.target_plan_rows(), "target_account string, mode string, unit string, node string, "
+                                                       "role string, weight double, scale double")
+    sc = spark.createDataFrame([("s", "CostOfSalesRatio", "Revenue", 5)], "scenario_id string, target string, subject string, pct int")
+    w = EV.whatif(tables.fin_fact, O.coef_df(spark), sc, plan=plan)
+    per_row = w._jdf.queryExecution().executedPlan().toString().split("Generate explode")[0]
+    assert "scenario_value" in per_row and "lambda" not in per_row
+
+
+def test_whatif_shares_of_totals(spark):
+    """Totals of several ratios, unmoved ratios in them, zero denominators, nulls as pct and scenarios that come twice."""
+    plan = spark.createDataFrame(
+        [("T", "ratio", "a", "x", "num", 2.0, 365.0), ("T", "ratio", "a", "y", "den", 2.0, 365.0),
+         ("T", "ratio", "b", "z", "num", -1.0, 1.0), ("T", "ratio", "b", "y", "den", -1.0, 1.0)],
+        "target_account string, mode string, unit string, node string, role string, weight double, scale double")
+    sc = spark.createDataFrame([("x", "T", "x", 100), ("z", "T", "z", -50), ("y", "T", "y", -100), ("n", "T", "x", None),
+                                ("v", "z", "z", 3), ("v", "z", "z", 3), ("0", "T", "x", 0), ("o", "T", "v", 7)],
+                               "scenario_id string, target string, subject string, pct int")
+    coef = spark.createDataFrame([], "ancestor string, leaf string, coef long")
+    f = _facts(spark, [("x", 3), ("y", 4), ("z", 10)])
+    w = EV.whatif(f, coef, sc, plan=plan)
+    base = 2 * 365 * 0.75 - 2.5
+    assert sorted((r["scenario_id"], r["baseline"], r["scenario_value"], r["delta"]) for r in w.collect()) == sorted([
+        ("x", base, base + 547.5, 547.5), ("z", base, base + 1.25, 1.25), ("0", base, base, 0.0), ("o", base, base, 0.0),
+        ("v", 10.0, 10.3, 0.3), ("v", 10.0, 10.3, 0.3)])
+
+
+def test_round6_is_round(spark):
+    x = spark.range(200_000).select(F.explode(F.array(
+        (F.rand(1) - 0.5) * F.pow(F.lit(10.0), F.rand(2) * 24 - 12), (F.col("id") - 100_000) / 2e6,
+        (F.col("id") * 7919 + 0.5) / 1e6, (F.col("id") + 0.4995) / 1e6, (F.col("id") + 999_999_900_000) / 1e6)).alias("x"))
+    x = x.unionByName(spark.sql("SELECT explode(array(double('NaN'), double('Infinity'), -0.0D, NULL, -1e-9D, 1e300D)) AS x"))
+    assert x.filter(~EV.round6(F.col("x")).eqNullSafe(F.round("x", 6) + F.lit(0.0))).count() == 0
