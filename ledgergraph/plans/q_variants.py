@@ -55,13 +55,13 @@ def variant_questions(t):
         (F.floor(s / 17) % 98 + 1).cast("string").alias("number"))
     p = (2 + F.floor(s / 6) % (F.length("a") - 3)).cast("int")
     q = q.withColumn("p", p).withColumn("typed", F.expr("concat(substr(a, 1, p - 1), substr(a, p + 1))"))
-    plain, whatif = C._fmt(RV.TEMPLATE_PAST), C._fmt(RV.TEMPLATES_WHATIF[0])
+    plain, whatif = RV.TEMPLATE_PAST, RV.TEMPLATES_WHATIF[0]
     percent = F.concat("number", F.lit(" percent"))
-    text = (F.when(F.col("kind") == "misspelt", F.format_string(plain, F.lit("what"), "typed", "time"))
-            .when(F.col("kind") == "unrelated", F.format_string(whatif, "u0", "u1", "apply", percent, "time"))
-            .when(F.col("kind") == "no_percent", F.replace(F.format_string(whatif, "r0", "r1", "apply", F.lit("?"), "time"),
+    text = (F.when(F.col("kind") == "misspelt", C.fill(plain, F.lit("what"), F.col("typed"), F.col("time")))
+            .when(F.col("kind") == "unrelated", C.fill(whatif, *map(F.col, ("u0", "u1", "apply")), percent, F.col("time")))
+            .when(F.col("kind") == "no_percent", F.replace(C.fill(whatif, *map(F.col, ("r0", "r1", "apply")), F.lit("?"), F.col("time")),
                                                            F.lit(" by ?"), F.lit("")))
-            .otherwise(F.format_string(plain, F.lit("what"), F.concat_ws(" and the ", "a", "b"), "time")))
+            .otherwise(C.fill(plain, F.lit("what"), F.concat_ws(" and the ", "a", "b"), F.col("time"))))
     return q.select("question_id", "code", "bsns_year", "kind", text.alias("text"))
 
 
