@@ -3,7 +3,16 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgergraph.plans import q_variants
+from ledgergraph.operators import nlu as NLU
+from ledgergraph.plans import q_tokens, q_variants
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
 
 
 def test_variant_questions_are_put_in_their_templates(tables):
@@ -15,3 +24,23 @@ def test_variant_questions_are_put_in_their_templates(tables):
     assert len(out) == len(rows) and all(r["error_code"] for r in out)
     n = sum(r["kind"] == "misspelt" for r in rows)
     assert q_variants.account_name_unknown(tables).count() == q_variants.account_name_nearest(tables).count() == n
+
+
+def test_matches_in_their_rows_are_those_of_exploded_rows(spark):
+    texts = ["If  revenue rises 10%, what is the gross profit last year?", "cost of sales ratio, cost of sales. 7 percent", None, "", "x y",
+             "how is the revenue in the last year? 3%\n", "net income net income next quarter this year falls"]
+    df = spark.createDataFrame([(f"q{i}", t, "a") for i, t in enumerate(texts)], "doc string, text string, intent string")
+    m = NLU.longest_matches(NLU.match_rows(df, "doc", "text"))
+    tagged = NLU.with_matches(df, "text")
+    plan = _plan(tagged)
+    assert "MapInArrow" in plan and "lambda" not in plan and "Exchange" not in plan  # once nested lambdas, run word by word
+    assert _rows(NLU.longest_matches(tagged).select(m.columns)) == _rows(m) and m.count() > 10
+    assert _rows(NLU.slots(tagged)) == _rows(NLU.slots(m))
+    q = df.withColumnRenamed("doc", "question_id")
+    assert _rows(NLU.rule_intent(tagged.withColumnRenamed("doc", "question_id"))) == _rows(NLU.rule_intent(q, m))
+
+
+def test_questions_are_tagged_once_and_not_stored(tables):
+    for f in (q_tokens.gazetteer_tag, q_tokens.entities_to_slots, q_tokens.tags_last_wins, q_tokens.account_name_resolve, q_tokens.intent_rules):
+        t = type(tables)(tables.spark, tables.sf_dir)
+        assert _plan(f(t)).count("MapInArrow") == 1 and not {"corpusFalse", "all_matches"} & set(t.memo)
