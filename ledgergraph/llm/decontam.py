@@ -13,8 +13,11 @@ Items shorter than ``SPAN`` words are sought as one window of all their words;
 items of fewer than ``MIN_WORDS`` words say too little and match nothing.
 
 Scale: documents are not shuffled.  The benchmark's seeds are broadcast in parts
-of at most ``PART_ROWS`` rows (counted), one pass over the documents per part.
-A document's windows are generated and probed inside one code-generated stage.
+of at most ``PART_ROWS`` rows (counted), one pass over the documents per part; with
+several parts each pass is a job of its own, so that one part is held at a time.
+A document's windows are generated and probed inside one code-generated stage,
+which keeps all hits of a document until it has gone through its windows: a hit
+takes only the words with it that lie beside the item's, never the whole document.
 
 Defined cases: null and empty texts have no words and match nothing; repeated
 rows are each reported by their id (equal ids and texts once); a tie of two
@@ -58,7 +61,7 @@ def _all_masks(lengths: list[int]) -> list[str]:
 
 
 def _benchmark_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
-    """(seed, mask, item, q): item is the benchmark's own words' number."""
+    """(seed, mask, item, q, size): item is the benchmark's own words' number, size how many they are."""
     n = F.size("words")
     parts = []
     for no, m in enumerate(masks):
@@ -66,7 +69,7 @@ def _benchmark_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
         fit = items.filter(n == len(m)) if full else items.filter(n >= SPAN)
         at = fit.select("item", "words", F.explode(F.sequence(F.lit(0), n - len(m))).alias("q"))
         parts.append(at.select(_seed(F.col("words"), F.col("q"), no, m).alias("seed"), F.lit(no).alias("mask"),
-                               "item", "q"))
+                               "item", "q", F.size("words").alias("size")))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -100,27 +103,31 @@ def overlaps(df: DataFrame, bench: DataFrame, text: str = "text", item_id: str =
     for part in range(n_parts):
         own = items.filter(F.pmod("item", F.lit(n_parts)) == part)
         side = seeds.filter(F.pmod("item", F.lit(n_parts)) == part)
-        hit = probes.join(F.broadcast(side), "seed").join(F.broadcast(own), "item")
+        d0, i0 = F.greatest(F.col("p") - F.col("q"), F.lit(0)), F.greatest(F.col("q") - F.col("p"), F.lit(0))
+        hit = probes.join(F.broadcast(side), "seed").select("*", d0.alias("doc_start"), i0.alias("item_start"))
+        hit = hit.withColumn("n", F.least(F.size("w") - F.col("doc_start"), F.col("size") - F.col("item_start")))
+        hit = hit.select(*keep, "t1", "t2", "mask", "item", "p", "q", "doc_start", "item_start", "n",
+                         F.slice("w", F.col("doc_start") + 1, F.col("n")).alias("beside"))
+        hit = hit.join(F.broadcast(own), "item")
         before = reduce(Column.__or__, [
             (F.col("mask") == no) & reduce(Column.__and__, [
-                F.get("w", F.col("p") - 1 + o) == F.get("words", F.col("q") - 1 + o) for o in _offsets(m)])
+                F.get("beside", F.col("p") - F.col("doc_start") - 1 + o) == F.get("words", F.col("q") - 1 + o)
+                for o in _offsets(m)])
             for no, m in enumerate(masks)])
         first = (F.col("p") == 0) | (F.col("q") == 0) | ~F.coalesce(before, F.lit(False))
-        hit = hit.filter(first)
-        d0, i0 = F.greatest(F.col("p") - F.col("q"), F.lit(0)), F.greatest(F.col("q") - F.col("p"), F.lit(0))
-        hit = hit.withColumn("doc_start", d0).withColumn("item_start", i0).withColumn(
-            "n", F.least(F.size("w") - F.col("doc_start"), F.size("words") - F.col("item_start")))
-        score = _best_stretch(F.slice("w", F.col("doc_start") + 1, F.col("n")),
-                              F.slice("words", F.col("item_start") + 1, F.col("n")))
-        hit = hit.withColumn("score", score).filter(F.col("score") >= F.least(F.lit(min_score), F.size("words")))
-        found.append(hit.select(*keep, "t1", "t2", "item_id", "score", "doc_start", "item_start",
-                                F.col("n").alias("words")))
-    out = reduce(DataFrame.unionAll, found)
+        score = _best_stretch(F.col("beside"), F.slice("words", F.col("item_start") + 1, F.col("n")))
+        hit = hit.filter(first).withColumn("score", score).filter(F.col("score") >= F.least(F.lit(min_score), F.size("words")))
+        hit = _best(hit.select(*keep, "t1", "t2", "item_id", "score", "doc_start", "item_start", F.col("n").alias("words")), [*keep])
+        found.append(cut(hit) if n_parts > 1 else hit)
+    out = _best(reduce(DataFrame.unionAll, found), [*keep]) if n_parts > 1 else found[0]
+    return out.select(*keep, "t1", "t2", "item_id", *[F.col(c).cast("long").alias(c) for c in ("score", "doc_start", "item_start", "words")])
+
+
+def _best(hits: DataFrame, keep: list[str]) -> DataFrame:
+    """The best hit of each text and item, the leftmost of equal scores."""
     best = F.max(F.struct("score", (-F.col("doc_start")).alias("neg"), "item_start", "words")).alias("b")
-    return out.groupBy(*keep, "t1", "t2", "item_id").agg(best).select(
-        *keep, "t1", "t2", "item_id", F.col("b.score").cast("long").alias("score"),
-        (-F.col("b.neg")).cast("long").alias("doc_start"), F.col("b.item_start").cast("long").alias("item_start"),
-        F.col("b.words").cast("long").alias("words"))
+    return hits.groupBy(*keep, "t1", "t2", "item_id").agg(best).select(
+        *keep, "t1", "t2", "item_id", "b.score", (-F.col("b.neg")).alias("doc_start"), "b.item_start", "b.words")
 
 
 def clean_documents(df: DataFrame, bench: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgergraph.llm import decontam
 from ledgergraph.operators import nlu as NLU
 from ledgergraph.plans import q_tokens, q_variants
 
@@ -44,3 +45,15 @@ def test_questions_are_tagged_once_and_not_stored(tables):
     for f in (q_tokens.gazetteer_tag, q_tokens.entities_to_slots, q_tokens.tags_last_wins, q_tokens.account_name_resolve, q_tokens.intent_rules):
         t = type(tables)(tables.spark, tables.sf_dir)
         assert _plan(f(t)).count("MapInArrow") == 1 and not {"corpusFalse", "all_matches"} & set(t.memo)
+
+
+def test_a_hit_takes_no_whole_document_and_parts_are_held_one_by_one(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "x " * 40 + " ".join(words[10:30])), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(words[i:i + 14])) for i in range(40)], "item_id long, text string")
+    whole = decontam.overlaps(docs, bench, doc_id=F.col("doc_id"))
+    joins = [x for x in whole._jdf.queryExecution().optimizedPlan().toString().split("Join Inner") if "beside" in x or "item_start" in x]
+    assert len(joins) >= 2 and "slice(w#" in joins[1]  # between the two joins: once the document's words themselves
+    parts = decontam.overlaps(docs, bench, part_rows=200, doc_id=F.col("doc_id"))
+    assert _plan(whole).count("BroadcastExchange") == 2 and "BroadcastExchange" not in _plan(parts)
+    assert _rows(parts) == _rows(whole) and whole.filter("doc_id = 1").count() == 40 and whole.filter("doc_id = 2").count() >= 7
