@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as EV
 from ..sources import io as IO
+from ..sources.fixtures import fin_fact, stored_facts
 from ..sources.io import scratch_path
 from ..streaming import streams as ST
 from .q_eval import _onto
-from .q_qa import _facts_ckpt, _questions, _valid, answer_questions, qsql
+from .q_qa import _questions, _valid, answer_questions, qsql
 from .registry import query
 
 _DIALOG_SQL = """
@@ -71,11 +72,21 @@ def stream_qa(t):
 VALUE_KEYS = ["code", "bsns_year", "quarter", "account"]
 
 
-def value_table(t, buckets: int = 8):
-    """The evaluated accounts as a catalog table bucketed by what a question names."""
-    e, _, coef = _onto(t)
-    values = EV.shown_values(_facts_ckpt(t), coef, EV.ratio_definitions(e)).select(*VALUE_KEYS, "value")
-    name = f"lg_value_{uuid.uuid5(uuid.NAMESPACE_URL, t.sf_dir).hex[:12]}"
+def value_table(t, buckets: int | None = None):
+    """The evaluated accounts as a catalog table bucketed by what a question names.
+
+    ``buckets`` goes by the number of filings and accounts if it is not given, and then is part of the table's name.  The
+    wide facts are dealt by filing once, so that the accounts of a filing are evaluated where it lies.
+    """
+    e, nodes, coef = _onto(t)
+    wide = stored_facts(t)
+    name = t.sf_dir
+    if buckets is None:
+        buckets = IO.buckets_for(wide.count() * nodes.count())
+        name += f"#{buckets}"
+    facts = fin_fact(t, wide.repartition(buckets, "code", "bsns_year", "quarter"))
+    values = EV.shown_values(facts, coef, EV.ratio_definitions(e)).select(*VALUE_KEYS, "value")
+    name = f"lg_value_{uuid.uuid5(uuid.NAMESPACE_URL, name).hex[:12]}"
     IO.create_table(t.spark, name, values, VALUE_KEYS, buckets)
     return IO.load_table(t.spark, name, values, VALUE_KEYS, buckets)
 

@@ -50,7 +50,7 @@ def create_table(spark: SparkSession, name: str, df: DataFrame, bucket_by: str |
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     part = f"PARTITIONED BY (`{partition_by}`) " if partition_by else ""
     place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"
-    spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}` ({cols}) USING parquet {part}"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}` ({cols}) USING parquet OPTIONS (compression 'zstd') {part}"
               f"CLUSTERED BY ({by}) INTO {int(buckets)} BUCKETS LOCATION '{place}'")
 
 

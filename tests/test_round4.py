@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from ledgergraph.llm import decontam
 from ledgergraph.operators import nlu as NLU
-from ledgergraph.plans import q_tokens, q_variants
+from ledgergraph.operators.keys import dense_surrogate_key
+from ledgergraph.plans import q_stream, q_tokens, q_variants
+from ledgergraph.session import stored
+from ledgergraph.sources import io as IO
 
 
 def _plan(df):
@@ -57,3 +60,28 @@ def test_a_hit_takes_no_whole_document_and_parts_are_held_one_by_one(spark):
     parts = decontam.overlaps(docs, bench, part_rows=200, doc_id=F.col("doc_id"))
     assert _plan(whole).count("BroadcastExchange") == 2 and "BroadcastExchange" not in _plan(parts)
     assert _rows(parts) == _rows(whole) and whole.filter("doc_id = 1").count() == 40 and whole.filter("doc_id = 2").count() >= 7
+
+
+def _files(df):
+    return [f.replace("file:", "") for f in df.inputFiles()]
+
+
+def test_stored_rows_are_compressed_columns_of_the_shared_folder(spark, tables):
+    df = spark.createDataFrame([(1, "a", [1.5, None]), (None, None, None), (1, "a", [1.5, None])], "k long, s string, x array<double>")
+    out = stored(df)
+    assert _rows(out) == _rows(df) and out.schema == df.schema and all(f.endswith("zstd.parquet") for f in _files(out))
+    empty = stored(df.filter("false"))
+    assert empty.count() == 0 and empty.schema == df.schema
+    ids = dense_surrogate_key(df, ["k"], "id")
+    assert sorted(r["id"] for r in ids.collect()) == [1, 2, 3] and "Scan parquet" in _plan(ids)
+    facts = tables.derived("round4_facts", lambda: tables.fin_fact_wide, checkpoint=True)
+    assert _files(facts) and "ExistingRDD" not in _plan(facts) and facts.count() == tables.fin_filing.count()
+
+
+def test_buckets_of_the_value_table_grow_with_its_rows(spark, tables, monkeypatch):
+    want = _rows(q_stream.value_table(tables))
+    monkeypatch.setattr(IO, "BUCKET_ROWS", 5000)
+    table = q_stream.value_table(tables)
+    assert _rows(table) == want
+    n = int(_plan(table.groupBy(*q_stream.VALUE_KEYS).count()).split("out of ")[1].split(")")[0].split(",")[0])
+    assert n > 8 and all("zstd" in f for f in _files(table))
