@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgergraph.llm import decontam
+from ledgergraph.operators import external as EX
 from ledgergraph.operators import nlu as NLU
 from ledgergraph.operators.keys import dense_surrogate_key
 from ledgergraph.plans import q_stream, q_tokens, q_variants
@@ -85,3 +86,14 @@ def test_buckets_of_the_value_table_grow_with_its_rows(spark, tables, monkeypatc
     assert _rows(table) == want
     n = int(_plan(table.groupBy(*q_stream.VALUE_KEYS).count()).split("out of ")[1].split(")")[0].split(",")[0])
     assert n > 8 and all("zstd" in f for f in _files(table))
+
+
+def test_tasks_that_align_external_texts_grow_with_the_texts(spark, monkeypatch):
+    ext = spark.createDataFrame([(f"d{i}", "Ab cd Ef", ["Ab", "cd", "Ef"], ["O", "O", "B-MISC"]) for i in range(300)],
+                                "id string, text string, tokens array<string>, tags array<string>")
+    want = _rows(EX.merge(ext))
+    monkeypatch.setattr(EX, "TASK_CHARS", 40)  # 2,400 characters
+    got = EX.merge(ext)
+    assert _rows(got) == want and len(want) == 300 and all("misaligned" not in r for r in want)
+    plan = _plan(EX.merge(ext))
+    assert ", 60)" in plan and plan.count("Window [") == 1  # the steps before are stages of their own: once all in one
